@@ -66,9 +66,10 @@ def hits(documents: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
         F.collect_set(F.when(hit, F.struct("key", "size"))).alias("found"),
     )
     owners = small(windows.select("key", "size", "item").distinct())
-    named = each.filter("size(found) > 0").select("row", F.explode("found").alias("f")).select("row", "f.key", "f.size")
-    named = named.join(owners, ["key", "size"]).groupBy("row").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    return each.drop("found").join(named, "row", "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+    named = each.select("row", "doc_id", "n_words", "spans", F.explode_outer("found").alias("f")).select("row", "doc_id", "n_words", "spans", "f.*")
+    return named.join(owners, ["key", "size"], "left").groupBy("row").agg(
+        *[F.any_value(c).alias(c) for c in ("doc_id", "n_words", "spans")], F.sort_array(F.collect_set("item")).alias("items")
+    )
 
 
 def merged(spans: Column) -> Column:
