@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from metrelle.llm import bpe, decontamination, language
+from metrelle.llm import bpe, decontamination, language, lines
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,5 +24,9 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.digest(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_byte_bpe, op7_language, op10_decontamination)}
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digest(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_byte_bpe, op7_language, op9_line_dedup, op10_decontamination)}
 ORACLES = {"op10_decontamination": decontamination.DIGEST_SQL}
