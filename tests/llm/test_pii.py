@@ -40,7 +40,7 @@ def brute(text):
 def texts():
     r = random.Random(5)
     fixed = [None, "", "a@b.c_d@e.f x@y.com.@z.w a@b.@c.d", "1.2.3.4.5.6.7.8 999.1.1.1 256.1.1.1 01.002.0000003.4", "é🙂 +1 (988) 555-2485 4992739871649927 4111 1111 1111 1111",
-             "4111-1111-1111-1111- 41111111111111114111111111111111", "+1+2 3456789012)", "a" * 50000 + "@" + "b." * 20000 + "c", "1" * 60000 + "." + "2" * 60000, "1 " * 30000]
+             "4111-1111-1111-1111- 41111111111111114111111111111111", "+1+2 3456789012)", "a" * 5000 + "@" + "b." * 20000 + "c", "1" * 3000 + "." + "2" * 3000, "1 " * 30000]
     rows = ["".join(r.choice("ab1234@.+- ()é_") for _ in range(r.randint(0, 80))) for _ in range(400)]
     return fixed + rows + ["".join(r.choice("0123456789 -.") for _ in range(60)) for _ in range(200)]
 
