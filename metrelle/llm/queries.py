@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from metrelle.llm import bpe, decontamination, language, lines, near, neighbours, pii
+from metrelle.llm import bpe, decontamination, language, lines, near, neighbours, pii, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,9 +36,13 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.digest(_table(spark, sf_dir, "documents"))
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(_table(spark, sf_dir, "documents"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digest(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_pii, op3_byte_bpe, op4_neighbours, op6_ngram_jaccard_join, op7_language, op9_line_dedup, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op2_pii, op3_byte_bpe, op4_neighbours, op6_ngram_jaccard_join, op7_language, op8_secrets, op9_line_dedup, op10_decontamination)}
 ORACLES = {"op10_decontamination": decontamination.DIGEST_SQL}
