@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from metrelle.llm.common import small_batches
 
 #: Distinct units that a worker keeps between batches and tasks.
-KEPT_UNITS = 600_000
+KEPT_UNITS = 250_000
 #: Characters of text whose new units are merged together.
 GROUP_CHARS = 8 << 20
 _replays: dict = {}
