@@ -8,6 +8,7 @@ In UTF-8 a byte of 0x80 or more always belongs to such a character, so words can
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -138,6 +139,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df written as Parquet in the shared folder and read again: as cut(), packed by columns, for large frames."""
+    spark = df.sparkSession
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="metrelle-")
+    path = f"{shared}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """df, with a broadcast hint if a count shows that it is small; for frames that are cheap to read again."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

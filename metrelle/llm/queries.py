@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from metrelle.llm import bpe, decontamination, language, lines, near, neighbours, pii, secrets
+from metrelle.llm import bpe, decontamination, language, licenses, lines, near, neighbours, pii, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.digest(_table(spark, sf_dir, "embeddings"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(_table(spark, sf_dir, "documents"))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.digest(_table(spark, sf_dir, "documents"))
 
@@ -44,5 +48,5 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digest(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_pii, op3_byte_bpe, op4_neighbours, op6_ngram_jaccard_join, op7_language, op8_secrets, op9_line_dedup, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op2_pii, op3_byte_bpe, op4_neighbours, op5_licenses, op6_ngram_jaccard_join, op7_language, op8_secrets, op9_line_dedup, op10_decontamination)}
 ORACLES = {"op10_decontamination": decontamination.DIGEST_SQL}
