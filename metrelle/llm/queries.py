@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from metrelle.llm import bpe, decontamination, language, licenses, lines, near, neighbours, pii, secrets
+from metrelle.llm import bpe, decontamination, language, licenses, lines, near, neighbours, passages, pii, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op1_shared_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.digest(_table(spark, sf_dir, "documents"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(_table(spark, sf_dir, "documents"))
 
@@ -48,5 +52,5 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digest(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_pii, op3_byte_bpe, op4_neighbours, op5_licenses, op6_ngram_jaccard_join, op7_language, op8_secrets, op9_line_dedup, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_shared_passages, op2_pii, op3_byte_bpe, op4_neighbours, op5_licenses, op6_ngram_jaccard_join, op7_language, op8_secrets, op9_line_dedup, op10_decontamination)}
 ORACLES = {"op10_decontamination": decontamination.DIGEST_SQL}
