@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from metrelle.plans import scoring_queries, table_queries
+
+QUERIES: dict = {**scoring_queries.QUERIES, **table_queries.QUERIES}
+ORACLES: dict = {**scoring_queries.ORACLES, **table_queries.ORACLES}
