@@ -6,11 +6,11 @@ is made anew from files. run() puts these files below the shared folder that spa
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import public_tokenizers
 from metrelle.llm import bpe, decontamination, language, lines, near
+from metrelle.llm.common import shared_folder
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -48,8 +48,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over the whole of documents."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="metrelle-")
-    folder = f"{shared}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")

@@ -131,21 +131,27 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder that spark.checkpoint.dir or the context names; a new one only where none is named, as in tests."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    now = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if now.isEmpty():
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="metrelle-"))
+        now = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return named or now.get()
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint of df in the folder that the cluster names; in its own folder only where none is named, as in tests."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="metrelle-"))
+    """A checkpoint of df in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
 def stored(df: DataFrame) -> DataFrame:
     """df written as Parquet in the shared folder and read again: as cut(), packed by columns, for large frames."""
-    spark = df.sparkSession
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="metrelle-")
-    path = f"{shared}/stored-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:

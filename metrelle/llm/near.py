@@ -191,6 +191,7 @@ def joined(documents: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE)
 
     class_id is the smallest doc_id of its component of links; copy_id that of the documents with the same shingle set, of
     which there are n_copies; n_links counts the different sets that are linked to this one."""
+    documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = cut(signatures(documents, n, TREES, prefix_length(threshold)))
     classes = signed.filter("class IS NOT NULL AND doc_id IS NOT NULL").groupBy("class")
     classes = cut(classes.agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.any_value("size").alias("size"), F.any_value("keys").alias("keys")))

@@ -139,6 +139,13 @@ def test_language_on_held_out_rows_and_odd_ones(spark):
     assert language.digest(spark.createDataFrame([(1, "text", None)], "doc_id long, text string, lang string")).first()["lang_pred"] == "und"
 
 
+def test_rejection_passes_clashing_columns(spark):
+    rows = [(i, "the thing and other", "en", "p", 0.5, [1]) for i in range(8)] + [(9, None, None, None, None, None)]
+    frame = spark.createDataFrame(rows, "doc_id int, text string, lang string, lang_pred string, score double, rejected array<int>")
+    got = language.drop_rejected(frame)
+    assert got.columns == frame.columns and sorted(map(tuple, got.collect())) == rows[:8]
+
+
 def test_neighbours_recall_ties_and_odd_vectors(spark):
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(40, 16))
