@@ -137,3 +137,21 @@ def digest(documents: DataFrame) -> DataFrame:
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
     found = cleaned(documents.select("doc_id", "text"))
     return found.select("doc_id", zero("__exact").alias("n_exact"), zero("__near").alias("n_near"), F.sha2("text", 256).alias("text_sha256"))
+
+
+#: DuckDB SQL for digest(): variants are made of the whole lines and met by their strings' hashes.
+DIGEST_SQL = f"""
+WITH parts AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+every AS (SELECT doc_id, i, p[i] AS line FROM (SELECT *, unnest(range(1, len(p) + 1)) AS i FROM parts)),
+l AS (SELECT * FROM every WHERE regexp_matches(line, '[^ \\t\\n\\x0B\\f\\r]')),
+first AS (SELECT line, min({{'d': doc_id, 'i': i}}) AS pos FROM l GROUP BY line),
+cut AS (SELECT line, pos, k, hash(left(line, k - 1) || substr(line, k + 1)) AS v FROM (SELECT *, unnest(range(1, length(line) + 1)) AS k FROM first WHERE length(line) >= {LEAST_FUZZY})),
+alike AS (SELECT line FROM (SELECT line, pos, min(pos) OVER (PARTITION BY k, v) AS early FROM cut) WHERE early < pos),
+indel AS (SELECT c.line AS long, c.pos AS long_pos, w.line AS short, w.pos AS short_pos FROM cut c JOIN first w ON hash(w.line) = c.v AND length(w.line) >= {LEAST_FUZZY}),
+near AS (SELECT line FROM alike UNION SELECT long FROM indel WHERE short_pos < long_pos UNION SELECT short FROM indel WHERE long_pos < short_pos),
+gone AS (SELECT l.doc_id, l.i, n.line IS NOT NULL AS near FROM l JOIN first f ON f.line = l.line LEFT JOIN near n ON n.line = l.line WHERE n.line IS NOT NULL OR f.pos <> {{'d': l.doc_id, 'i': l.i}}),
+counts AS (SELECT doc_id, count(*) FILTER (NOT near) AS n_exact, count(*) FILTER (near) AS n_near FROM gone GROUP BY doc_id),
+stays AS (SELECT e.doc_id, string_agg(e.line, chr(10) ORDER BY e.i) AS text FROM every e LEFT JOIN gone g ON g.doc_id = e.doc_id AND g.i = e.i WHERE g.i IS NULL GROUP BY e.doc_id)
+SELECT d.doc_id, CAST(coalesce(n_exact, 0) AS BIGINT) AS n_exact, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, sha256(CASE WHEN c.doc_id IS NULL THEN d.text ELSE coalesce(s.text, '') END) AS text_sha256
+FROM documents d LEFT JOIN counts c ON c.doc_id = d.doc_id LEFT JOIN stays s ON s.doc_id = d.doc_id
+"""

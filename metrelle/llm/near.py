@@ -215,3 +215,21 @@ def keep_one(documents: DataFrame) -> DataFrame:
 def digest(documents: DataFrame) -> DataFrame:
     """The rows of query op6_ngram_jaccard_join."""
     return joined(documents)
+
+
+#: DuckDB SQL for digest(): exact similarities over shared shingles, components by reachability. Documents of one table are few
+#: enough for it where the check runs; it holds what the forest finds against all there is to find.
+DIGEST_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+sets AS (SELECT doc_id, md5(string_agg(g, chr(10) ORDER BY g)) AS s, count(*) AS n FROM g GROUP BY doc_id),
+classes AS (SELECT s, min(doc_id) AS rep, count(*) AS n_copies, any_value(n) AS n FROM sets GROUP BY s),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id WHERE a.doc_id IN (SELECT rep FROM classes) AND b.doc_id IN (SELECT rep FROM classes) GROUP BY 1, 2),
+links AS (SELECT a, b FROM shared JOIN classes x ON x.rep = a JOIN classes y ON y.rep = b WHERE 5 * k >= 4 * (x.n + y.n - k)),
+reach AS (SELECT rep AS a, rep AS b FROM classes UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+roots AS (SELECT a, min(b) AS root FROM reach GROUP BY a),
+counts AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+SELECT w.doc_id, coalesce(r.root, w.doc_id) AS class_id, coalesce(c.rep, w.doc_id) AS copy_id, CAST(coalesce(c.n_copies, 1) AS BIGINT) AS n_copies, CAST(coalesce(k.n_links, 0) AS BIGINT) AS n_links
+FROM w LEFT JOIN sets s ON s.doc_id = w.doc_id LEFT JOIN classes c ON c.s = s.s LEFT JOIN roots r ON r.a = c.rep LEFT JOIN counts k ON k.a = c.rep
+"""

@@ -53,4 +53,8 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_shared_passages, op2_pii, op3_byte_bpe, op4_neighbours, op5_licenses, op6_ngram_jaccard_join, op7_language, op8_secrets, op9_line_dedup, op10_decontamination)}
-ORACLES = {"op10_decontamination": decontamination.DIGEST_SQL}
+ORACLES = {
+    "op6_ngram_jaccard_join": near.DIGEST_SQL,
+    "op9_line_dedup": lines.DIGEST_SQL,
+    "op10_decontamination": decontamination.DIGEST_SQL,
+}
