@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from metrelle.functions import numbers as n
-from metrelle.functions.text import join_labels, with_particle
+from metrelle.functions.text import join_labels, join_parts, with_particle
 from metrelle.operators import compare, scoring
 
 #: Sentences and words of the published page; fixed values.
@@ -119,6 +119,17 @@ def incomplete(models: DataFrame) -> DataFrame:
     return models.filter((F.col("missing") != 0) | (F.col("status") != "done"))
 
 
+def environment(run: Column) -> Column:
+    """Where a run was made, from its struct of chrome and host; the host's name of the platform goes first."""
+    chrome, host = run["chrome"], run["host"]
+    told = F.nullif(F.concat_ws(" ", F.nullif(chrome["platform"], F.lit("")), F.nullif(chrome["platform_version"], F.lit(""))), F.lit(""))
+    gpu = chrome["gpu"]
+    return F.struct(
+        chrome["version"].alias("chrome"), F.coalesce(F.nullif(host["platform"], F.lit("")), told).alias("platform"),
+        join_parts(F.array(*[gpu[k] for k in ("vendor", "architecture", "device", "description")])).alias("gpu"), host["machine"].alias("machine"),
+    )
+
+
 def markdown(title: str, frame: DataFrame, most: int = 1000) -> str:
     """A report section of a small published frame; more rows than `most` are an error, not a cut."""
     rows = frame.limit(most + 1).collect()

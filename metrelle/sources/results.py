@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import sys
 import tempfile
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +47,24 @@ def read_document(spark: SparkSession, path: str, schema: str | None = None) ->
     return (reader.schema(schema) if schema else reader).json(path)
 
 
+def raw_rows(arrived: DataFrame, model: str, run_id: str, load_ms: float | None, warmup_ms: float | None) -> DataFrame:
+    """Results as they arrive, with names in snake case and the session's columns added."""
+    names = [re.sub("(?<!^)(?=[A-Z])", "_", c).lower() for c in arrived.columns]
+    added = {"model": F.lit(model), "run_id": F.lit(run_id), "load_ms": F.lit(load_ms).cast("double"), "warmup_ms": F.lit(warmup_ms).cast("double")}
+    return arrived.toDF(*names).withColumns(added)
+
+
+def without_warmup(arrived: DataFrame) -> DataFrame:
+    """X11: results without those of the warm-up, marked in column `warmup`."""
+    return arrived.filter(~F.coalesce("warmup", F.lit(False))).drop("warmup")
+
+
+def log(event: str, **fields: object) -> None:
+    """One JSON object per event on stderr, with its time."""
+    stamp = datetime.now(UTC).isoformat(timespec="milliseconds")
+    print(json.dumps({"ts": stamp, "event": event, **fields}, ensure_ascii=False), file=sys.stderr, flush=True)
+
+
 def append_results(rows: DataFrame, path: str) -> None:
     """Rows appended as JSON lines under one folder per model; the committer publishes whole files only."""
     rows.write.mode("append").partitionBy("model").json(path)

@@ -125,6 +125,18 @@ def test_result_files(spark, tmp_path):
     assert [sources.is_newest(runs, x).first()[0] for x in ("20251231T000000Z", "20260101T000000Z")] == [False, True]
 
 
+def test_arriving_rows_and_environment(spark, capsys):
+    arrived = spark.createDataFrame([("1", 2.0, True), ("2", 3.0, None)], "id string, durationS double, warmup boolean")
+    got = sources.raw_rows(sources.without_warmup(arrived), "m", "r", 5.0, None).collect()
+    assert [r.asDict() for r in got] == [{"id": "2", "duration_s": 3.0, "model": "m", "run_id": "r", "load_ms": 5.0, "warmup_ms": None}]
+    sources.log("done", n=1)
+    assert json.loads(capsys.readouterr().err.splitlines()[-1])["event"] == "done"
+    kind = "struct<chrome:struct<version:string,platform:string,platform_version:string,gpu:struct<vendor:string,architecture:string,device:string,description:string>>,host:struct<platform:string,machine:string>>"
+    rows = [((("1", "mac", "2", ("v", "", None, "d")), ("", "arm")),), ((("1", "mac", None, None), None),)]
+    told = spark.createDataFrame(rows, f"run {kind}").select(views.environment(F.col("run")).alias("e")).collect()
+    assert [tuple(r["e"]) for r in told] == [("1", "mac 2", "v / d", "arm"), ("1", "mac", None, None)]
+
+
 def test_contract(spark):
     docs = ['{"schema":1,"run_id":"r","n":3}', '{"schema":1,"run_id":"","n":-1,"ok":"x"}', '{"schema":2}', "no json", '{"schema":1,"run_id":"r","n":null}']
     frame = spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "i int, d string").orderBy("i")
