@@ -26,9 +26,9 @@ from pyspark.sql import DataFrame
 from metrelle.llm.common import small_batches
 
 #: Distinct units that a worker keeps between batches and tasks.
-KEPT_UNITS = 250_000
+KEPT_UNITS = 120_000
 #: Characters of text whose new units are merged together.
-GROUP_CHARS = 8 << 20
+GROUP_CHARS = 4 << 20
 _replays: dict = {}
 
 
@@ -157,6 +157,8 @@ class MergeReplay:
         whole = [i for i, ids in enumerate(out) if ids is None]
         for i, ids in zip(whole, self.ids_of([texts[i] for i in whole])):
             out[i] = ids
+        if len(self.merged) > KEPT_UNITS:
+            self.merged.clear()
         if len(known) > KEPT_UNITS:  # what isn't met again is forgotten at the next turn
             self.known, self.older = {}, known
         return out
