@@ -27,7 +27,10 @@ def rate(edits: Column, chars: Column) -> Column:
 
 def clip_facts(results: DataFrame) -> DataFrame:
     """F8: results without texts, with <metric>_edits and <metric>_chars; null for failed rows, which aren't scored."""
-    counted = results.withColumns({m: F.when(~failed(), edit_count(F.col("reference"), F.col("hypothesis"), m)) for m in NORMALIZERS})
+    spark = results.sparkSession
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # The distance is quadratic in the text, so few bytes are much work: rows are dealt out by number, before it.
+    counted = results.repartition(tasks, "model", "id").withColumns({m: F.when(~failed(), edit_count(F.col("reference"), F.col("hypothesis"), m)) for m in NORMALIZERS})
     flat = {f"{m}_{part}": F.col(m)[part] for m in NORMALIZERS for part in ("edits", "chars")}
     return counted.withColumns(flat).drop("reference", "hypothesis", *NORMALIZERS)
 
