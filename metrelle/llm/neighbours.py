@@ -11,7 +11,7 @@ A bucket is split into blocks of rows and of queries, so none gathers in one tas
 that names their k + 1 smallest ids, which is all that any query can need of them.
 
 Defined results: vectors that are null, all zero or hold null or non-finite parts take no part, nor do null ids; only
-vectors of one length are compared; rows with the query's own id are no candidates; ties go to the smaller id; a query
+vectors of one length are compared; rows with the query's own id are no candidates; scores are rounded to 12 places, ties go to the smaller id; a query
 without candidates gives no row; an empty table gives none; other columns are ignored.
 """
 
@@ -34,6 +34,8 @@ TABLE_SUCCESS = 0.82
 #: Rows or queries of a block, and rows for which one function pays.
 BLOCK, ROWS_A_FUNCTION = 2048, 500
 SAMPLE_QUERIES = 32
+#: Places of a score, so that vectors of one direction tie whatever their length; what a rough score may be off.
+DIGITS, MARGIN = 12, 1e-9
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -130,11 +132,13 @@ def _compared(k: int):
         length, reach = np.sqrt((rows * rows).sum(1)), np.sqrt((asked * asked).sum(1))
         ids = left["ids"].tolist()
         rough = (asked / reach[:, None]) @ (rows / length[:, None]).T
-        most = min(len(rows), k + 4)
+        lone = np.array([i[0] if len(i) == 1 else None for i in ids], object)
         out: list[tuple[int, int, float]] = []
         for i, q in enumerate(right["query_id"].tolist()):
-            at = np.argpartition(-rough[i], most - 1)[:most]
-            score = (rows[at] * asked[i]).sum(1) / (length[at] * reach[i])
+            at = np.flatnonzero(lone != q)  # entries of another id than the query's own
+            if len(at) > k:
+                at = at[rough[i][at] >= np.partition(rough[i][at], -k)[-k] - MARGIN]
+            score = np.round((rows[at] * asked[i]).sum(1) / (length[at] * reach[i]), DIGITS)
             near = sorted((-s, int(v)) for s, j in zip(score.tolist(), at.tolist()) for v in ids[j] if v != q)[:k]
             out += [(q, v, -s) for s, v in near]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]) if out else none

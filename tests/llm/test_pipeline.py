@@ -165,3 +165,11 @@ def test_neighbours_recall_ties_and_odd_vectors(spark):
     assert hit / total >= 0.9 and not set(got.query_id) & {5000, 5050, 5100, 5150, 5200}
     assert list(got[got.query_id == 150].sort_values("rank").vec_id) == [100, 101, 102, 103, 104]
     assert neighbours.digest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_neighbours_of_many_rescaled_copies_go_by_id(spark):
+    v = np.random.default_rng(4).normal(size=8)
+    rows = [(i, (v * s).tolist()) for i, s in enumerate(np.random.default_rng(5).permutation(np.arange(1, 201)).tolist())]
+    got = neighbours.digest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    for q in (0, 50, 100, 150):
+        assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == [i for i in range(6) if i != q][:5]
