@@ -49,3 +49,28 @@ def resolved(recorded: Column, requested: Column, default: Column, exists: Colum
     value = F.when(exists, F.coalesce(recorded, default)).otherwise(F.coalesce(requested, default))
     clash = exists & requested.isNotNull() & ~requested.eqNullSafe(F.coalesce(recorded, default))
     return F.struct(value.alias("value"), clash.alias("mismatch"))
+
+
+def required(settings: dict[str, Column]) -> dict[str, Column]:
+    """The values of several resolved() settings; a row with mismatches raises, and all of them are named."""
+    wrong = F.concat_ws(", ", *[F.when(s["mismatch"], F.concat(F.lit(f"{name} (recorded: "), F.coalesce(s["value"].cast("string"), F.lit("none")), F.lit(")"))) for name, s in settings.items()])
+    return {name: F.when(wrong == "", s["value"]).otherwise(F.raise_error(F.concat(F.lit("settings differ from the run's: "), wrong))) for name, s in settings.items()}
+
+
+def reassigned(values: Column, names: list[str]) -> Column:
+    """arguments by name, array<string> in the order of `names` to map<string,string>: `name=value` goes to that name, what
+    it leaves is empty; a name given twice, or also by its place, raises."""
+    order = F.array(*map(F.lit, names))
+    pairs = F.transform(F.arrays_zip(order.alias("slot"), values.alias("value")), lambda x: F.struct(x["slot"].alias("slot"), F.coalesce(x["value"], F.lit("")).alias("value"), F.regexp_extract(F.coalesce(x["value"], F.lit("")), "^([^=]*)=", 1).alias("name")))
+    named = F.filter(pairs, lambda x: x["value"].contains("=") & F.array_contains(order, x["name"]))
+    placed = F.filter(pairs, lambda x: ~(x["value"].contains("=") & F.array_contains(order, x["name"])))
+    own = lambda slot: F.filter(named, lambda x: x["name"] == slot)
+    here = lambda slot: F.coalesce(F.get(F.filter(placed, lambda x: x["slot"] == slot), F.lit(0))["value"], F.lit(""))
+
+    def value(slot: Column) -> Column:
+        given = F.get(own(slot), F.lit(0))
+        text = F.substr(given["value"], F.length(slot) + 2)
+        fault = F.when(F.size(own(slot)) > 1, F.concat(slot, F.lit(" is given twice"))).when(given.isNotNull() & (F.trim(here(slot)) != ""), F.concat(slot, F.lit(" is given by name and by place")))
+        return F.when(fault.isNotNull(), F.raise_error(fault).cast("string")).when(given.isNotNull(), text).otherwise(here(slot))
+
+    return F.map_from_entries(F.transform(order, lambda slot: F.struct(slot.alias("key"), value(slot).alias("value"))))

@@ -28,10 +28,10 @@ def _nfkc(text: pd.Series) -> pd.Series:
     return text.str.normalize("NFKC")
 
 
-def _normal(text: Column, form: Callable) -> Column:
-    """A Unicode normal form; only texts that can change go through Python, as the JVM functions have none."""
+def normal_forms(text: Column) -> dict[str, Column]:
+    """NFC and NFKC of texts that can change by them, else null: only those go through Python, as the JVM functions have none."""
     needs = ~text.rlike(_STABLE)
-    return F.when(needs, form(F.when(needs, text))).otherwise(text)
+    return {"nfc": F.when(needs, _nfc(F.when(needs, text))), "nfkc": F.when(needs, _nfkc(F.when(needs, text)))}
 
 
 def strip_whitespace(text: Column) -> Column:
@@ -39,14 +39,14 @@ def strip_whitespace(text: Column) -> Column:
     return F.regexp_replace(text, WHITESPACE, "")
 
 
-def normalize_strict(text: Column) -> Column:
-    """NFC, then no white space; width, case and punctuation stay."""
-    return strip_whitespace(_normal(text, _nfc))
+def normalize_strict(text: Column, forms: dict[str, Column] | None = None) -> Column:
+    """NFC, then no white space; width, case and punctuation stay. forms: normal_forms() of the text, where they are at hand."""
+    return strip_whitespace(F.coalesce((forms or normal_forms(text))["nfc"], text))
 
 
-def normalize_norm(text: Column) -> Column:
+def normalize_norm(text: Column, forms: dict[str, Column] | None = None) -> Column:
     """NFKC, lower case, without punctuation, symbols and white space; the long vowel mark stays."""
-    return strip_whitespace(F.regexp_replace(F.lower(_normal(text, _nfkc)), r"[\p{P}\p{S}]", ""))
+    return strip_whitespace(F.regexp_replace(F.lower(F.coalesce((forms or normal_forms(text))["nfkc"], text)), r"[\p{P}\p{S}]", ""))
 
 
 def hiragana_to_katakana(text: Column) -> Column:
@@ -67,13 +67,32 @@ def reading(tokens: Column) -> Column:
 
 
 #: The registry of normalisers, by metric and in output order.
-NORMALIZERS: dict[str, Callable[[Column], Column]] = {"cer_strict": normalize_strict, "cer_norm": normalize_norm}
+NORMALIZERS: dict[str, Callable[..., Column]] = {"cer_strict": normalize_strict, "cer_norm": normalize_norm}
+
+
+def distance(a: Column, b: Column) -> Column:
+    """the edit distance. Where one text holds the other it is the difference of their lengths; near texts are settled in a
+    narrow band around the diagonal, wider ones in a wider band, and only the rest takes the whole table."""
+    near, most = F.abs(F.length(a) - F.length(b)), F.greatest(F.length(a), F.length(b))
+    banded = lambda share: F.when(near <= F.floor(most / share), F.nullif(_within(a, b, F.floor(most / share).cast("int")), F.lit(-1)))
+    return F.when(F.contains(b, a) | F.contains(a, b), near).otherwise(F.coalesce(banded(24), banded(5), F.levenshtein(a, b)))
+
+
+def _within(a: Column, b: Column, most: Column) -> Column:
+    """The edit distance, or -1 if it is above `most`."""
+    return F.call_function("levenshtein", a, b, most)
 
 
 def edit_count(reference: Column, hypothesis: Column, metric: str) -> Column:
     """F8 with F1: struct(edits, chars) of two texts under a metric; chars are those of the normalised reference."""
     a, b = NORMALIZERS[metric](reference), NORMALIZERS[metric](hypothesis)
-    return F.struct(F.levenshtein(a, b).cast("long").alias("edits"), F.length(a).cast("long").alias("chars"))
+    return edits_of(a, b)
+
+
+def edits_of(a: Column, b: Column) -> Column:
+    """struct(edits, chars) of a normalised reference and hypothesis, both null where either is."""
+    both = a.isNotNull() & b.isNotNull()
+    return F.struct(distance(a, b).cast("long").alias("edits"), F.when(both, F.length(a).cast("long")).alias("chars"))
 
 
 def short_text(text: Column, most: int = 80) -> Column:

@@ -24,7 +24,7 @@ def excluded_before(rows: DataFrame, n: int, most: float = 30.0) -> DataFrame:
     """Per dataset how many over-long rows come before the n-th taken one; all of them if fewer are taken."""
     last = take_within(rows, n, most).groupBy("dataset").agg(F.max("key").alias("last"), F.count("*").alias("taken"))
     keyed = rows.withColumn("key", sampling_key(F.col("dataset"), F.col("row")))
-    both = keyed.join(F.broadcast(last), "dataset", "left")  # a row per dataset
+    both = keyed.join(last, "dataset", "left")  # a row per dataset, which AQE broadcasts after it has seen its size
     met = (F.col("duration_s") > most) & ((F.coalesce(F.col("taken"), F.lit(0)) < n) | (F.col("key") < F.col("last")))
     return both.groupBy("dataset").agg(F.coalesce(F.any_value("taken"), F.lit(0)).alias("taken"), F.count_if(met).alias("excluded"))
 
@@ -54,8 +54,9 @@ def ids_digest(items: DataFrame) -> DataFrame:
 
 
 def same_plan(one: DataFrame, other: DataFrame) -> DataFrame:
-    """Whether two plans have the same ids in the same order."""
-    return ids_digest(one).toDF("a").crossJoin(ids_digest(other).toDF("b")).select((F.col("a") == F.col("b")).alias("same"))
+    """Whether two plans have the same ids in the same order, by their places; no list of ids is made."""
+    both = one.select("ordinal", F.col("id").alias("a")).join(other.select("ordinal", F.col("id").alias("b")), "ordinal", "full")
+    return both.agg((F.count_if(~F.col("a").eqNullSafe(F.col("b"))) == 0).alias("same"))
 
 
 def pending(items: DataFrame, recorded: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from metrelle.functions.text import NORMALIZERS, edit_count
+from metrelle.functions.text import NORMALIZERS, edits_of, normal_forms, reading
 
 #: A clip whose normalised rate is above this in any model is a run-wide outlier.
 OUTLIER_RATE = 1.0
@@ -26,13 +26,29 @@ def rate(edits: Column, chars: Column) -> Column:
 
 
 def clip_facts(results: DataFrame) -> DataFrame:
-    """F8: results without texts, with <metric>_edits and <metric>_chars; null for failed rows, which aren't scored."""
-    spark = results.sparkSession
-    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    # The distance is quadratic in the text, so few bytes are much work: rows are dealt out by number, before it.
-    counted = results.repartition(tasks, "model", "id").withColumns({m: F.when(~failed(), edit_count(F.col("reference"), F.col("hypothesis"), m)) for m in NORMALIZERS})
-    flat = {f"{m}_{part}": F.col(m)[part] for m in NORMALIZERS for part in ("edits", "chars")}
-    return counted.withColumns(flat).drop("reference", "hypothesis", *NORMALIZERS)
+    """F8: results without texts, with <metric>_edits and <metric>_chars; null for failed rows, which aren't scored.
+
+    Rows with the tokens of both texts, array<struct<surface, reading>> in reference_tokens and hypothesis_tokens, also get
+    cer_reading. The distance is much work for few bytes, so rows are dealt out before it, by the id that marked() needs them by."""
+    texts = ("reference", "hypothesis")
+    forms = {c: normal_forms(F.col(c)) for c in texts}
+    made = {f"__{c}_{name}": form for c in texts for name, form in forms[c].items()}  # Python, before rows are dealt out
+    at_hand = {c: {name: F.col(f"__{c}_{name}") for name in forms[c]} for c in texts}
+    plain = {m: tuple(normal(F.col(c), at_hand[c]) for c in texts) for m, normal in NORMALIZERS.items()}
+    tokens = ("reference_tokens", "hypothesis_tokens")
+    if set(tokens) <= set(results.columns):
+        plain["cer_reading"] = tuple(reading(F.col(c)) for c in tokens)
+    # Texts are normalised in a projection of their own, as a distance looks at them more than once.
+    sides = {f"__{m}_{side}": F.when(~failed(), text) for m, both in plain.items() for side, text in zip("ab", both)}
+    counts = {m: edits_of(F.col(f"__{m}_a"), F.col(f"__{m}_b")) for m in plain}
+    flat = {f"{m}_{part}": F.col(m)[part] for m in plain for part in ("edits", "chars")}
+    dealt = results.withColumns(made).repartition("id")
+    return dealt.withColumns(sides).withColumns(counts).withColumns(flat).drop(*texts, *tokens, *made, *sides, *counts)
+
+
+def metrics_of(facts: DataFrame) -> list[str]:
+    """The metrics that facts hold, in output order."""
+    return [m for m in (*NORMALIZERS, "cer_reading") if f"{m}_edits" in facts.columns]
 
 
 def outlier_ids(facts: DataFrame) -> DataFrame:
@@ -56,12 +72,13 @@ def speed(ok: Column) -> list[Column]:
     return [of(infer).alias("rtf"), of(infer + decode).alias("rtf_with_decode"), F.coalesce(audio, F.lit(0.0)).alias("audio_s")]
 
 
-def summary_columns() -> list[Column]:
-    """The aggregates of a group of marked facts."""
+def summary_columns(metrics: list[str]) -> list[Column]:
+    """The aggregates of a group of marked facts. The median keeps a count for each rate that occurs, and a clip's
+    length bounds how many there are, however many clips there are."""
     ok = ~failed()
     total = lambda m, part, when=None: F.coalesce(F.sum(F.when(ok & (F.lit(True) if when is None else when), F.col(f"{m}_{part}"))), F.lit(0))
     out = [F.count("*").alias("clips"), F.count_if(ok).alias("succeeded"), F.count_if(~ok).alias("failed")]
-    for m in NORMALIZERS:
+    for m in metrics:
         out += [total(m, "edits").alias(f"{m}_edits"), total(m, "chars").alias(f"{m}_chars")]
     kept = ~F.col("outlier")
     out += [
@@ -73,17 +90,17 @@ def summary_columns() -> list[Column]:
     return [*out, *speed(ok)]
 
 
-def group_summary(facts: DataFrame) -> DataFrame:
-    """A5: a row per (model, dataset) and per model (dataset null, overall true)."""
+def group_summary(facts: DataFrame, *more: Column) -> DataFrame:
+    """A5: a row per (model, dataset) and per model (dataset null, overall true); `more` are further aggregates of marked facts."""
     sets = marked(facts).groupingSets([["model", "dataset"], ["model"]], "model", "dataset")
-    return sets.agg(*summary_columns(), (F.grouping("dataset") == 1).alias("overall"))
+    return sets.agg(*summary_columns(metrics_of(facts)), *more, (F.grouping("dataset") == 1).alias("overall"))
 
 
 def worst(facts: DataFrame, k: int = WORST) -> DataFrame:
     """The k worst clips of each model and dataset; outliers stay, failures and undefined rates don't."""
     scored = facts.withColumn("rate", rate(F.col("cer_norm_edits"), F.col("cer_norm_chars"))).filter("cer_norm_chars > 0")
     order = Window.partitionBy("model", "dataset").orderBy(F.desc("rate"), F.desc("cer_norm_edits"), "id")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("model", "dataset", "rank", "id", "rate", F.col("cer_norm_edits").alias("edits"))
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("model", "dataset", "rank", "id", "rate", F.col("cer_norm_edits").alias("edits"), F.col("cer_norm_chars").alias("chars"))
 
 
 def first_values(results: DataFrame, *columns: str) -> DataFrame:

@@ -57,3 +57,20 @@ def phases(events: DataFrame) -> DataFrame:
     last = F.max_by("type", "seq")
     phase = F.when(failed, "error").when(last == "model-ready", "warming").when(last == "warmed", "running").when(last == "result", "running").when(last == "finished", "done").otherwise("loading")
     return events.groupBy("model").agg(phase.alias("phase"), F.min_by(F.when(F.col("type") == "error", F.col("text")), F.when(F.col("type") == "error", F.col("seq"))).alias("reason"))
+
+
+def fail_all(events: DataFrame, items: DataFrame) -> DataFrame:
+    """(model, id, reason) of the ids that are still open when a model's worker is lost, each with the first reason.
+
+    items are the (model, id) asked for; events are phases()' rows with `id` on results, and a result after the loss doesn't count."""
+    lost = events.filter("type = 'error'").groupBy("model").agg(F.min("seq").alias("lost"), F.min_by("text", "seq").alias("reason"))
+    done = events.filter("type = 'result'").select("model", "id", "seq")
+    done = done.join(lost.select("model", "lost"), "model").filter(F.col("seq") < F.col("lost")).select("model", "id").distinct()
+    return items.join(lost.select("model", "reason"), "model").join(done, ["model", "id"], "left_anti").select("model", "id", "reason")
+
+
+def browsers(attempts: DataFrame) -> DataFrame:
+    """Per run the first attempt's browser, and those of its resumes stacked in order; nulls are passed over."""
+    seen = F.array_sort(F.collect_list(F.when(F.col("browser").isNotNull(), F.struct("attempt", "browser"))))
+    each = attempts.groupBy("run_id").agg(F.transform(seen, lambda x: x["browser"]).alias("b"))
+    return each.select("run_id", F.get("b", F.lit(0)).alias("browser"), F.slice("b", F.lit(2), F.greatest(F.size("b") - 1, F.lit(0))).alias("resumed"))

@@ -41,7 +41,7 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def declared(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([("m1", 0, "Base 4 E2B（q4f16）", 400), ("m0", 1, "Base 4 E2B（q2f16）", 600), ("m3", 2, "Base 4 E4B", None)], "model string, ordinal int, label string, planned int")
+    return spark.createDataFrame([("m1", 0, "Ostinato Grande（fp16）", 400), ("m0", 1, "Ostinato Grande（int8）", 600), ("m3", 2, "Ostinato Presto", None)], "model string, ordinal int, label string, planned int")
 
 
 def datasets(spark: SparkSession) -> DataFrame:
@@ -65,7 +65,7 @@ results AS (
          duration_s * 100 + (row % 5) * 10 AS infer_ms, duration_s * 2 AS decode_ms, row AS line_no,
          CASE WHEN row % 3 = 1 THEN row + 0.5 END AS load_ms, CASE WHEN row % 4 = 3 THEN row + 0.25 END AS warmup_ms
   FROM clips c CROSS JOIN (VALUES ('m0'), ('m1'), ('m2')) m(model)),
-declared(model, ordinal, label, planned) AS (VALUES ('m1', 0, 'Base 4 E2B（q4f16）', 400), ('m0', 1, 'Base 4 E2B（q2f16）', 600), ('m3', 2, 'Base 4 E4B', NULL)),
+declared(model, ordinal, label, planned) AS (VALUES ('m1', 0, 'Ostinato Grande（fp16）', 400), ('m0', 1, 'Ostinato Grande（int8）', 600), ('m3', 2, 'Ostinato Presto', NULL)),
 datasets(dataset, ordinal, label, repo, revision) AS (VALUES ('user', 0, 'User turns', 'r/u', '1'), ('assistant', 1, 'Answers', 'r/a', '2'))
 """
 FACTS_SQL = f"""{SQL},

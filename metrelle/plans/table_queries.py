@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from metrelle.functions import nested, numbers, text
 from metrelle.operators import compare, planning, sessions
-from metrelle.plans import derived, views
+from metrelle.plans import derived
 from metrelle.plans.derived import SQL
 from metrelle.sources import results as sources
 from metrelle.sources.tables import table
@@ -69,11 +69,14 @@ def plan_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planning.ids_digest(derived.clips(spark, sf_dir))
 
 
-@query("SELECT FALSE AS same")
+@query(f"""WITH {SQL}, p AS (SELECT string_agg(id, chr(10) ORDER BY ordinal) AS one, string_agg(id, chr(10) ORDER BY -ordinal) AS back, string_agg(id, chr(10) ORDER BY ordinal) FILTER (ordinal % 7 <> 0) AS part FROM clips)
+SELECT 'itself' AS other, one = one AS same FROM p UNION ALL SELECT 'reversed', one = back FROM p UNION ALL SELECT 'a part', one = part FROM p""")
 def same_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A plan against its reverse."""
+    """A plan against itself, its reverse and a part of it."""
     items = derived.clips(spark, sf_dir)
-    return planning.same_plan(items, items.withColumn("ordinal", -F.col("ordinal")))
+    others = {"itself": items, "reversed": items.withColumn("ordinal", -F.col("ordinal")), "a part": items.filter("ordinal % 7 <> 0")}
+    each = [planning.same_plan(items, other).select(F.lit(name).alias("other"), "same") for name, other in others.items()]
+    return each[0].union(each[1]).union(each[2])
 
 
 @query(f"WITH {SQL} SELECT id, dataset FROM clips WHERE id NOT IN (SELECT id FROM results WHERE model = 'm0' AND error IS NULL)")
@@ -122,12 +125,13 @@ def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.duplicate_keys(table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "custkey"), "custkey")
 
 
-@query("(SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders) UNION ALL (SELECT o_custkey FROM orders EXCEPT SELECT c_custkey FROM customer)")
+@query("""WITH a AS (SELECT c_custkey AS k FROM customer WHERE c_acctbal > 0), b AS (SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'F')
+(SELECT k, 'customer' AS side FROM a EXCEPT SELECT k, 'customer' FROM b) UNION ALL (SELECT k, 'orders' FROM b EXCEPT SELECT k, 'orders' FROM a)""")
 def key_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """U4, U2."""
-    a = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
-    b = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"))
-    return a.subtract(b).union(b.subtract(a))
+    """Keys that only one of two relations has."""
+    a = table(spark, sf_dir, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("k"))
+    b = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("k"))
+    return a.subtract(b).withColumn("side", F.lit("customer")).union(b.subtract(a).withColumn("side", F.lit("orders")))
 
 
 def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,12 +191,49 @@ def stuck_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.stuck_rows(stalls, items, done).select("model", "id", "dataset", "duration_s", "hypothesis", "infer_ms", "error")
 
 
-@query("""WITH m AS (SELECT 'm' || (user_id % 50) AS model, event_id AS seq, event_type AS type FROM events), g AS (SELECT model, max(CASE WHEN type = 'error' THEN 1 ELSE 0 END) AS bad, min(CASE WHEN type = 'error' THEN seq END) AS first_bad FROM m GROUP BY model)
-SELECT model, CASE WHEN bad = 1 THEN 'error' ELSE 'loading' END AS phase, CAST(first_bad AS VARCHAR) AS reason FROM g""")
+_STEPS = {"view": "model-ready", "signup": "warmed", "click": "result", "purchase": "finished", "error": "error"}
+_EVENTS = f"""m AS (SELECT 'm' || user_id AS model, event_id AS seq, CASE event_type {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in _STEPS.items())} END AS type, CAST(event_id AS VARCHAR) AS text, 'c' || (event_id % 3) AS id FROM events)"""
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runner events made of all events, a model per user."""
+    e = table(spark, sf_dir, "events")
+    step = F.create_map(*[F.lit(x) for pair in _STEPS.items() for x in pair])[F.col("event_type")]
+    return e.select(F.concat(F.lit("m"), "user_id").alias("model"), F.col("event_id").alias("seq"), step.alias("type"), F.col("event_id").cast("string").alias("text"), F.concat(F.lit("c"), F.col("event_id") % 3).alias("id"))
+
+
+@query(f"""WITH {_EVENTS}, g AS (SELECT model, min(seq) FILTER (type = 'error') AS bad, arg_max(type, seq) AS last FROM m GROUP BY model)
+SELECT model, CASE WHEN bad IS NOT NULL THEN 'error' WHEN last = 'model-ready' THEN 'warming' WHEN last IN ('warmed', 'result') THEN 'running' WHEN last = 'finished' THEN 'done' ELSE 'loading' END AS phase, CAST(bad AS VARCHAR) AS reason FROM g""")
 def phases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """X9, X10."""
+    """X10."""
+    return sessions.phases(_events(spark, sf_dir))
+
+
+@query(f"""WITH {_EVENTS}, lost AS (SELECT model, min(seq) AS lost FROM m WHERE type = 'error' GROUP BY model), items AS (SELECT DISTINCT model, id FROM m)
+SELECT i.model, i.id, CAST(lost AS VARCHAR) AS reason FROM items i JOIN lost l ON l.model = i.model WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.model = i.model AND m.id = i.id AND m.type = 'result' AND m.seq < l.lost)""")
+def fail_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids that are open when a worker is lost."""
+    events = _events(spark, sf_dir)
+    return sessions.fail_all(events, events.select("model", "id").distinct())
+
+
+@query("""WITH s AS (SELECT 'm' || (user_id % 50) AS run_id, event_id AS attempt, CASE WHEN event_type <> 'error' THEN event_type END AS browser FROM events)
+SELECT run_id, list(browser ORDER BY attempt)[1] AS browser, array_to_string(list(browser ORDER BY attempt)[2:], ',') AS resumed FROM s WHERE browser IS NOT NULL GROUP BY run_id""")
+def browsers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C9."""
     e = table(spark, sf_dir, "events")
-    return sessions.phases(e.select(F.concat(F.lit("m"), F.col("user_id") % 50).alias("model"), F.col("event_id").alias("seq"), F.col("event_type").alias("type"), F.col("event_id").cast("string").alias("text")))
+    attempts = e.select(F.concat(F.lit("m"), F.col("user_id") % 50).alias("run_id"), F.col("event_id").alias("attempt"), F.when(F.col("event_type") != "error", F.col("event_type")).alias("browser"))
+    return sessions.browsers(attempts).select("run_id", "browser", F.array_join("resumed", ",").alias("resumed"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'x' || o_orderkey ELSE '' || o_custkey END AS run, CASE WHEN o_orderkey % 3 = 0 THEN '' || o_custkey WHEN o_orderkey % 3 = 1 THEN 'a=b' ELSE '' END AS model FROM orders""")
+def named_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the order's customer by place, or its key by name in the other's place."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey").cast("string")
+    second = F.when(k % 3 == 0, F.concat(F.lit("run=x"), k.cast("string"))).when(k % 3 == 1, "a=b").otherwise("")
+    first = F.when(k % 3 == 0, F.concat(F.lit("model="), c)).otherwise(c)
+    found = nested.reassigned(F.array(first, second), ["run", "model"])
+    return table(spark, sf_dir, "orders").select("o_orderkey", found["run"].alias("run"), found["model"].alias("model"))
 
 
 @query("SELECT conv_id, string_agg(text, '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id")
@@ -205,7 +246,7 @@ def token_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH d AS (SELECT doc_id, n_chars, unnest(range(0, n_chars, 3000)) AS s FROM documents WHERE n_chars > 0)
 SELECT doc_id, s / CAST(100 AS DOUBLE) AS start_sec, least(s + 3000, n_chars) / CAST(100 AS DOUBLE) AS end_sec FROM d WHERE least(s + 3000, n_chars) - s >= 10""")
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as signals of n_chars samples at 100 a second."""
+    """Documents as signals of n_chars samples at 100 a second."""
     cut = table(spark, sf_dir, "documents").select("doc_id", F.explode(nested.segments(F.col("n_chars"), 100.0)).alias("s"))
     return cut.select("doc_id", "s.start_sec", "s.end_sec")
 
@@ -227,10 +268,12 @@ def clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.withColumn("v", F.col("v").cast("double"))
 
 
-@query(r"SELECT page_id, regexp_extract(url, '[?&]page=([^&#]*)', 1) AS page, coalesce(nullif(regexp_extract(url, '[?&]lang=([^&#]*)', 1), ''), 'en') AS lang FROM pages")
+@query(r"""WITH p AS (SELECT page_id, url || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || CASE page_id % 4 WHEN 0 THEN 'lang=de' WHEN 1 THEN 'x=1&lang=fr&page=7' WHEN 2 THEN 'xlang=es' ELSE 'n=1' END AS u FROM pages)
+SELECT page_id, regexp_extract(split_part(u, '#', 1), '[?&]page=([^&]*)', 1) AS page, coalesce(nullif(regexp_extract(split_part(u, '#', 1), '[?&]lang=([^&]*)', 1), ''), 'en') AS lang FROM p""")
 def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F17."""
-    url = F.col("url")
+    """every page's address, with more parameters."""
+    more = F.when(F.col("page_id") % 4 == 0, "lang=de").when(F.col("page_id") % 4 == 1, "x=1&lang=fr&page=7").when(F.col("page_id") % 4 == 2, "xlang=es").otherwise("n=1")
+    url = F.concat("url", F.when(F.contains("url", F.lit("?")), "&").otherwise("?"), more)
     return table(spark, sf_dir, "pages").select("page_id", text.url_parameter(url, "page", "").alias("page"), text.url_parameter(url, "lang", "en").alias("lang"))
 
 
@@ -351,21 +394,19 @@ def resolve_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", made["value"].alias("value"), made["mismatch"].alias("mismatch"))
 
 
-@query("SELECT DISTINCT c_mktsegment AS segment, 'Transcribe the following speech segment in ' || c_mktsegment || ' into ' || c_mktsegment || ' text.' AS first_line FROM customer")
+@query("""WITH l(place, line) AS (VALUES (0, 'Transcribe the following speech segment in {s} into {s} text.'), (1, ''), (2, 'Follow these specific instructions for formatting the answer:'), (3, '* Only output the transcription, with no newlines.'),
+(4, '* When transcribing numbers, write the digits, i.e. write 1.7 and not one point seven, and write 3 instead of three.')) SELECT DISTINCT c_mktsegment AS segment, place, replace(line, '{s}', c_mktsegment) AS line FROM customer CROSS JOIN l""")
 def prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F15."""
-    return table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("segment"), F.substring_index(text.prompt(F.col("c_mktsegment")), "\n", 1).alias("first_line")).distinct()
+    """all lines."""
+    segments = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("segment")).distinct()
+    return segments.select("segment", F.posexplode(F.split(text.prompt(F.col("segment")), "\n")).alias("place", "line"))
 
 
-@query()
+@query(rf"""WITH {SQL}, f AS (SELECT *, trim(regexp_replace(label, '^Ostinato\s+', '')) AS fam FROM declared), s AS (SELECT *, trim(regexp_replace(fam, '\s*[（(][^）)]*[）)]\s*$', '')) AS sh FROM f),
+c AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY sh) = 1 THEN sh WHEN count(*) OVER (PARTITION BY fam) = 1 THEN fam ELSE label END AS short FROM s)
+SELECT model, short, CASE WHEN ordinal < 4 THEN ordinal + 1 END AS slot, short || CASE WHEN regexp_matches(short, '[A-Za-z0-9)\]]$') THEN ' ' ELSE '' END || 'が' AS subject, translate(model, 'm013', 'Ｍ０１３') AS wide, 'ァンヶー' AS kana FROM c""")
 def label_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F5, F6, F13, F14, J7, W5; literal cases are in the tests."""
+    """F5, F6, F13, F14, J7, W5; more cases are in the tests."""
     models = derived.declared(spark)
-    named = compare.series_slot(compare.short_labels(models, r"Base\s*4"), models.select("model", "ordinal"))
+    named = compare.series_slot(compare.short_labels(models, "Ostinato"), models.select("model", "ordinal"))
     return named.select("model", "short", "slot", text.with_particle(F.col("short"), "が").alias("subject"), text.fullwidth_upper(F.col("model")).alias("wide"), text.hiragana_to_katakana(F.lit("ぁんゖー")).alias("kana"))
-
-
-@query()
-def report_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One section, of a published frame."""
-    return spark.createDataFrame([(views.markdown("Plan", planned_totals(spark, sf_dir).orderBy("dataset")),)], "report string")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from metrelle.functions import numbers as n
-from metrelle.functions.text import join_labels, join_parts, with_particle
+from metrelle.functions.text import escape_cell, join_labels, join_parts, short_text, with_particle
 from metrelle.operators import compare, scoring
 
 #: Sentences and words of the published page; fixed values.
@@ -17,24 +17,27 @@ EXCLUDED = "未完了のため比較から除外"
 CER = "日本語の総合 CER（正規化）は "
 
 
-def board(facts: DataFrame, declared: DataFrame) -> DataFrame:
-    """A row per model and group (each dataset, and overall with dataset null), metrics null where there is none."""
-    groups = scoring.group_summary(facts)
+def board(facts: DataFrame, declared: DataFrame, *more: Column) -> DataFrame:
+    """A row per model and group (each dataset, and overall with dataset null), metrics null where there is none;
+    `more` are further aggregates of marked facts."""
+    groups = scoring.group_summary(facts, *more)
+    added = [c for c in groups.columns if c in {"load_s", "warmup_s", "outlier_ids"}]
     models = scoring.all_models(declared, facts.select("model").distinct()).select("model", "place", F.coalesce("label", "model").alias("label"), "planned")
     names = facts.select("dataset").distinct().union(facts.sparkSession.createDataFrame([(None,)], "dataset string"))
-    frame = models.crossJoin(F.broadcast(names))  # two dimensions: models by datasets
+    frame = models.crossJoin(names)  # two dimensions: models by datasets
     joined = frame.alias("f").join(groups.alias("g"), F.expr("f.model = g.model AND f.dataset <=> g.dataset"), "left")
     rate = lambda m: scoring.rate(F.col(f"{m}_edits"), F.col(f"{m}_chars"))
     made = joined.select(
         "f.model", "f.place", "f.label", "f.planned", "f.dataset", F.col("g.clips").alias("n"), "g.failed", "g.outliers",
-        n.rounded(rate("cer_strict")).alias("cer_strict"), n.rounded(rate("cer_norm")).alias("cer_norm"), n.rounded(F.col("median")).alias("median"),
-        n.rounded(scoring.rate(F.col("kept_edits"), F.col("kept_chars"))).alias("kept"), n.rounded(F.col("rtf")).alias("rtf"), n.rounded(F.col("audio_s"), 3).alias("audio_s"),
+        *[n.rounded(rate(m)).alias(m) for m in scoring.metrics_of(facts)], n.rounded(F.col("median")).alias("median"),
+        n.rounded(scoring.rate(F.col("kept_edits"), F.col("kept_chars"))).alias("kept"), n.rounded(F.col("rtf")).alias("rtf"), n.rounded(F.col("rtf_with_decode")).alias("rtf_with_decode"), n.rounded(F.col("audio_s"), 3).alias("audio_s"),
+        *[f"g.{c}" for c in added],
     )
     return made.withColumn("missing", scoring.missing(F.col("planned"), F.coalesce("n", F.lit(0))))
 
 
 def overall(rows: DataFrame, expected: Column) -> DataFrame:
-    """The overall rows of board() with `comparable` and the display keys of those that may compete."""
+    """The overall rows of board() with `comparable` and the display keys of those that may compete; expected may be a column of rows."""
     own = rows.filter("dataset IS NULL").withColumn("comparable", compare.comparable(F.col("n"), F.col("missing"), expected))
     compete = lambda c: F.when(F.col("comparable"), c)
     return own.withColumns({"cer_key": compete(n.percent_key(F.col("cer_norm"))), "strict_key": compete(n.percent_key(F.col("cer_strict"))), "rtf_key": compete(n.fixed_key(F.col("rtf"), 3))})
@@ -48,14 +51,19 @@ def status_text(measured: Column, missing: Column, count: Column, expected: Colu
 
 
 def summary_table(rows: DataFrame, names: list[str], expected: Column) -> DataFrame:
-    """V1: a row per model: its normalised rate per dataset and overall, speed and failures as text, the best ones flagged."""
+    """V1: a row per model: its normalised rate per dataset, all rates overall, speed, load time and failures as text, the best ones flagged."""
     own = overall(rows, expected)
-    for key in ("cer", "strict", "rtf"):
+    reading = "cer_reading" in rows.columns
+    if reading:
+        own = own.withColumn("reading_key", F.when(F.col("comparable"), n.percent_key(F.col("cer_reading"))))
+    keys = ["cer", "strict", "rtf", *["reading"] * reading]
+    for key in keys:
         own = own.withColumn(f"best_{key}", compare.best(F.col(f"{key}_key")))
+    load = [n.page_fixed(F.col("load_s"), 1).alias("load_text")] * ("load_s" in rows.columns)
     own = own.select(
         "model", "place", "label", status_text(F.col("n").isNotNull(), F.col("missing"), F.col("n"), expected).alias("status"),
         n.page_percent(F.col("cer_strict")).alias("strict_text"), n.page_percent(F.col("cer_norm")).alias("cer_text"), n.page_fixed(F.col("rtf"), 3).alias("rtf_text"),
-        n.count_text(F.col("failed")).alias("failed_text"), "best_strict", "best_cer", "best_rtf",
+        *[n.page_percent(F.col("cer_reading")).alias("reading_text")] * reading, *load, n.count_text(F.col("failed")).alias("failed_text"), *[f"best_{k}" for k in keys],
     )
     each = rows.filter("dataset IS NOT NULL").groupBy("model").pivot("dataset", names).agg(n.page_percent(F.max("cer_norm")))
     return own.join(each, "model").orderBy("place")
@@ -109,9 +117,9 @@ def chart_series(rows: DataFrame) -> DataFrame:
     return rows.select("model", "dataset", value.alias("value"), label.alias("label"), note.alias("note"), axis["max"].alias("axis_max"), F.size(axis["ticks"]).alias("ticks"))
 
 
-def run_outlier_sentence(ids: Column) -> Column:
-    """V8: one sentence on the number of run-wide outliers; empty if the list is absent."""
-    return F.when(ids.isNull(), "").otherwise(F.concat(F.lit("この実行で外れ値として記録されたクリップは計 "), n.count_text(F.size(ids)), F.lit(" 件です（ID は集計 JSON の outlier_ids）。")))
+def run_outlier_sentence(number: Column) -> Column:
+    """V8: one sentence on the number of run-wide outliers; empty if it isn't known."""
+    return F.when(number.isNull(), "").otherwise(F.concat(F.lit("この実行で外れ値として記録されたクリップは計 "), n.count_text(number), F.lit(" 件です（ID は集計 JSON の outlier_ids）。")))
 
 
 def incomplete(models: DataFrame) -> DataFrame:
@@ -119,6 +127,13 @@ def incomplete(models: DataFrame) -> DataFrame:
     return models.filter((F.col("missing") != 0) | (F.col("status") != "done"))
 
 
+def scalar_text(values: Column) -> Column:
+    """The text of one setting from a VARIANT: an object's values joined in the order of its keys, a scalar as text, else null."""
+    kind = F.schema_of_variant(values)
+    parts = F.map_values(F.try_variant_get(values, "$", "map<string,string>"))
+    return F.when(kind.startswith("OBJECT"), join_parts(parts)).when(~kind.rlike("^(ARRAY|VOID)"), F.try_variant_get(values, "$", "string"))
+
+
 def environment(run: Column) -> Column:
     """Where a run was made, from its struct of chrome and host; the host's name of the platform goes first."""
     chrome, host = run["chrome"], run["host"]
@@ -130,22 +145,97 @@ def environment(run: Column) -> Column:
     )
 
 
-def markdown(title: str, frame: DataFrame, most: int = 1000) -> str:
-    """A report section of a small published frame; more rows than `most` are an error, not a cut."""
-    rows = frame.limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"{title}: a report table has {most} rows at most")
-    cell = lambda v: n.MISSING_REPORT if v is None else str(v).replace("|", "\\|")
-    lines = [f"## {title}", "", "| " + " | ".join(frame.columns) + " |", "|" + " --- |" * len(frame.columns)]
-    return "\n".join([*lines, *["| " + " | ".join(map(cell, r)) + " |" for r in rows], ""])
+#: Headings, column heads and words of the report; fixed values.
+SECTIONS = ("実行条件", "精度と速度", "件数と速度の内訳", "外れ値の影響（感度分析）", "誤りの大きい例", "失敗したクリップ")
+BREAKDOWN_HEAD = ("model", "dataset", "件数", "成功", "失敗", "音声 秒", "RTF", "RTF（デコード込み）")
+OUTLIER_HEAD = ("model", "dataset", "norm（全件）", "クリップ別 norm の中央値", "外れ値の件数", "norm（外れ値を除く・参考）")
+WORST_HEAD = ("model", "dataset", "id", "cer_norm", "編集数", "参照文字数")
+FAILED_HEAD = ("model", "id", "エラー")
+OVERALL, UNKNOWN = "全体", "不明"
+
+
+def table_line(*cells: Column) -> Column:
+    """A row of a Markdown table."""
+    return F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(c.cast("string"), F.lit(n.MISSING_REPORT)) for c in cells]), F.lit(" |"))
+
+
+def conditions(run: Column) -> Column:
+    """The lines of the report's first section, from a run's struct."""
+    told = environment(run)
+    text = lambda c: F.coalesce(F.nullif(c.cast("string"), F.lit("")), F.lit(UNKNOWN))
+    again = F.when(run["resumes"] > 0, F.format_string("（途中から %d 回再開）", run["resumes"])).otherwise("")
+    scope = F.concat(F.lit("offset "), F.coalesce(run["offset"], F.lit(0)).cast("string"), F.coalesce(F.concat(F.lit(", limit "), run["limit"].cast("string")), F.lit("")))
+    return F.array(
+        F.concat(F.lit("- 実行日時（UTC）: "), text(run["started_at"]), F.lit(" 〜 "), text(run["finished_at"]), again),
+        F.concat(F.lit("- git commit: `"), text(run["commit"]), F.lit("`"), F.when(run["dirty"], "（未コミットの変更あり）").otherwise("")),
+        F.concat(F.lit("- Chrome: "), text(told["chrome"])), F.concat(F.lit("- GPU（WebGPU アダプタ）: "), text(told["gpu"])),
+        F.concat(F.lit("- OS / 機種: "), text(told["platform"]), F.lit(" / "), text(told["machine"])), F.concat(F.lit("- 評価範囲: "), scope), F.concat(F.lit("- 言語: "), text(run["language"])),
+    )
 
 
-def page_document(rows: DataFrame, outliers: DataFrame) -> DataFrame:
-    """The published document as JSON text: ids and numbers only, models in order."""
+def report(rows: DataFrame, worst: DataFrame, failures: DataFrame) -> DataFrame:
+    """(section, place, line) of the report's five tables, from board(), the worst clips with their chars, and failed rows.
+
+    place orders the lines of a section: heads, then models in order, groups by name with the overall one last. No text of a
+    clip is in it."""
+    spark = rows.sparkSession
+    group = F.coalesce("dataset", F.lit(OVERALL))
+    fixed = lambda c, digits: F.coalesce(F.call_function("format_number", F.col(c), F.lit("0." + "0" * digits)), F.lit(n.MISSING_REPORT))
+    percent = lambda c: n.report_percent(F.col(c))
+    order = lambda *more: F.struct(F.lit(1).alias("kind"), F.col("place").cast("long").alias("model"), F.col("dataset").isNull().alias("last"), F.coalesce("dataset", F.lit("")).alias("dataset"), *more)
+    line = lambda section, place, *cells: [F.lit(section).alias("section"), place.alias("place"), table_line(*cells).alias("line")]
+    rank = lambda c: F.col(c).cast("long").alias("rank")
+    name = lambda c: F.col(c).cast("string").alias("id")
+    none = (F.lit(0).cast("long").alias("rank"), F.lit("").alias("id"))
+    metrics = [m for m in ("cer_strict", "cer_norm", "cer_reading") if m in rows.columns]
+    each = F.array_sort(F.collect_list(F.struct(F.col("dataset").isNull().alias("last"), group.alias("g"), F.array(*[percent(m) for m in metrics]).alias("c"))))
+    whole = lambda c: F.max(F.when(F.col("dataset").isNull(), F.col(c))).alias(c)
+    wide = rows.groupBy("model", "place").agg(F.flatten(F.transform(each, lambda x: x["c"])).alias("cells"), whole("rtf"), whole("failed")).withColumn("dataset", F.lit("").cast("string"))
+    cells = F.concat(F.array("model"), "cells", F.array(fixed("rtf", 3), F.coalesce(F.col("failed").cast("string"), F.lit(n.MISSING_REPORT))))
+    measured = rows.filter("n IS NOT NULL")
+    places = rows.select("model", "place").distinct()
+    lines = [
+        wide.select(F.lit(1).alias("section"), order(*none).alias("place"), F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |")).alias("line")),
+        measured.select(*line(2, order(*none), F.col("model"), group, F.col("n"), F.col("n") - F.col("failed"), F.col("failed"), fixed("audio_s", 1), fixed("rtf", 3), fixed("rtf_with_decode", 3))),
+        measured.select(*line(3, order(*none), F.col("model"), group, percent("cer_norm"), percent("median"), F.col("outliers"), percent("kept"))),
+        worst.join(places, "model").select(*line(4, order(rank("rank"), name("id")), F.col("model"), F.col("dataset"), F.col("id"), percent("rate"), F.col("edits"), F.col("chars"))),
+        failures.join(places, "model").withColumn("dataset", F.lit("")).select(*line(5, order(F.lit(0).cast("long").alias("rank"), name("id")), F.col("model"), F.col("id"), escape_cell(short_text(F.col("error"))))),
+    ]
+    head_place = F.struct(F.lit(0).alias("kind"), F.lit(0).cast("long").alias("model"), F.lit(False).alias("last"), F.lit("").alias("dataset"), *none)
+    named = rows.select(F.col("dataset").isNull().alias("last"), group.alias("g")).distinct().agg(F.array_sort(F.collect_list(F.struct("last", "g"))).alias("g"))
+    short = [m.removeprefix("cer_") for m in metrics]
+    first = F.concat(F.array(F.lit("model")), F.flatten(F.transform("g", lambda x: F.array(*[F.concat(x["g"], F.lit(f" {m}")) for m in short]))), F.array(F.lit("RTF"), F.lit("失敗")))
+    lines.append(named.select(F.lit(1).alias("section"), head_place.alias("place"), F.concat(F.lit("| "), F.array_join(first, " | "), F.lit(" |")).alias("line")))
+    fixed_heads = [(i, "| " + " | ".join(head) + " |") for i, head in ((2, BREAKDOWN_HEAD), (3, OUTLIER_HEAD), (4, WORST_HEAD), (5, FAILED_HEAD))]
+    lines.append(spark.createDataFrame(fixed_heads, "section int, line string").select("section", head_place.alias("place"), "line"))
+    out = lines[0]
+    for more in lines[1:]:
+        out = out.union(more)
+    return out
+
+
+def markdown(title: str, lines: DataFrame, first: list[str], most: int = 100_000) -> str:
+    """The text of a report, from report() and the lines of its first section; a section without rows is left out. More
+    lines than `most` are an error, not a cut."""
+    found = lines.orderBy("section", "place").limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"a report has {most} lines at most")
+    out = [f"# {title}", "", f"## {SECTIONS[0]}", "", *first]
+    for section in range(1, len(SECTIONS)):
+        own = [r["line"] for r in found if r["section"] == section]
+        if len(own) > 1:
+            out += ["", f"## {SECTIONS[section]}", "", own[0], "|" + "---|" * (own[0].count(" | ") + 1), *own[1:]]
+    return "\n".join([*out, ""])
+
+
+def page_document(facts: DataFrame, declared: DataFrame) -> DataFrame:
+    """The published document as JSON text: ids and numbers only, models in order. The facts are read once: the ids of
+    outliers are an aggregate of the groups, as the document lists them."""
+    rows = board(facts, declared, F.collect_set(F.when(F.col("outlier"), F.col("id"))).alias("outlier_ids"))
     group = F.struct("n", "failed", "cer_strict", "cer_norm", "rtf", "audio_s", F.col("median").alias("cer_norm_median"), F.col("outliers").alias("cer_norm_outliers"), F.col("kept").alias("cer_norm_excluding_outliers"))
     each = F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("dataset").isNotNull() & F.col("n").isNotNull(), F.struct("dataset", group.alias("g"))))))
-    models = rows.groupBy("model", "place", "label", "planned").agg(each.alias("per_dataset"), F.max(F.when(F.col("dataset").isNull() & F.col("n").isNotNull(), group)).alias("overall"))
+    whole = F.col("dataset").isNull()
+    models = rows.groupBy("model", "place", "label", "planned").agg(each.alias("per_dataset"), F.max(F.when(whole & F.col("n").isNotNull(), group)).alias("overall"), F.flatten(F.collect_list(F.when(whole, F.col("outlier_ids")))).alias("ids"))
     text = F.to_json(F.struct(F.col("model").alias("key"), "label", "planned", "per_dataset", "overall"))
-    one = models.agg(F.transform(F.array_sort(F.collect_list(F.struct("place", text.alias("t")))), lambda x: x["t"]).alias("models"))
-    ids = outliers.agg(F.array_sort(F.collect_list("id")).alias("outlier_ids"))
-    return one.crossJoin(ids).select(F.concat(F.lit('{"schema":1,"outlier_cer_norm_threshold":1.0,"outlier_ids":'), F.to_json("outlier_ids"), F.lit(',"models":['), F.array_join("models", ","), F.lit("]}")).alias("document"))
+    one = models.agg(F.transform(F.array_sort(F.collect_list(F.struct("place", text.alias("t")))), lambda x: x["t"]).alias("models"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("outlier_ids"))
+    return one.select(F.concat(F.lit('{"schema":1,"outlier_cer_norm_threshold":1.0,"outlier_ids":'), F.to_json("outlier_ids"), F.lit(',"models":['), F.array_join("models", ","), F.lit("]}")).alias("document"))

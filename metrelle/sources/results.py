@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import json
+import logging
 import os
 import re
-import sys
 import tempfile
-from datetime import UTC, datetime
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metrelle.functions.text import is_run_id
@@ -18,23 +18,50 @@ from metrelle.operators.scoring import first_wins
 RESULT = "id string, dataset string, reference string, hypothesis string, duration_s double, decode_ms double, infer_ms double, segments int, error string, run_id string, load_ms double, warmup_ms double"
 
 
+RESULT_FILES = "{*.jsonl,part-*.json}"
+
+
+def _percent_decoded(text: Column) -> Column:
+    """%XX as the character it stands for; a plus sign stays."""
+    return F.url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
+
+
+def model_of(path: Column) -> Column:
+    """The model of a file's path: its folder model=..., as the sinks write it, or else its stem. The folder's name is escaped
+    by the writer, and the whole path once more."""
+    plain = _percent_decoded(path)
+    folder = F.regexp_extract(plain, "/model=([^/]+)/", 1)
+    stem = F.regexp_extract(plain, r"([^/]+)\.jsonl$", 1)
+    return F.when(folder != "", _percent_decoded(folder)).otherwise(F.nullif(stem, F.lit("")))
+
+
+def _placed(text: DataFrame) -> DataFrame:
+    """(model, line_no, value) of lines: line_no orders a model's lines by file, then block of the file, then place within it, so
+    that a large file can be read in blocks."""
+    place = F.struct(F.col("_metadata.file_modification_time").alias("written"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    lines = text.select(model_of(F.col("_metadata.file_path")).alias("model"), place.alias("line_no"), "value")
+    return lines.filter((F.trim("value") != "") & F.col("model").isNotNull())
+
+
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, value) of a folder's *.jsonl files; every file is one split, so lines keep their order."""
-    text = spark.read.option("wholetext", True).option("pathGlobFilter", "*.jsonl").text(path)
-    lines = text.select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", "\n")).alias("line_no", "value"))
-    return lines.filter(F.trim("value") != "")
+    """The lines of all result files below a folder."""
+    return _placed(spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", RESULT_FILES).text(path))
+
+
+def parsed(lines: DataFrame) -> DataFrame:
+    """S3: results of lines; blank and broken lines dropped."""
+    rows = lines.withColumn("r", F.from_json("value", RESULT + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+    return rows.filter("r._bad IS NULL AND r.id IS NOT NULL").select("model", "line_no", "r.*").drop("_bad")
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of all files, model from the file's name; blank and broken lines dropped, the first row of an id kept."""
-    parsed = _lines(spark, path).withColumn("r", F.from_json("value", RESULT + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
-    rows = parsed.filter("r._bad IS NULL AND r.id IS NOT NULL").select(F.regexp_replace(F.url_decode("file"), r"\.jsonl$", "").alias("model"), F.col("line_no").cast("long"), "r.*").drop("_bad")
-    return first_wins(rows)
+    """Rows of all files, model from the file's name or folder; the first row of an id kept."""
+    return first_wins(parsed(_lines(spark, path)))
 
 
 def recorded_ids(spark: SparkSession, path: str) -> DataFrame:
     """(model, id) of every line that is an object with an id, whatever else is wrong with it."""
-    ids = _lines(spark, path).select(F.regexp_replace("file", r"\.jsonl$", "").alias("model"), F.get_json_object("value", "$.id").alias("id"))
+    ids = _lines(spark, path).select("model", F.get_json_object("value", "$.id").alias("id"))
     return ids.filter("id IS NOT NULL").distinct()
 
 
@@ -59,15 +86,38 @@ def without_warmup(arrived: DataFrame) -> DataFrame:
     return arrived.filter(~F.coalesce("warmup", F.lit(False))).drop("warmup")
 
 
-def log(event: str, **fields: object) -> None:
-    """One JSON object per event on stderr, with its time."""
-    stamp = datetime.now(UTC).isoformat(timespec="milliseconds")
-    print(json.dumps({"ts": stamp, "event": event, **fields}, ensure_ascii=False), file=sys.stderr, flush=True)
+class _Json(logging.Formatter):
+    """A record as one JSON object: time, event and the fields given as `extra={"fields": ...}`."""
+
+    def format(self, record: logging.LogRecord) -> str:
+        made = {"ts": self.formatTime(record, "%Y-%m-%dT%H:%M:%S") + f".{int(record.msecs):03d}", "event": record.getMessage()}
+        return json.dumps(made | getattr(record, "fields", {}), ensure_ascii=False)
+
+
+def logger(name: str = "metrelle") -> logging.Logger:
+    """A logger of one JSON object per event on stderr."""
+    found = logging.getLogger(name)
+    if not found.handlers:
+        handler = logging.StreamHandler()
+        handler.setFormatter(_Json())
+        found.addHandler(handler)
+        found.setLevel(logging.INFO)
+        found.propagate = False
+    return found
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that the driver and all executors share: below spark.checkpoint.dir, and only in a local session, where none
+    is named, below the machine's own."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{named or tempfile.mkdtemp(prefix='metrelle-')}/results-{uuid.uuid4().hex}"
 
 
 def append_results(rows: DataFrame, path: str) -> None:
-    """Rows appended as JSON lines under one folder per model; the committer publishes whole files only."""
-    rows.write.mode("append").partitionBy("model").json(path)
+    """Rows appended as JSON lines under one folder per model, which S3 and S4 read; the committer publishes whole files only."""
+    rows.drop("line_no").write.mode("append").partitionBy("model").json(path)
 
 
 def write_atomic(path: str, text: str) -> None:
@@ -92,3 +142,11 @@ def latest_run(runs: DataFrame) -> DataFrame:
 def is_newest(runs: DataFrame, run_id: str) -> DataFrame:
     """One row, whether the run is at least as new as every scored run with a valid id."""
     return latest_run(runs).select(F.coalesce(F.lit(run_id) >= F.col("run_id"), F.lit(True)).alias("newest"))
+
+
+def write_latest(path: str, runs: DataFrame, run_id: str, document: str) -> bool:
+    """Writes the document of the latest run unless a newer one has been scored; whether it was written."""
+    if not is_newest(runs, run_id).first()["newest"]:
+        return False
+    write_atomic(path, document)
+    return True

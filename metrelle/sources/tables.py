@@ -2,9 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The parquet table `name`; a file or a folder of part files, on any file system Spark reads."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shards(spark: SparkSession, folder: str, split: str) -> list[str]:
+    """The paths data/<split>-*.parquet below a folder, in the order of their names; none is an error."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/data/{split}-*.parquet")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
+    paths = sorted(status.getPath().toString() for status in found or [])
+    if not paths:
+        raise FileNotFoundError(f"no data/{split}-*.parquet in {folder}")
+    return paths
+
+
+def sharded(spark: SparkSession, folder: str, split: str, *columns: str) -> DataFrame:
+    """The columns of all shards and `row`, their number over the shards in the order of their names, from 0.
+
+    A row's number is its place in its file, which the reader knows, and the number of rows of the files before it; these
+    are counted from the files' footers, so no rows are sorted."""
+    paths = shards(spark, folder, split)
+    rows = spark.read.parquet(*paths)
+    place = rows.select(*columns, F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__at"))
+    sizes = rows.groupBy(F.col("_metadata.file_name").alias("__file")).count()
+    before = F.coalesce(F.sum("count").over(Window.partitionBy(F.lit(0)).orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per file
+    return place.join(sizes.select("__file", before.alias("__before")), "__file").select((F.col("__before") + F.col("__at")).alias("row"), *columns)

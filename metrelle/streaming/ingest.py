@@ -7,21 +7,22 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from metrelle.sources.results import RESULT
+from metrelle.sources.results import RESULT_FILES, model_of, parsed
 
 STALL_MS = 5 * 60 * 1000
 LOAD_MS = 40 * 60 * 1000
 
 
-def read_lines(spark, path: str) -> DataFrame:
-    """Results from JSON-lines files as they appear; broken lines are dropped."""
-    schema = "model string, " + RESULT
-    return spark.readStream.schema(schema).option("mode", "DROPMALFORMED").option("pathGlobFilter", "*.jsonl").json(path).filter("id IS NOT NULL")
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Results from JSON-lines files as they appear, the model from the file's name or folder; broken lines are dropped."""
+    text = spark.readStream.option("recursiveFileLookup", True).option("pathGlobFilter", RESULT_FILES).text(path)
+    lines = text.select(model_of(F.col("_metadata.file_path")).alias("model"), F.lit(None).alias("line_no"), "value")
+    return parsed(lines.filter(F.trim("value") != "")).drop("line_no")
 
 
 def once(rows: DataFrame) -> DataFrame:
@@ -35,11 +36,17 @@ def record(rows: DataFrame, plan: DataFrame, out: str, checkpoint: str) -> Strea
 
     def write(batch: DataFrame, number: int) -> None:
         # One folder per batch: a batch that is run again after a failure replaces what it wrote before.
-        require_known(batch, plan.select("id"), "id").write.mode("overwrite").json(f"{out}/batch={number}")
+        require_known(batch, plan.select("id"), "id").write.mode("overwrite").partitionBy("model").json(f"{out}/batch={number}")
 
     return once(rows).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def interrupt(query: StreamingQuery) -> None:
+    """Ends a stream after the batch at work; what it recorded stays, and the same checkpoint goes on from there."""
+    query.processAllAvailable()
+    query.stop()
+
+
 def stalls(progress: DataFrame, stall_ms: int = STALL_MS, load_ms: int = LOAD_MS) -> DataFrame:
     """(model, id, stalled_ms) for every model whose last progress is that long ago.
 

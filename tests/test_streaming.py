@@ -3,29 +3,45 @@
 import json
 
 import pytest
+from metrelle.sources import results as sources
 from metrelle.streaming import ingest
 
 
 def lines(path, rows):
-    path.write_text("\n".join(json.dumps({"model": m, "id": i, "dataset": "d", "reference": "r", "hypothesis": h}) for m, i, h in rows))
+    path.parent.mkdir(parents=True, exist_ok=True)
+    path.write_text("\n".join(json.dumps({"id": i, "dataset": "d", "reference": "r", "hypothesis": h}) for i, h in rows) + '\n{"id": "broken')
 
 
-def test_once_across_a_restart(spark, tmp_path):
+def test_once_across_a_restart_and_read_back(spark, tmp_path):
     source, out, checkpoint = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "cp")
-    source.mkdir()
     plan = spark.createDataFrame([("1",), ("2",), ("3",)], "id string")
     run = lambda: ingest.record(ingest.read_lines(spark, str(source)), plan, out, checkpoint).awaitTermination()
-    lines(source / "a.jsonl", [("m", "1", "x"), ("m", "1", "y"), ("m", "2", "x")])
+    lines(source / "m 1.jsonl", [("1", "x"), ("1", "y"), ("2", "x")])
     run()
-    assert spark.read.json(out).count() == 2
-    lines(source / "b.jsonl", [("m", "2", "z"), ("m", "3", "x"), ("n", "1", "x")])
+    assert sources.read_results(spark, out).count() == 2
+    lines(source / "model=m 1" / "part-0.json", [("2", "z"), ("3", "x")])
+    lines(source / "n+.jsonl", [("1", "x")])
     run()
-    assert sorted((r["model"], r["id"]) for r in spark.read.json(out).collect()) == [("m", "1"), ("m", "2"), ("m", "3"), ("n", "1")]
-    lines(source / "c.jsonl", [("m", "9", "x")])
+    want = [("m 1", "1"), ("m 1", "2"), ("m 1", "3"), ("n+", "1")]
+    assert sorted((r["model"], r["id"]) for r in sources.read_results(spark, out).collect()) == want
+    assert sorted(map(tuple, sources.recorded_ids(spark, out).collect())) == want
+    lines(source / "o.jsonl", [("9", "x")])
     with pytest.raises(Exception, match="unknown id"):
         run()
 
 
+def test_interrupt_keeps_what_was_recorded(spark, tmp_path):
+    source, checkpoint = tmp_path / "in", str(tmp_path / "cp")
+    lines(source / "m.jsonl", [("1", "x"), ("2", "x")])
+    start = lambda: ingest.once(ingest.read_lines(spark, str(source))).writeStream.format("json").option("path", str(tmp_path / "out")).option("checkpointLocation", checkpoint).start()
+    query = start()
+    ingest.interrupt(query)
+    assert not query.isActive and spark.read.json(str(tmp_path / "out")).count() == 2
+    lines(source / "n.jsonl", [("1", "x")])
+    ingest.interrupt(start())
+    assert spark.read.json(str(tmp_path / "out")).count() == 3
+
+
 def test_stall_timeout(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
