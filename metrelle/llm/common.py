@@ -21,7 +21,9 @@ WORD_REGEX = r"[0-9A-Za-z\u0080-\x{10FFFF}]+"
 #: Bytes of text that one numpy pass takes; a longer text is a pass of its own.
 SLICE_BYTES = 1 << 20
 #: Rows that may be broadcast after they were counted; beyond, the same join shuffles.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
+#: Copies, two numbers each, whose list may be broadcast.
+COPIES = 2_000_000
 
 _BYTE = np.arange(256, dtype=np.uint8)
 IS_WORD = ((_BYTE >= 48) & (_BYTE <= 57)) | ((_BYTE >= 65) & (_BYTE <= 90)) | ((_BYTE >= 97) & (_BYTE <= 122)) | (_BYTE >= 128)
@@ -136,7 +138,9 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     now = spark.sparkContext._jsc.sc().getCheckpointDir()
     if now.isEmpty():
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="metrelle-"))
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="metrelle-"))  # one process: its folder is shared
         now = spark.sparkContext._jsc.sc().getCheckpointDir()
     return named or now.get()
 
@@ -151,12 +155,53 @@ def stored(df: DataFrame) -> DataFrame:
     """df written as Parquet in the shared folder and read again: as cut(), packed by columns, for large frames."""
     path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df, with a broadcast hint if a count shows that it is small; for frames that are cheap to read again."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    read = df.sparkSession.read.parquet(path)
+    read.stored_path = path
+    return read
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes what stored() wrote for these frames, once nothing that is still to be read rests on them."""
+    for df in frames:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def is_small(df: DataFrame, most: int | None = None) -> bool:
+    """Whether df may be broadcast: its rows and their bytes are counted and few; for frames that are cheap to read again."""
+    most = BROADCAST_ROWS if most is None else most
+    held = [F.octet_length(c) if k == "string" else F.octet_length(F.to_json(F.struct(F.col(c)))) if k.startswith(("array", "struct", "map")) else F.lit(16) for c, k in df.dtypes]
+    rows, size = df.limit(most + 1).agg(F.count("*"), F.sum(sum((F.coalesce(h, F.lit(0)) for h in held), F.lit(0)))).first()
+    return rows <= most and (size or 0) <= BROADCAST_BYTES
+
+
+def small(df: DataFrame, most: int | None = None) -> DataFrame:
+    """df, with a broadcast hint if is_small() finds that it is."""
+    return F.broadcast(df) if is_small(df, most) else df
+
+
+def united(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text) with one text for an id: different texts of one are joined by line feeds, in order; and the stored hashes of
+    the texts, (doc_id, h1, h2). Rows without an id or a text are left out; rows that repeat stay as many."""
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    hashed = lambda df: df.select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(7), "text").alias("h2"))
+    known = stored(hashed(rows))
+    twice = cut(known.groupBy("doc_id").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a <> b").select("doc_id"))
+    if not twice.isEmpty():
+        joined = rows.join(small(twice), "doc_id", "left_semi").distinct().groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list("text")), "\n").alias("text"))
+        rows = rows.join(small(twice), "doc_id", "left_anti").unionByName(stored(joined))
+        known = stored(hashed(rows))
+    return rows, known
+
+
+def one_text(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text) of one document of each class of equal texts, its smallest doc_id; and (doc_id, other_id, text) of its copies."""
+    rows, known = united(documents)
+    first = cut(known.groupBy("h1", "h2").agg(F.min("doc_id").alias("other_id"), F.count("*").alias("n")).filter("n > 1"))
+    copies = stored(known.join(small(first), ["h1", "h2"]).filter("doc_id <> other_id").select("doc_id", "other_id"))
+    copies = small(copies, COPIES)
+    return rows.join(copies, "doc_id", "left_anti"), rows.join(copies, "doc_id").select("doc_id", "other_id", "text")
 
 
 def ascii_lower(word: Column) -> Column:
