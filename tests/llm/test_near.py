@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from metrelle.llm import near
 from metrelle.llm.components import components
@@ -80,6 +81,31 @@ def test_components_of_a_path(spark):
     assert got == {i: 0 for i in range(1, 41)} | {101: 100}
 
 
-def test_prefix_length_shortens_to_the_recall():
-    assert near.prefix_length(0.8, 16, 8, 0.9995) == 4
-    assert near.prefix_length(0.99, 16, 8, 0.9995) == 8
+def test_prefixes_are_shortened_to_what_is_found():
+    assert near.shortened(8, {}, 0.8) == 3 and near.met(0.8, 3) > near.RECALL > near.met(0.8, 4)
+    assert near.shortened(8, {99: 10_000_000}, 0.8) == 8
+    assert near.shortened(8, {82: 1000}, 0.8) == 4 == near.shortened(4, {82: 1000}, 0.8)
+
+
+def test_recall_on_pairs_near_the_threshold():
+    """Pairs of sets at similarities of 0.8 to 0.9: the share that some tree's prefix brings together, against met()."""
+    rng = np.random.default_rng(4)
+    both, shared = 300, {level: 0 for level in (4, 8)}
+    for _ in range(both):
+        common = rng.integers(1, 1 << 62, 400).astype(np.uint64)
+        a, b = (np.unique(np.append(common, rng.integers(1, 1 << 62, 45).astype(np.uint64))) for _ in range(2))
+        (u, v), (x, y) = near.paths(a), near.paths(b)
+        shared[4] += bool((u == x).any())
+        shared[8] += bool(((u == x) & (v == y)).any())
+    s = 400 / 490
+    assert shared[4] >= 0.99 * both and abs(shared[8] / both - near.met(s, 8)) < 0.06
+
+
+def test_very_long_texts_and_two_texts_of_one_id(spark):
+    r = random.Random(6)
+    words = [f"w{r.randrange(10**6)}" for _ in range(60000)]
+    changed = list(words)
+    changed[5::200] = ["x"] * len(changed[5::200])
+    rows = [(1, " ".join(words)), (2, " ".join(changed)), (3, " ".join(words[:300])), (4, "another text of some words"), (4, " ".join(words[5:300]))]
+    got = {(r["doc_id"], r["class_id"], r["n_links"]) for r in near.joined(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 1, 1), (2, 1, 1), (3, 3, 1), (4, 3, 1)}
