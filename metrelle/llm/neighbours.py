@@ -1,48 +1,51 @@
 """Approximate nearest neighbours by cosine: multiprobe p-stable hashing with exact reranking.
 
 Vectors are scaled to length 1. Each of TABLES tables projects them on Gaussian directions and floors the projections to
-slots of WIDTH; the slots of a table name a bucket. A query visits buckets in the order of the chance that a neighbour at
-the expected cosine lies there, until the visited chances reach TABLE_SUCCESS; the expected cosine is the low decile of
-what a bounded sample of queries has as its k-th neighbour, found exactly. Every visited bucket is compared with the query
-in double precision, and the best of all tables remain. So the index holds every row, and only the order and number of
-probes rest on the sample.
+slots of WIDTH; the slots of a table name a bucket. The number of directions grows with the logarithm of the number of
+vectors, so that buckets keep their size. A query visits buckets in falling order of the chance that a neighbour at the
+expected cosine lies there against the chance that any row does, down to the bucket at which the visited chances reach
+TABLE_SUCCESS; that bound is the same whatever buckets exist, so it needs no list of them. The expected cosine is the lower
+quartile of what a bounded sample of queries has as its k-th neighbour, found exactly. Every visited bucket is compared with
+the query, and the best of all tables are ranked in double precision. So the index holds every row, and only the order and
+number of probes rest on the sample; the plan is the same at every size.
 
-A bucket is split into blocks of rows and of queries, so none gathers in one task. Rows with the same vector are one entry
-that names their k + 1 smallest ids, which is all that any query can need of them.
+A bucket is split into blocks of rows and of queries, blocks are dealt out by hash, and only the best of a query leave a
+task. Rows with the same vector are one entry that names their k + 1 smallest ids, which is all that any query can need.
 
 Defined results: vectors that are null, all zero or hold null or non-finite parts take no part, nor do null ids; only
-vectors of one length are compared; rows with the query's own id are no candidates; scores are rounded to 12 places, ties go to the smaller id; a query
-without candidates gives no row; an empty table gives none; other columns are ignored.
+vectors of one length are compared; rows with the query's own id are no candidates; repeated rows are one; an id with several
+vectors is ranked once, by its nearest, and a query with several takes the best of each; scores are rounded to 12 places,
+ties go to the smaller id; a query without candidates gives no row; an empty table gives none; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from metrelle.llm.common import cut, small_batches
+from metrelle.llm.common import cut, mix, small, small_batches, stored
 
-TABLES, FUNCTIONS, WIDTH = 3, 4, 1.0
-TABLE_SUCCESS = 0.82
-#: Rows or queries of a block, and rows for which one function pays.
-BLOCK, ROWS_A_FUNCTION = 2048, 500
-SAMPLE_QUERIES = 32
+TABLES, WIDTH = 5, 1.5
+TABLE_SUCCESS = 0.38
+#: Rows that a bucket holds about, bits that one direction tells, and directions at least.
+BUCKET_ROWS, DIRECTION_BITS, LEAST_DIRECTIONS = 24, 1.9, 2
+#: Rows or queries of a block; entries of all tables in a task's share; pairs that are held before the best are kept.
+BLOCK, SHARE, PAIRS = 2048, 8192, 2_000_000
+SAMPLE_QUERIES, DRAWS = 32, 1000
 #: Places of a score, so that vectors of one direction tie whatever their length; what a rough score may be off.
 DIGITS, MARGIN = 12, 1e-9
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v): vectors that take part, in double precision."""
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    """(vec_id, v): vectors that take part, each once for an id."""
+    rows = vectors.select("vec_id", F.col("embedding").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return rows.filter(F.col("vec_id").isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists("v", lambda x: x != 0))
+    return rows.filter(F.col("vec_id").isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists("v", lambda x: x != 0)).distinct()
 
 
 def entries(rows: DataFrame, k: int) -> DataFrame:
@@ -51,6 +54,10 @@ def entries(rows: DataFrame, k: int) -> DataFrame:
     return first.groupBy("v").agg(F.sort_array(F.collect_set("vec_id")).alias("ids"))
 
 
+def n_directions(rows: int) -> int:
+    return max(LEAST_DIRECTIONS, int(math.log2(max(1, rows / BUCKET_ROWS)) / DIRECTION_BITS))
+
+
 def directions(dim: int, functions: int, table: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng([dim, functions, table])
     return rng.normal(size=(dim, functions)), rng.uniform(0, WIDTH, functions)
@@ -59,7 +66,7 @@ def directions(dim: int, functions: int, table: int) -> tuple[np.ndarray, np.nda
 def _matrix(column: pa.Array) -> list[tuple[int, np.ndarray, np.ndarray]]:
     """(length, rows, unit matrix) for each vector length of a list column."""
     offsets = column.offsets.to_numpy()
-    flat, size = column.values.to_numpy(zero_copy_only=False), np.diff(offsets)
+    flat, size = column.values.to_numpy(zero_copy_only=False).astype(np.float64), np.diff(offsets)
     out = []
     for dim in np.unique(size):
         rows = np.flatnonzero(size == dim)
@@ -69,37 +76,47 @@ def _matrix(column: pa.Array) -> list[tuple[int, np.ndarray, np.ndarray]]:
     return out
 
 
-def _bucket(dim: int, table: int, slots: np.ndarray) -> list[str]:
-    return [f"{dim}:{table}:" + ",".join(map(str, s)) for s in slots.tolist()]
+def _bucket(dim: int, table: int, slots: np.ndarray) -> np.ndarray:
+    """A 64-bit name of each row's slots."""
+    name = np.full(len(slots), dim * 1009 + table, np.uint64)
+    for j in range(slots.shape[1]):
+        name = mix(name + slots[:, j].astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return name.view(np.int64)
+
 
+def _below(x: np.ndarray) -> np.ndarray:
+    return np.array([0.5 * (1 + math.erf(v / math.sqrt(2))) for v in x])
 
-def probes(projected: np.ndarray, shift: np.ndarray, cosine: float, success: float) -> list[tuple[int, ...]]:
-    """Buckets in falling order of the chance that a unit vector at that cosine to the query lies in them, up to `success`."""
+
+def probes(projected: np.ndarray, shift: np.ndarray, cosine: float, success: float, rng: np.random.Generator) -> np.ndarray:
+    """The slots of the buckets to visit, in falling order of the chance of a neighbour at that cosine against any row's.
+
+    The bound is the value above which a share `success` of drawn neighbours lies; all buckets above it are made, slot by
+    slot, leaving a branch as soon as the best rest can't reach the bound."""
     mean, spread = cosine * projected, math.sqrt(1 - cosine * cosine)
-    ordered = []
+    drawn = np.zeros(DRAWS)
+    told = []
     for mu, b in zip(mean, shift):
-        middle = math.floor((mu + b) / WIDTH)
-        reach = math.ceil(4 * spread / WIDTH) + 1
-        cdf = [0.5 * (1 + math.erf(((s * WIDTH - b) - mu) / spread / math.sqrt(2))) for s in range(middle - reach, middle + reach + 2)]
-        chances = sorted(((cdf[i + 1] - cdf[i], middle - reach + i) for i in range(len(cdf) - 1)), reverse=True)
-        ordered.append([c for c in chances if c[0] > 1e-9])
-    start = (0,) * len(ordered)
-    chance = lambda at: math.prod(ordered[j][i][0] for j, i in enumerate(at))
-    heap, seen, out, total = [(-chance(start), start)], {start}, [], 0.0
-    while heap and total < success:
-        p, at = heapq.heappop(heap)
-        out.append(tuple(ordered[j][i][1] for j, i in enumerate(at)))
-        total -= p
-        for j in range(len(at)):
-            following = (*at[:j], at[j] + 1, *at[j + 1 :])
-            if following[j] < len(ordered[j]) and following not in seen:
-                seen.add(following)
-                heapq.heappush(heap, (-chance(following), following))
-    return out
+        low = math.floor((mu + b - 4.5 * spread) / WIDTH)
+        edges = np.arange(low, math.floor((mu + b + 4.5 * spread) / WIDTH) + 2) * WIDTH - b
+        near, any_row = np.diff(_below((edges - mu) / spread)), np.diff(_below(edges))
+        gain = np.log(np.maximum(near, 1e-12)) - np.log(np.maximum(any_row, 1e-12))
+        gain[near < 1e-7] = -np.inf
+        slot = np.floor((mu + b + spread * rng.normal(size=DRAWS)) / WIDTH).astype(np.int64) - low
+        drawn += np.where((slot >= 0) & (slot < len(gain)), gain[np.clip(slot, 0, len(gain) - 1)], -np.inf)
+        told.append((low, gain))
+    bound = np.sort(drawn)[int((1 - success) * DRAWS)] - 1e-12
+    rest = np.append(np.cumsum([g.max() for _, g in told][::-1])[::-1][1:], 0.0)
+    total, slots = np.zeros(1), np.zeros((1, 0), np.int64)
+    for (low, gain), after in zip(told, rest):
+        both = total[:, None] + gain[None, :]
+        i, j = np.nonzero(both + after >= bound)
+        total, slots = both[i, j], np.column_stack([slots[i], low + j])
+    return slots[np.argsort(-total, kind="stable")]
 
 
 def expected_cosine(items: DataFrame, queries: DataFrame, k: int) -> float:
-    """The low decile, over a bounded sample of queries, of the exact cosine to the k-th neighbour."""
+    """The lower quartile, over a bounded sample of queries, of the exact cosine to the k-th neighbour."""
     sample = [(r["query_id"], np.array(r["v"])) for r in queries.orderBy(F.xxhash64("query_id")).limit(SAMPLE_QUERIES).collect()]
     if not sample:
         return 0.5
@@ -119,29 +136,83 @@ def expected_cosine(items: DataFrame, queries: DataFrame, k: int) -> float:
     top = items.select("v").mapInArrow(best, "i int, c double")
     ranked = top.withColumn("n", F.row_number().over(Window.partitionBy("i").orderBy(F.desc("c")))).filter(F.col("n") == k + 1)
     got = [r["c"] for r in ranked.select("c").collect()]  # one per sampled query
-    return float(np.clip(np.quantile(got, 0.1) if got else 0.5, 0.05, 0.98))
+    return float(np.clip(np.quantile(got, 0.25) if got else 0.5, 0.05, 0.98))
+
+
+def _best(q: np.ndarray, e: np.ndarray, score: np.ndarray, own: np.ndarray, ids: tuple[np.ndarray, np.ndarray], k: int) -> tuple[np.ndarray, ...]:
+    """(q, e, id, score) of the pairs whose score reaches that of the k-th id of their query, or nearly; each id once."""
+    offsets, flat = ids
+    n = np.diff(offsets)[e]
+    at = np.repeat(offsets[e] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(e) else np.zeros(0, np.int64)
+    q, e, score, named = np.repeat(q, n), np.repeat(e, n), np.repeat(score, n), flat[at]
+    other = named != own[q]
+    q, e, score, named = q[other], e[other], score[other], named[other]
+    order = np.lexsort((-score, named, q))
+    q, e, score, named = q[order], e[order], score[order], named[order]
+    new = np.concatenate([np.ones(min(1, len(q)), bool), (q[1:] != q[:-1]) | (named[1:] != named[:-1])])
+    q, e, score, named = q[new], e[new], score[new], named[new]
+    order = np.lexsort((-score, q))
+    q, e, score, named = q[order], e[order], score[order], named[order]
+    start = np.searchsorted(q, q, "left")
+    last = np.minimum(start + k, np.searchsorted(q, q, "right")) - 1
+    keep = score >= score[last] - MARGIN
+    return q[keep], e[keep], named[keep], score[keep]
+
+
+def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and flat values of a list column; a null list is empty."""
+    array = column.combine_chunks()
+    array = array.chunk(0) if isinstance(array, pa.ChunkedArray) else array
+    sizes = array.value_lengths().fill_null(0).to_numpy()
+    return np.concatenate([[0], np.cumsum(sizes)]), array.flatten().to_numpy(zero_copy_only=False)
 
 
 def _compared(k: int):
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        """The k best entries of a block of rows for each query of a block that visits the bucket."""
-        none = pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        if not len(left) or not len(right):
-            return none
-        rows, asked = np.stack(left["v"]), np.stack(right["v"])
-        length, reach = np.sqrt((rows * rows).sum(1)), np.sqrt((asked * asked).sum(1))
-        ids = left["ids"].tolist()
-        rough = (asked / reach[:, None]) @ (rows / length[:, None]).T
-        lone = np.array([i[0] if len(i) == 1 else None for i in ids], object)
-        out: list[tuple[int, int, float]] = []
-        for i, q in enumerate(right["query_id"].tolist()):
-            at = np.flatnonzero(lone != q)  # entries of another id than the query's own
-            if len(at) > k:
-                at = at[rough[i][at] >= np.partition(rough[i][at], -k)[-k] - MARGIN]
-            score = np.round((rows[at] * asked[i]).sum(1) / (length[at] * reach[i]), DIGITS)
-            near = sorted((-s, int(v)) for s, j in zip(score.tolist(), at.tolist()) for v in ids[j] if v != q)[:k]
-            out += [(q, v, -s) for s, v in near]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]) if out else none
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        """The best entries of a task's share of the buckets for each query that visits them."""
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        at, flat = _lists(left.column("v"))
+        ids = _lists(left.column("ids"))
+        asked_at, asked_flat = _lists(right.column("v"))
+        size, asked_size = np.diff(at), np.diff(asked_at)
+        key, cell = right.column("q").to_numpy(), right.column("cell").to_numpy()
+        vector = np.flatnonzero(asked_size)
+        order = vector[np.argsort(key[vector], kind="stable")]
+        names, own = key[order], right.column("query_id").to_numpy()[order]
+        visits = np.flatnonzero(asked_size == 0)
+        visits = visits[np.argsort(cell[visits], kind="stable")]
+        who, where = np.searchsorted(names, key[visits]), cell[visits]
+        rows_cell = left.column("cell").to_numpy()
+        out = []
+        for dim in np.unique(size[size > 0]):
+            mine = np.flatnonzero(size == dim)
+            mine = mine[np.argsort(rows_cell[mine], kind="stable")]
+            rows = flat[at[mine][:, None] + np.arange(dim)].astype(np.float64)
+            length = np.sqrt((rows * rows).sum(1))
+            there = asked_size[order] == dim
+            asked = np.zeros((len(order), dim))
+            asked[there] = asked_flat[asked_at[order[there]][:, None] + np.arange(dim)]
+            reach = np.sqrt((asked * asked).sum(1))
+            unit, asked_unit = rows / length[:, None], asked / np.where(reach > 0, reach, 1)[:, None]
+            cells, first = np.unique(rows_cell[mine], return_index=True)
+            ends = np.append(first[1:], len(mine))
+            lo, hi = np.searchsorted(where, cells, "left"), np.searchsorted(where, cells, "right")
+            own_ids = (np.concatenate([[0], np.cumsum(np.diff(ids[0])[mine])]), np.concatenate([ids[1][ids[0][m] : ids[0][m + 1]] for m in mine]))
+            found, held = [], 0
+            for a, b, c, d in zip(first, ends, lo, hi):
+                q = who[c:d]
+                q = q[there[q]]
+                if len(q):
+                    found.append((np.repeat(q, b - a), np.tile(np.arange(a, b), len(q)), (asked_unit[q] @ unit[a:b].T).ravel()))
+                    held += len(found[-1][0])
+                if held > PAIRS:
+                    q, e, _, score = _best(*map(np.concatenate, zip(*found)), own, own_ids, k)
+                    found, held = [(q, e, score)], 0
+            if found:
+                q, e, named, _ = _best(*map(np.concatenate, zip(*found)), own, own_ids, k)
+                score = np.round((rows[e] * asked[q]).sum(1) / (length[e] * reach[q]), DIGITS)
+                out.append(pa.table({"query_id": pa.array(own[q], pa.int64()), "vec_id": pa.array(named, pa.int64()), "score": score}))
+        return pa.concat_tables(out) if out else pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
 
     return run
 
@@ -151,42 +222,50 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     spark = vectors.sparkSession
     small_batches(spark)
     rows = usable(vectors)
-    queries = cut(rows.filter(is_query).select(F.col("vec_id").alias("query_id"), "v").distinct())
-    items = cut(entries(rows, k))
-    functions = max(0, min(FUNCTIONS, int(math.log2(max(1, items.count()) / ROWS_A_FUNCTION))))
+    queries = rows.filter(is_query).select(F.xxhash64("vec_id", "v").alias("q"), F.col("vec_id").cast("long").alias("query_id"), "v")
+    queries, items = cut(queries), cut(entries(rows, k))
+    n = items.count()
+    functions = n_directions(n)
     cosine = expected_cosine(items, queries, k)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for dim, at, unit in _matrix(batch.column(0)):
-                for table in range(TABLES if functions else 1):
+                own = [batch.column(i).take(pa.array(at)) for i in (0, 1)]
+                for table in range(TABLES):
                     a, b = directions(dim, functions, table)
-                    names = _bucket(dim, table, np.floor((unit @ a + b) / WIDTH).astype(np.int64))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(names)], ["v", "ids", "bucket"])
+                    names = _bucket(dim, table, np.floor((unit @ a + b) / WIDTH))
+                    yield pa.RecordBatch.from_arrays([*own, pa.array(names)], ["v", "ids", "bucket"])
 
     def visited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for dim, at, unit in _matrix(batch.column(1)):
-                for table in range(TABLES if functions else 1):
+                for table in range(TABLES):
                     a, b = directions(dim, functions, table)
+                    rng = np.random.default_rng(table)
                     for i, p in zip(at.tolist(), unit @ a):
-                        names = _bucket(dim, table, np.array(probes(p, b, cosine, TABLE_SUCCESS), np.int64))
-                        yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * len(names), pa.int64()), pa.array(names)], ["query_id", "bucket"])
-
-    index = items.mapInArrow(placed, "v array<double>, ids array<long>, bucket string")
-    asked = cut(queries.mapInArrow(visited, "query_id long, bucket string"))
-    blocks = cut(
-        index.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("rows"))
-        .join(asked.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("asks")), "bucket")
-    )
+                        names = _bucket(dim, table, probes(p, b, cosine, TABLE_SUCCESS, rng))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), batch.column(0)[i].as_py())), pa.array(names)], ["q", "bucket"])
+
+    kind = rows.schema["v"].dataType.simpleString()
+    index = items.mapInArrow(placed, f"v {kind}, ids array<long>, bucket long")
+    sizes = cut(index.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("rows")))
+    asked = stored(queries.select("q", "v").mapInArrow(visited, "q long, bucket long").join(small(sizes.select("bucket")), "bucket", "left_semi"))
+    blocks = cut(sizes.join(asked.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("asks")), "bucket"))
     spread = lambda of, n: F.pmod(F.xxhash64(of), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = index.join(blocks, "bucket").withColumn("i", spread(F.get("ids", F.lit(0)), "rows")).withColumn("j", each("asks")).select("bucket", "i", "j", "v", "ids")
-    right = asked.join(blocks, "bucket").withColumn("j", spread(F.col("query_id"), "asks")).withColumn("i", each("rows")).select("bucket", "i", "j", "query_id")
-    right = right.join(queries, "query_id")
-    met = left.groupBy("bucket", "i", "j").cogroup(right.groupBy("bucket", "i", "j")).applyInPandas(_compared(k), "query_id long, vec_id long, score double")
+    cell = F.xxhash64("bucket", "i", "j").alias("cell")
+    share = F.pmod(F.xxhash64(F.lit(3), "cell"), F.lit(max(16, -(-n * TABLES // SHARE)))).alias("share")
+    left = index.join(blocks, "bucket").withColumn("i", spread(F.get("ids", F.lit(0)), "rows")).withColumn("j", each("asks"))
+    left = left.select(cell, "v", "ids").select(share, "cell", "v", "ids")
+    visits = asked.join(blocks, "bucket").withColumn("j", spread(F.col("q"), "asks")).withColumn("i", each("rows")).select(cell, "q").select(share, "cell", "q")
+    # A query's vector goes once to each share that it visits.
+    vector = visits.select("share", "q").distinct().join(queries, "q").select("share", F.lit(0).cast("long").alias("cell"), "q", "query_id", "v")
+    right = visits.select("*", F.lit(0).cast("long").alias("query_id"), F.lit(None).cast(kind).alias("v")).unionByName(vector)
+    met = left.groupBy("share").cogroup(right.groupBy("share")).applyInArrow(_compared(k), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return met.distinct().withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def digest(vectors: DataFrame) -> DataFrame:
