@@ -7,10 +7,11 @@ deletion apart. The edit distance of each join is then verified on the texts. Be
 few: one edit leaves the left or the right half of a line as it is, so only lines that share half a line, aligned to its own
 end and with a length that differs by one at most, emit variants.
 
-Order is by (doc_id, line number). Defined results: lines are what stands between line feeds; a line of white space only is
-never removed; copies of a line go after its first occurrence; shorter lines are held against exact copies only; a line
-near to an earlier one goes with all its copies, also if that earlier one goes itself. Rows with a null doc_id or text take
-no part and stay as they are; rows that share a doc_id are one document; an empty table gives none; other columns pass.
+Order is by (doc_id, hash of the text, line number). Defined results: lines are what stands between line feeds; a line of
+white space only is never removed; copies of a line go after its first occurrence; shorter lines are held against exact copies
+only; a line near to an earlier one goes with all its copies, also if that earlier one goes itself. Lines and texts of any
+length are taken whole. Rows with a null doc_id or text take no part and stay as they are; different texts of one doc_id are
+rows of their own; rows that repeat in both are one, and stay alike; an empty table gives none; other columns pass.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from metrelle.llm.common import cut, mix, powers, slices, small, small_batches
+from metrelle.llm.common import cut, discard, is_small, mix, powers, slices, small, small_batches, stored
 
 #: Code points from which a line is held against near lines as well.
 LEAST_FUZZY = 20
@@ -33,8 +34,9 @@ BROADCAST_LINES = 1_000_000
 
 
 def lines(documents: DataFrame) -> DataFrame:
-    """(doc_id, line_no, line, h1, h2) of every line that isn't white space only; one 64-bit hash alone would collide."""
-    found = documents.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    """(doc_id, version, line_no, line, h1, h2) of every line that isn't white space only; version is a hash of the text, and
+    one 64-bit hash alone would collide."""
+    found = documents.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("version"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     found = found.filter(F.col("line").rlike(r"\S"))
     return found.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(11), "line")})
 
@@ -79,16 +81,18 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(role), batch.column(0).take(rows), batch.column(1).take(rows)], ["key", "role", "h1", "h2"])
 
 
-def near_lines(documents: DataFrame, least: int = LEAST_FUZZY) -> DataFrame:
-    """(h1, h2) of every distinct line that has an earlier one within one edit."""
-    small_batches(documents.sparkSession)
-    keyed = lines(documents).filter(F.length("line") >= least).select("*", F.explode(half_keys(F.col("line"))).alias("key"))
+def near_lines(documents: DataFrame, hashed: DataFrame, least: int = LEAST_FUZZY) -> DataFrame:
+    """(h1, h2) of every distinct line that has an earlier one within one edit; hashed: the rows of hashed_lines()."""
+    keyed = hashed.filter("halves IS NOT NULL").select("h1", "h2", F.explode("halves").alias("key"))
     shared = cut(keyed.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a <> b").select("key"))
-    kept = cut(
-        keyed.join(small(shared), "key", "left_semi")
-        .groupBy("h1", "h2")
-        .agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.any_value("line").alias("line"))
-    )
+    some = keyed.join(small(shared), "key", "left_semi").select("h1", "h2").distinct()
+    some = cut(hashed.join(small(cut(some)), ["h1", "h2"]).groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "version", "line_no")).alias("at")))
+    # The text of each such line is read from its first place, so only the documents that hold one are taken apart again.
+    asked = cut(some.groupBy("at.doc_id", "at.version").agg(F.collect_list(F.struct("at.line_no", "h1", "h2", "at")).alias("asked")))
+    rows = documents.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("version"), "text")
+    asked = rows.join(F.broadcast(asked) if is_small(some, BROADCAST_LINES) else asked, ["doc_id", "version"])
+    parts = asked.withColumn("every", F.split("text", "\n")).select(F.inline(F.transform("asked", lambda q: F.struct(q["h1"].alias("h1"), q["h2"].alias("h2"), q["at"].alias("at"), F.get("every", q["line_no"]).alias("line")))))
+    kept = stored(parts.dropDuplicates(["h1", "h2"]))  # rows may repeat
     variants = kept.select("h1", "h2", "line").mapInArrow(_emit, "key long, role string, h1 long, h2 long")
     meeting = variants.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a <> b").select("key")
     met = cut(variants.join(small(cut(meeting)), "key").join(kept.select("h1", "h2", "at"), ["h1", "h2"]))
@@ -103,25 +107,34 @@ def near_lines(documents: DataFrame, least: int = LEAST_FUZZY) -> DataFrame:
     return told.filter(F.levenshtein("a", "b", 1) >= 0).select("late.h1", "late.h2").distinct()
 
 
+def hashed_lines(documents: DataFrame, least: int = LEAST_FUZZY) -> DataFrame:
+    """(doc_id, version, line_no, h1, h2, halves): every line by its hashes, written once; halves are null for short lines."""
+    halves = F.when(F.length("line") >= least, half_keys(F.col("line"))).alias("halves")
+    return stored(lines(documents).select("doc_id", "version", "line_no", "h1", "h2", halves))
+
+
 def removals(documents: DataFrame, least: int = LEAST_FUZZY) -> DataFrame:
-    """(doc_id, gone, n_exact, n_near): for each document that loses lines, their numbers, and how many for which reason."""
-    found = lines(documents)
-    near = cut(near_lines(documents, least))
-    first = found.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    """(doc_id, version, gone, n_exact, n_near): for each document that loses lines, their numbers, and how many for which reason."""
+    found = hashed_lines(documents, least)
+    near = cut(near_lines(documents, found, least))
+    place = F.struct("doc_id", "version", "line_no")
+    first = found.groupBy("h1", "h2").agg(F.min(place).alias("at"), F.count("*").alias("n")).filter("n > 1").drop("n")
     decided = cut(first.join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "full"))
-    gone = found.join(small(decided), ["h1", "h2"]).filter("near OR at <> struct(doc_id, line_no)")
-    return gone.groupBy("doc_id").agg(F.collect_list("line_no").alias("gone"), F.count_if(F.col("near").isNull()).alias("n_exact"), F.count("near").alias("n_near"))
+    gone = found.join(small(decided), ["h1", "h2"]).filter(F.col("near") | (F.col("at") != place)).select("doc_id", "version", "line_no", "near").distinct()
+    gone = stored(gone.groupBy("doc_id", "version").agg(F.collect_list("line_no").alias("gone"), F.count_if(F.col("near").isNull()).alias("n_exact"), F.count("near").alias("n_near")))
+    discard(found)
+    return gone
 
 
 def cleaned(documents: DataFrame, least: int = LEAST_FUZZY) -> DataFrame:
     """documents without the lines that go, and the columns __exact and __near: how many went for which reason."""
-    gone = cut(removals(documents, least))
+    gone = removals(documents, least)
     if (gone.agg(F.sum(F.size("gone"))).first()[0] or 0) <= BROADCAST_LINES:
         gone = F.broadcast(gone)
-    gone = gone.select("doc_id", F.col("gone").alias("__gone"), F.col("n_exact").alias("__exact"), F.col("n_near").alias("__near"))
+    gone = gone.select(F.col("doc_id").alias("__id"), F.col("version").alias("__version"), F.col("gone").alias("__gone"), F.col("n_exact").alias("__exact"), F.col("n_near").alias("__near"))
     every = F.split("text", "\n")
     left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(every) - 1), "__gone"), lambda i: F.get(every, i))
-    both = documents.join(gone, "doc_id", "left")
+    both = documents.join(gone, (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__version")), "left")
     return both.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))).select(*documents.columns, "__exact", "__near")
 
 

@@ -4,7 +4,7 @@ import hashlib
 import random
 
 import pytest
-from metrelle.llm import lines
+from metrelle.llm import common, lines
 
 
 def near(a: str, b: str) -> bool:
@@ -55,6 +55,22 @@ def test_matches_brute_force(spark, seed):
     assert "h1" in got.columns
 
 
+def test_matches_brute_force_without_broadcasts(spark, monkeypatch):
+    monkeypatch.setattr(lines, "BROADCAST_LINES", -1)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", -1)
+    rows = corpus(3)
+    got = lines.cleaned(spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, version string"))
+    assert {(r["doc_id"], r["text"]) for r in got.collect()} == brute(rows) and got.columns[:3] == ["doc_id", "text", "version"]
+
+
+def test_two_texts_of_one_id_repeated_rows_and_long_lines(spark):
+    long = "".join(random.Random(1).choice("abcdef ") for _ in range(30000)) + "."
+    rows = [(5, "a\nb"), (5, "c\na"), (6, "d\nd"), (6, "d\nd"), (7, long + "\nx"), (8, "y\n" + long[:9000] + "z" + long[9001:])]
+    got = sorted((r["doc_id"], r["text"]) for r in lines.cleaned(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert [t for d, t in got if d == 6] == ["d", "d"] and (7, long + "\nx") in got and (8, "y") in got
+    assert sorted("\n".join(t for d, t in got if d == 5).split("\n")) == ["a", "b", "c"]
+
+
 def test_empty_table_and_digest(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert lines.digest(none).count() == 0
