@@ -2,10 +2,12 @@
 
 The benchmark's word windows become a set of 64-bit keys. Every document's windows are keyed in one pass over its words,
 looked up in that set, and the words of each hit are compared with the window's own. Only hits and one row per document
-leave the scan. The set is broadcast after a count has shown that it is small; beyond that the same join shuffles.
+leave the scan. The set is broadcast after a count of its rows and bytes has shown that it is small. Beyond that, windows are
+shuffled as a place and two 64-bit keys of their words, without the text; there the second key takes the words' place.
 
 Defined results: a null or wordless text has no windows and no hits; a benchmark text of fewer than `n` words, but not
-none, is one window; null benchmark texts have no windows; repeated rows of `documents` each give a row; repeated benchmark
+none, is one window; null benchmark texts have no windows; texts of any length are read whole; ties don't arise, as every
+occurrence counts; repeated rows of `documents` each give a row; repeated benchmark
 rows count once by item_id; an item without an id is left out; other columns, whatever their names, are ignored, and
 `remove_hits` passes them on.
 """
@@ -15,27 +17,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from metrelle.llm.common import small, words
+from metrelle.llm.common import is_small, small, words
 
 
 def _keys(found: Column) -> Column:
     return F.transform(found, lambda w: F.xxhash64(w))
 
 
-def _window_key(keys: Column, at: Column, n: int) -> Column:
-    """The key of the n words from place `at`, or null where the text ends sooner."""
-    return F.when((at >= 0) & (at + n <= F.size(keys)), F.xxhash64(*[F.get(keys, at + j) for j in range(n)]))
+def _window_key(keys: Column, at: Column, n: int, salt: int = 0) -> Column:
+    """The key of the n words from place `at`, or null where the text ends sooner; another one for another salt."""
+    return F.when((at >= 0) & (at + n <= F.size(keys)), F.xxhash64(*[F.lit(salt)] * salt, *[F.get(keys, at + j) for j in range(n)]))
 
 
 def benchmark_windows(benchmark: DataFrame, n: int = 10) -> DataFrame:
-    """(key, gram, size, item): each distinct window of each item, keyed as the documents' windows are."""
+    """(key, second, gram, size, item): each distinct window of each item, keyed as the documents' windows are."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("w"))
     items = items.filter("item IS NOT NULL AND size(w) > 0")
     at = F.explode(F.sequence(F.lit(0), F.greatest(F.size("w") - n, F.lit(0))))
     grams = items.select("item", "w", at.alias("at")).select("item", F.slice("w", F.col("at") + 1, n).alias("gram"))
     grams = grams.select("item", "gram", F.size("gram").alias("size"))
-    key = F.coalesce(*[F.when(F.col("size") == m, F.xxhash64(*[F.xxhash64(F.get("gram", F.lit(j))) for j in range(m)])) for m in range(1, n + 1)])
-    return grams.select(key.alias("key"), "gram", "size", "item").distinct()
+    key = lambda salt: F.coalesce(*[F.when(F.col("size") == m, F.xxhash64(*[F.lit(salt)] * salt, *[F.xxhash64(F.get("gram", F.lit(j))) for j in range(m)])) for m in range(1, n + 1)])
+    return grams.select(key(0).alias("key"), key(1).alias("second"), "gram", "size", "item").distinct()
 
 
 def hits(documents: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
@@ -44,20 +46,32 @@ def hits(documents: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     row numbers the rows of the scan; spans is an array of (at, size) sorted by place."""
     windows = benchmark_windows(benchmark, n)
     sizes = sorted(r[0] for r in windows.select("size").distinct().collect())  # n values at most
-    lookup = small(windows.select("key", "gram", "size").distinct())
+    lookup = windows.select("key", "gram", "size").distinct()
+    held = is_small(lookup)
     found = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", words(F.col("text")).alias("w"))
     found = found.withColumn("keys", _keys(F.col("w")))
     # Place -1 carries the document itself. Keys are made after the explode, where they are compiled code.
     looked = found.withColumn("at", F.explode(F.sequence(F.lit(-1), F.size("w") - 1)))
+    looked = looked.withColumns({"doc_id": F.when(F.col("at") < 0, F.col("doc_id")), "n_words": F.when(F.col("at") < 0, F.size("w"))})
+
+    def keyed(of) -> Column:
+        if len(sizes) > 1:
+            return F.coalesce(*[F.when(F.col("m") == m, of(m)) for m in sizes])
+        return of(sizes[0]) if sizes else F.lit(None).cast("long")
+
     if len(sizes) > 1:
         looked = looked.withColumn("m", F.explode(F.when(F.col("at") < 0, F.array(F.lit(0))).otherwise(F.array(*map(F.lit, sizes)))))
-        key = F.coalesce(*[F.when(F.col("m") == m, _window_key(F.col("keys"), F.col("at"), m)) for m in sizes])
+    key = keyed(lambda m: _window_key(F.col("keys"), F.col("at"), m))
+    if held:
+        joined = looked.withColumn("key", key).join(F.broadcast(lookup), "key", "left")
+        same = F.when(F.col("size").isNotNull(), F.slice("w", F.col("at") + 1, F.coalesce("size", F.lit(1))) == F.col("gram"))
     else:
-        key = _window_key(F.col("keys"), F.col("at"), sizes[0]) if sizes else F.lit(None).cast("long")
-    joined = looked.withColumn("key", key).join(lookup, "key", "left")
-    same = F.when(F.col("size").isNotNull(), F.slice("w", F.col("at") + 1, F.coalesce("size", F.lit(1))) == F.col("gram"))
-    joined = joined.filter((F.col("at") < 0) | F.coalesce(same, F.lit(False)))
-    joined = joined.select("row", F.when(F.col("at") < 0, F.col("doc_id")).alias("doc_id"), F.when(F.col("at") < 0, F.size("w")).alias("n_words"), "at", "key", "size")
+        second = keyed(lambda m: _window_key(F.col("keys"), F.col("at"), m, 1))
+        thin = looked.select("row", "doc_id", "n_words", "at", key.alias("key"), second.alias("second")).filter("at < 0 OR key IS NOT NULL")
+        thin = thin.withColumn("key", F.when(F.col("at") < 0, F.xxhash64("row")).otherwise(F.col("key")))  # rows are dealt out like windows
+        joined = thin.join(windows.select("key", "second", "size").distinct(), ["key", "second"], "left")
+        same = F.col("size").isNotNull()
+    joined = joined.filter((F.col("at") < 0) | F.coalesce(same, F.lit(False))).select("row", "doc_id", "n_words", "at", "key", "size")
     hit = F.col("at") >= 0
     each = joined.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"),
