@@ -9,7 +9,7 @@ Bayes span classifier is then trained on the posteriors of all candidates, over
 decides on the candidates that aren't base spans. Base spans always stay.
 
 Defined results: a null text is empty; spans count code points, end exclusive; a text of any length is searched whole, and
-no pattern backtracks or recurses over long runs; repeated rows each give a row; an empty table gives none; other columns
+no pattern backtracks or recurses over long runs; spans of one start go by kind; repeated rows each give a row; an empty table gives none; other columns
 are ignored, and `redacted` passes them on.
 """
 
@@ -53,21 +53,55 @@ BUCKETS = 512
 ACCEPT = 0.9
 
 
+#: Matches whose places are summed one by one; sums of such parts are added then, so that long texts with many matches stay cheap.
+PART = 256
+_SPAN = "struct<start:int,end:int,match:string,left:string,right:string>"
+
+
 def spans(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, match>> of the leftmost non-overlapping matches, in code points.
+    """array<struct<start, end, match, left, right>> of the leftmost non-overlapping matches, in code points.
 
-    The parts between matches and the matches alternate, so places are running sums of their lengths."""
+    The parts between matches and the matches alternate, so places are running sums of their lengths; left and right are what
+    stands around, CONTEXT at most, and reach one match far."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern)
-    kind = "array<struct<start:int,end:int,match:string>>"
+    both = F.arrays_zip(F.split(text, pattern).alias("b"), found.alias("m"))
+    n = F.size(both) - 1
+    near = F.transform(
+        F.slice(both, F.lit(1), F.greatest(n, F.lit(0))),
+        lambda x, i: F.struct(x["b"].alias("b"), x["m"].alias("m"), F.get(both, i - 1)["m"].alias("before"), F.get(both, i + 1)["b"].alias("after"), F.get(both, i + 1)["m"].alias("next")),
+    )
+    kind = f"array<{_SPAN}>"
+    add = lambda x, at: (at + F.length(x["b"]), at + F.length(x["b"]) + F.length(x["m"]))
+
+    def place(state: Column, x: Column) -> Column:
+        start, end = add(x, state["at"])
+        left = F.concat(F.coalesce(x["before"], F.lit("")), x["b"])
+        right = F.concat(F.coalesce(x["after"], F.lit("")), F.coalesce(x["next"], F.lit("")))
+        made = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("match"), F.right(left, F.lit(CONTEXT)).alias("left"), F.left(right, F.lit(CONTEXT)).alias("right"))
+        return F.struct(F.concat(state["out"], F.array(made)).alias("out"), end.alias("at"))
+
+    empty = lambda: F.struct(F.array().cast(kind).alias("out"), F.lit(0).alias("at"))
+    parts = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((n - 1) / PART).cast("int"), F.lit(0))), lambda i: F.aggregate(F.slice(near, i * PART + 1, F.lit(PART)), empty(), place))
+    move = lambda x, by: F.struct((x["start"] + by).alias("start"), (x["end"] + by).alias("end"), x["match"].alias("match"), x["left"].alias("left"), x["right"].alias("right"))
+    moved = F.aggregate(
+        parts, F.struct(F.array().cast(f"array<{kind}>").alias("out"), F.lit(0).alias("at")),
+        lambda s, p: F.struct(F.concat(s["out"], F.array(F.transform(p["out"], lambda x: move(x, s["at"])))).alias("out"), (s["at"] + p["at"]).alias("at")), lambda s: F.flatten(s["out"]),
+    )
+    return F.when(n > 0, moved).otherwise(F.array().cast(kind))
 
-    def place(state: Column, both: Column) -> Column:
-        start = state["at"] + F.length(both["b"])
-        end = start + F.length(both["m"])
-        return F.struct(F.concat(state["out"], F.array(F.struct(start.alias("start"), end.alias("end"), both["m"].alias("match")))).alias("out"), end.alias("at"))
 
-    paired = F.filter(F.arrays_zip(between.alias("b"), found.alias("m")), lambda x: x["m"].isNotNull())
-    return F.aggregate(paired, F.struct(F.array().cast(kind).alias("out"), F.lit(0).alias("at")), place, lambda s: s["out"])
+def apart(wide: Column, base: Column) -> Column:
+    """The spans of `wide`, which don't meet each other, that meet none of `base`.
+
+    A span meets one of them unless as many of them begin before its end as end by its start. Both numbers are places in a sorted
+    list of ends and starts, less the spans before."""
+
+    def rank(mine: str, theirs: str, first: int) -> Column:
+        events = F.array_sort(F.concat(F.transform(wide, lambda x: F.struct(x[mine].alias("p"), F.lit(1 - first).alias("t"), F.lit(0).alias("o"))), F.transform(base, lambda x: F.struct(x[theirs].alias("p"), F.lit(first).alias("t"), F.lit(1).alias("o")))))
+        return F.transform(F.filter(F.transform(events, lambda x, i: F.struct(x["o"].alias("o"), i.alias("i"))), lambda x: x["o"] == 0), lambda x, j: x["i"] - j)
+
+    zipped = F.arrays_zip(wide.alias("w"), rank("end", "start", 1).alias("a"), rank("start", "end", 0).alias("b"))
+    return F.when(F.size(wide) == 0, wide).otherwise(F.transform(F.filter(zipped, lambda x: x["a"] == x["b"]), lambda x: x["w"]))
 
 
 def _digits(match: Column) -> Column:
@@ -99,27 +133,23 @@ def candidates(documents: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", text.alias("t"))
     # A digit is needed by all kinds but email; most texts have neither a digit nor an at sign in reach.
-    none = F.array().cast("array<struct<start:int,end:int,match:string>>")
+    none = F.array().cast(f"array<{_SPAN}>")
     has_digit = F.col("t").rlike("[0-9]")
-    found = []
-    for order, kind in enumerate(KINDS):
+    columns = {}
+    for kind in KINDS:
         may = F.col("t").contains(NEEDS[kind]) if NEEDS[kind] else F.lit(True)
         may = may if kind == "email" else may & has_digit
         if kind == "card":
             may = may & F.col("t").rlike("[0-9][0-9\\x20-]{13}")
-        base = F.filter(F.when(may, spans(F.col("t"), BASE[kind])).otherwise(none), lambda x: valid(kind, x["match"]))
+        columns[f"base_{kind}"] = F.filter(F.when(may, spans(F.col("t"), BASE[kind])).otherwise(none), lambda x: valid(kind, x["match"]))  # noqa: B023
         wide_may = F.col("t").rlike("[(\\[{](?:at|AT)[)\\]}]") if kind == "email" else has_digit & F.col("t").rlike(WIDE[kind])
-        wide = F.when(wide_may, spans(F.col("t"), WIDE[kind])).otherwise(none)
-        for is_base, array in ((True, base), (False, wide)):
-            found.append(F.transform(array, lambda x: F.struct(F.lit(order).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["match"].alias("match"), F.lit(is_base).alias("base"))))
-    every = rows.select("row", "doc_id", "t", F.concat(*found).alias("f"))
+        columns[f"wide_{kind}"] = F.when(wide_may, spans(F.col("t"), WIDE[kind])).otherwise(none)
+    told = lambda array, order, base: F.transform(array, lambda x: F.struct(F.lit(order).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["match"].alias("match"), F.lit(base).alias("base"), x["left"].alias("left"), x["right"].alias("right")))
+    every = rows.select("row", "doc_id", *[c.alias(name) for name, c in columns.items()])
+    every = every.withColumn("own", F.concat(*[F.col(f"base_{k}") for k in KINDS]))
     # A candidate beside the base that meets a base span says nothing new.
-    alone = F.filter("f", lambda x: x["base"] | ~F.exists("f", lambda y: y["base"] & (y["start"] < x["end"]) & (x["start"] < y["end"])))
-    around = lambda x: [
-        F.substring(F.col("t"), F.greatest(x["start"] - CONTEXT, F.lit(0)) + 1, F.least(x["start"], F.lit(CONTEXT))).alias("left"),
-        F.substring(F.col("t"), x["end"] + 1, F.lit(CONTEXT)).alias("right"),
-    ]
-    return every.select("row", "doc_id", F.transform(alone, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["match"].alias("match"), x["base"].alias("base"), *around(x))).alias("found"))
+    both = [told(F.col(f"base_{k}"), o, True) for o, k in enumerate(KINDS)] + [told(apart(F.col(f"wide_{k}"), F.col("own")), o, False) for o, k in enumerate(KINDS)]
+    return every.select("row", "doc_id", F.concat(*both).alias("found"))
 
 
 LABELERS = ("regex", "form", "gazetteer", "context")
