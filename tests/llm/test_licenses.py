@@ -18,10 +18,11 @@ def brute(text):
     for name, template in licenses.TEMPLATES.items():
         t = [s for s, _, _ in shingled(template)]
         best = []
-        for i in range(len(own) - len(t) + 1):
-            share = len({s for s, _, _ in own[i : i + len(t)]} & set(t)) / len(set(t))
+        n = min(len(t), len(own))
+        for i in range(len(own) - n + 1 if n else 0):
+            share = len({s for s, _, _ in own[i : i + n]} & set(t)) / len(set(t))
             if share >= 0.8 - 1e-9:
-                row = (i, i + len(t), name, share)
+                row = (i, i + n, name, share)
                 if best and i < best[-1][1]:
                     best[-1] = row if share > best[-1][3] else best[-1]
                 else:
