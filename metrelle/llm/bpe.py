@@ -27,6 +27,8 @@ from metrelle.llm.common import small_batches
 
 #: Distinct units that a worker keeps between batches and tasks.
 KEPT_UNITS = 120_000
+#: Characters of a unit that is kept; longer ones, as whole texts without spaces are, live for one batch.
+KEPT_LENGTH = 64
 #: Characters of text whose new units are merged together.
 GROUP_CHARS = 4 << 20
 _replays: dict = {}
@@ -144,7 +146,7 @@ class MergeReplay:
         it; no ids are kept for that unit, and such a text is one unit."""
         cut = [text.replace(" ", "\0 ").split("\0") if "\0" not in text else [text, ""] for text in texts]
         known, older = self.known, self.older
-        new = []
+        new, long = [], []
         for unit in {unit for units in cut for unit in units}.difference(known):
             if unit in older:
                 known[unit] = older[unit]
@@ -152,8 +154,12 @@ class MergeReplay:
                 new.append(unit)
             else:
                 known[unit] = None
+                if len(unit) > KEPT_LENGTH:
+                    long.append(unit)
         known.update(zip(new, self.ids_of(new)))
         out: list = [None if None in (ids := [known[unit] for unit in units]) else b"".join(ids) for units in cut]
+        for unit in [*[u for u in new if len(u) > KEPT_LENGTH], *long]:
+            del known[unit]
         whole = [i for i, ids in enumerate(out) if ids is None]
         for i, ids in zip(whole, self.ids_of([texts[i] for i in whole])):
             out[i] = ids
