@@ -10,7 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
-from metrelle.llm import bpe, decontamination, language, neighbours
+from metrelle.llm import bpe, common, decontamination
 from test_lines import brute as lines_brute
 from test_near import brute as near_brute
 
@@ -98,10 +98,23 @@ def test_stages_match_brute_force(spark, tables):
     assert {tuple(r) for r in corpus_pipeline.run(spark, folder).collect()} == {tuple(r) for r in docs.collect()}
 
 
-def test_decontamination_matches_brute_force(spark, tables):
+def test_empty_table(spark, tables):
+    folder, _ = tables
+    none = spark.createDataFrame([], SCHEMA)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, folder).count() == 0
+
+
+def test_whole_pipeline_of_an_empty_table(spark, tables, tmp_path):
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{tables[0]}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_decontamination_matches_brute_force(spark, tables, monkeypatch):
     folder, items = tables
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
-    docs += [(None, items[0][1]), (600, items[2][1].upper() + "!"), (601, items[2][1]), (601, items[2][1])]
+    docs += [(700, " ".join(["word"] * 30000) + " " + items[1][1]), (None, items[0][1]), (600, items[2][1].upper() + "!"), (601, items[2][1]), (601, items[2][1])]
     frame = spark.createDataFrame([(d, t, "k", 1) for d, t in docs], "doc_id long, text string, key string, row int")
     got = Counter(tuple(r) for r in decontamination.digest(frame, spark.read.parquet(f"{folder}/benchmark.parquet")).collect())
     want = Counter()
@@ -109,67 +122,10 @@ def test_decontamination_matches_brute_force(spark, tables):
         n, hit, found = contaminated(t, items)
         want[d, n, hit, len(found), hashlib.sha256(",".join(found).encode()).hexdigest(), hit > 0] += 1
     assert got == want
-    clean = {r["doc_id"]: r["text"] for r in decontamination.remove_hits(frame.filter("doc_id = 600 OR doc_id = 1"), spark.read.parquet(f"{folder}/benchmark.parquet")).collect()}
-    assert clean[600] == "!" and not contaminated(clean[1], items)[1]
+    clean = {r["doc_id"]: r["text"] for r in decontamination.remove_hits(frame.filter("doc_id = 600 OR doc_id = 9"), spark.read.parquet(f"{folder}/benchmark.parquet")).collect()}
+    assert clean[600] == "!" and not contaminated(clean[9], items)[1]
+    monkeypatch.setattr(common, "BROADCAST_ROWS", -1)
+    assert Counter(tuple(r) for r in decontamination.digest(frame, spark.read.parquet(f"{folder}/benchmark.parquet")).collect()) == want
+    monkeypatch.undo()
     none = frame.filter("false")
     assert decontamination.digest(none, spark.read.parquet(f"{folder}/benchmark.parquet")).count() == 0
-
-
-def test_tokens_match_the_library(spark):
-    r, enc = random.Random(5), encoding()
-    fixed = [None, "", " ", "a\n \nb", "  x ", "aaaaaaaaa", "日本語🙂🙂", "é" * 4000, "it's <|endoftext|> 12345", "\0 a\0 b", "x " * 20000]
-    rows = list(enumerate(fixed + ["".join(r.choice("ab né's 1\n日.\t") for _ in range(r.randint(0, 80))) for _ in range(500)]))
-    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    frame = spark.createDataFrame([(d, t, b"") for d, t in rows], "doc_id long, text string, ids binary")
-    assert {tuple(x) for x in bpe.digest(frame, path, public_tokenizers.PATTERN).collect()} == {token_row(enc, d, t) for d, t in rows}
-    got = {x["doc_id"]: bytes(x["decoded"]).decode() for x in bpe.encoded(frame, path, public_tokenizers.PATTERN).collect()}
-    assert got == {d: t or "" for d, t in rows}
-    assert bpe.digest(frame.filter("false"), path, public_tokenizers.PATTERN).count() == 0
-
-
-def test_language_on_held_out_rows_and_odd_ones(spark):
-    r = random.Random(3)
-    rows = [(i, " ".join(prose(r, lang, 40)), lang) for i in range(300) for lang in [r.choice(["en", "de", "fr"])]]
-    odd = [(1000, None, None), (1001, "123 !?", "en"), (1002, "", None), (1003, "Привет, как дела? Сегодня хорошая погода на улице.", None)]
-    got = {x["doc_id"]: x for x in language.digest(spark.createDataFrame(rows + odd, "doc_id long, text string, lang string")).collect()}
-    held = [got[i]["lang_pred"] == lang for i, _, lang in rows if got[i]["held_out"]]
-    assert len(held) > 40 and np.mean(held) >= 0.98
-    assert [got[d]["lang_pred"] for d in (1000, 1001, 1002)] == ["und"] * 3 and got[1000]["score"] == 0 and got[1003]["rejected"]
-    assert language.digest(spark.createDataFrame([], "doc_id long, text string, lang string")).count() == 0
-    assert language.digest(spark.createDataFrame([(1, "text", None)], "doc_id long, text string, lang string")).first()["lang_pred"] == "und"
-
-
-def test_rejection_passes_clashing_columns(spark):
-    rows = [(i, "the thing and other", "en", "p", 0.5, [1]) for i in range(8)] + [(9, None, None, None, None, None)]
-    frame = spark.createDataFrame(rows, "doc_id int, text string, lang string, lang_pred string, score double, rejected array<int>")
-    got = language.drop_rejected(frame)
-    assert got.columns == frame.columns and sorted(map(tuple, got.collect())) == rows[:8]
-
-
-def test_neighbours_recall_ties_and_odd_vectors(spark):
-    rng = np.random.default_rng(2)
-    centres = rng.normal(size=(40, 16))
-    x = np.repeat(centres, 60, 0) + rng.normal(size=(2400, 16)) * 0.4
-    x[100:400] = x[100]  # one very common vector
-    rows = [(i, v.tolist(), "e") for i, v in enumerate(x)]
-    odd = [(5000, None, "e"), (5050, [0.0] * 16, "e"), (5100, [1.0, None] + [0.0] * 14, "e"), (5150, [float("nan")] * 16, "e"), (5200, [1.0, 2.0], "e"), (None, [1.0] * 16, "e")]
-    got = neighbours.digest(spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>, v string")).toPandas()
-    u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    hit = total = 0
-    for q in range(0, 2400, 50):
-        s = u @ u[q]
-        near = sorted((i for i in range(2400) if i != q), key=lambda i: (-round(s[i], 12), i))[:5]
-        own = got[got.query_id == q].sort_values("rank")
-        hit, total = hit + len(set(near) & set(own.vec_id)), total + 5
-        assert list(own["rank"]) == [1, 2, 3, 4, 5] and np.allclose(own.score, s[own.vec_id])
-    assert hit / total >= 0.9 and not set(got.query_id) & {5000, 5050, 5100, 5150, 5200}
-    assert list(got[got.query_id == 150].sort_values("rank").vec_id) == [100, 101, 102, 103, 104]
-    assert neighbours.digest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
-
-
-def test_neighbours_of_many_rescaled_copies_go_by_id(spark):
-    v = np.random.default_rng(4).normal(size=8)
-    rows = [(i, (v * s).tolist()) for i, s in enumerate(np.random.default_rng(5).permutation(np.arange(1, 201)).tolist())]
-    got = neighbours.digest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
-    for q in (0, 50, 100, 150):
-        assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == [i for i in range(6) if i != q][:5]
