@@ -1,16 +1,21 @@
 """A corpus pipeline over `documents`: language ID, line dedup, near duplicates, decontamination, tokens.
 
 Each stage takes all that its predecessor kept, written as Parquet and read again, so a stage that is lost with its executors
-is made anew from files. run() puts these files below the shared folder that spark.checkpoint.dir names.
+is made anew from files. run() puts these files below the shared folder that spark.checkpoint.dir names, and deletes those of
+a stage once its successor's are written.
+
+Defined results: a null text, an empty one and one without a letter are rejected by the first stage, whatever their language
+column holds; texts of any length go through whole; rows with a null doc_id that have a text are kept by every stage, as
+nothing can be told of them by id; rows that share a doc_id are kept or dropped together by near duplicates and
+decontamination; of equal and near texts the smallest doc_id stays, and rows that repeat it stay with it; extra columns pass
+all stages but the last, also such as clash with names used within; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from metrelle.llm import bpe, decontamination, language, lines, near
-from metrelle.llm.common import shared_folder
+from metrelle.llm.common import discard, stored
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -48,9 +53,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over the whole of documents."""
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+        discard(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
