@@ -58,36 +58,54 @@ PART = 256
 _SPAN = "struct<start:int,end:int,match:string,left:string,right:string>"
 
 
-def spans(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, match, left, right>> of the leftmost non-overlapping matches, in code points.
+def with_spans(rows: DataFrame, text: str, patterns: dict[str, tuple[Column, str]]) -> DataFrame:
+    """rows and, for each name of patterns (when to look, pattern), array<struct<start, end, match, left, right>> of the leftmost
+    non-overlapping matches, in code points; empty where it isn't to be looked.
 
     The parts between matches and the matches alternate, so places are running sums of their lengths; left and right are what
-    stands around, CONTEXT at most, and reach one match far."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    both = F.arrays_zip(F.split(text, pattern).alias("b"), found.alias("m"))
-    n = F.size(both) - 1
-    near = F.transform(
-        F.slice(both, F.lit(1), F.greatest(n, F.lit(0))),
-        lambda x, i: F.struct(x["b"].alias("b"), x["m"].alias("m"), F.get(both, i - 1)["m"].alias("before"), F.get(both, i + 1)["b"].alias("after"), F.get(both, i + 1)["m"].alias("next")),
-    )
+    stands around, CONTEXT at most, and reach one match far. Every array that a lambda looks into is a column of a projection
+    below, as it would be made anew for each element otherwise."""
+    kept = rows.columns
+    string = F.array().cast("array<string>")
+    made = {}
+    for name, (may, pattern) in patterns.items():
+        made |= {f"__m_{name}": F.when(may, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(string), f"__b_{name}": F.when(may, F.split(text, pattern)).otherwise(string)}
+    rows = rows.withColumns(made)
+    near = {}
+    for name in patterns:
+        m, b, n = F.col(f"__m_{name}"), F.col(f"__b_{name}"), F.size(f"__m_{name}")
+        none, rest = F.array(F.lit("")), F.greatest(n - 1, F.lit(0))
+        before, after = F.concat(none, F.slice(m, F.lit(1), rest)), F.concat(F.slice(m, F.lit(2), rest), none)
+        zipped = F.arrays_zip(F.slice(b, F.lit(1), n).alias("b"), m.alias("m"), before.alias("before"), F.slice(b, F.lit(2), n).alias("after"), after.alias("next"))
+        near[f"__n_{name}"] = F.when(n > 0, zipped)
+    rows = rows.withColumns(near).select(*kept, *near)
     kind = f"array<{_SPAN}>"
-    add = lambda x, at: (at + F.length(x["b"]), at + F.length(x["b"]) + F.length(x["m"]))
 
     def place(state: Column, x: Column) -> Column:
-        start, end = add(x, state["at"])
-        left = F.concat(F.coalesce(x["before"], F.lit("")), x["b"])
-        right = F.concat(F.coalesce(x["after"], F.lit("")), F.coalesce(x["next"], F.lit("")))
-        made = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("match"), F.right(left, F.lit(CONTEXT)).alias("left"), F.left(right, F.lit(CONTEXT)).alias("right"))
-        return F.struct(F.concat(state["out"], F.array(made)).alias("out"), end.alias("at"))
-
-    empty = lambda: F.struct(F.array().cast(kind).alias("out"), F.lit(0).alias("at"))
-    parts = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((n - 1) / PART).cast("int"), F.lit(0))), lambda i: F.aggregate(F.slice(near, i * PART + 1, F.lit(PART)), empty(), place))
+        start = state["at"] + F.length(x["b"])
+        end = start + F.length(x["m"])
+        left, right = F.right(F.concat(x["before"], x["b"]), F.lit(CONTEXT)), F.left(F.concat(x["after"], x["next"]), F.lit(CONTEXT))
+        span = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("match"), left.alias("left"), right.alias("right"))
+        return F.struct(F.concat(state["out"], F.array(span)).alias("out"), end.alias("at"))
+
+    parts = {}
+    for name in patterns:
+        n = F.col(f"__n_{name}")
+        last = F.floor((F.size(n) - 1) / PART).cast("int")
+        each = F.transform(F.sequence(F.lit(0), last), lambda i: F.aggregate(F.slice(n, i * PART + 1, F.lit(PART)), F.struct(F.array().cast(kind).alias("out"), F.lit(0).alias("at")), place))  # noqa: B023
+        parts[f"__p_{name}"] = F.when(n.isNotNull(), each)
+    rows = rows.withColumns(parts).select(*kept, *parts)
     move = lambda x, by: F.struct((x["start"] + by).alias("start"), (x["end"] + by).alias("end"), x["match"].alias("match"), x["left"].alias("left"), x["right"].alias("right"))
-    moved = F.aggregate(
-        parts, F.struct(F.array().cast(f"array<{kind}>").alias("out"), F.lit(0).alias("at")),
-        lambda s, p: F.struct(F.concat(s["out"], F.array(F.transform(p["out"], lambda x: move(x, s["at"])))).alias("out"), (s["at"] + p["at"]).alias("at")), lambda s: F.flatten(s["out"]),
-    )
-    return F.when(n > 0, moved).otherwise(F.array().cast(kind))
+
+    def joined(s: Column, p: Column) -> Column:
+        return F.struct(F.concat(s["out"], F.array(F.transform(p["out"], lambda x: move(x, s["at"])))).alias("out"), (s["at"] + p["at"]).alias("at"))
+
+    whole = {}
+    for name in patterns:
+        p = F.col(f"__p_{name}")
+        found = F.aggregate(p, F.struct(F.array().cast(f"array<{kind}>").alias("out"), F.lit(0).alias("at")), joined, lambda s: F.flatten(s["out"]))
+        whole[name] = F.when(p.isNull(), F.array().cast(kind)).when(F.size(p) == 1, F.get(p, F.lit(0))["out"]).otherwise(found)
+    return rows.select(*kept, *[c.alias(name) for name, c in whole.items()])
 
 
 def apart(wide: Column, base: Column) -> Column:
@@ -133,19 +151,20 @@ def candidates(documents: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", text.alias("t"))
     # A digit is needed by all kinds but email; most texts have neither a digit nor an at sign in reach.
-    none = F.array().cast(f"array<{_SPAN}>")
     has_digit = F.col("t").rlike("[0-9]")
-    columns = {}
+    patterns = {}
     for kind in KINDS:
         may = F.col("t").contains(NEEDS[kind]) if NEEDS[kind] else F.lit(True)
         may = may if kind == "email" else may & has_digit
         if kind == "card":
             may = may & F.col("t").rlike("[0-9][0-9\\x20-]{13}")
-        columns[f"base_{kind}"] = F.filter(F.when(may, spans(F.col("t"), BASE[kind])).otherwise(none), lambda x: valid(kind, x["match"]))  # noqa: B023
+        patterns[f"found_{kind}"] = (may, BASE[kind])
         wide_may = F.col("t").rlike("[(\\[{](?:at|AT)[)\\]}]") if kind == "email" else has_digit & F.col("t").rlike(WIDE[kind])
-        columns[f"wide_{kind}"] = F.when(wide_may, spans(F.col("t"), WIDE[kind])).otherwise(none)
+        patterns[f"wide_{kind}"] = (wide_may, WIDE[kind])
+    rows = with_spans(rows, "t", patterns)
+    every = rows.withColumns({f"base_{k}": F.filter(f"found_{k}", lambda x: valid(k, x["match"])) for k in KINDS})  # noqa: B023
+    every = every.select("row", "doc_id", *[f"{part}_{k}" for part in ("base", "wide") for k in KINDS])
     told = lambda array, order, base: F.transform(array, lambda x: F.struct(F.lit(order).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["match"].alias("match"), F.lit(base).alias("base"), x["left"].alias("left"), x["right"].alias("right")))
-    every = rows.select("row", "doc_id", *[c.alias(name) for name, c in columns.items()])
     every = every.withColumn("own", F.concat(*[F.col(f"base_{k}") for k in KINDS]))
     # A candidate beside the base that meets a base span says nothing new.
     both = [told(F.col(f"base_{k}"), o, True) for o, k in enumerate(KINDS)] + [told(apart(F.col(f"wide_{k}"), F.col("own")), o, False) for o, k in enumerate(KINDS)]
