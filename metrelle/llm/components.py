@@ -20,9 +20,10 @@ def components(edges: DataFrame) -> DataFrame:
     state = _state(now)
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+        least = cut(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")))  # written, so that a hub's join can be split
         star = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        least = star.groupBy("u").agg(F.min("v").alias("m"))
+        star = cut(star)
+        least = cut(star.groupBy("u").agg(F.min("v").alias("m")))
         then = star.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.toDF("u", "v"))
         now, before = cut(then.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()), state
         state = _state(now)

@@ -51,3 +51,26 @@ def test_matches_brute_force(spark):
 def test_bands_guarantee_the_probability():
     b = licenses.bands_for(0.8, 1, 0.9995)
     assert 1 - (1 - 2 / 3) ** b >= 0.9995 > 1 - (1 - 2 / 3) ** (b - 1)
+
+
+def test_repeated_rows_and_notices_cut_short(spark):
+    notice = licenses.TEMPLATES["mpl-2.0"]
+    rows = [(1, notice), (1, notice), (None, notice), (2, notice.rsplit(" ", 2)[0]), (3, notice.rsplit(" ", 9)[0])]
+    got = licenses.digest(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, size int")).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"], r["licenses"]) for r in got if r["doc_id"] != 3) == [(False, 1, "mpl-2.0"), (False, 1, "mpl-2.0"), (False, 2, "mpl-2.0"), (True, None, "mpl-2.0")]
+    assert [r["licenses"] for r in got if r["doc_id"] == 3] == [""]
+
+
+def test_whole_texts_are_found_with_changes_among_hundreds_of_templates(spark):
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefghijk") for _ in range(6))
+    many = {f"t{i}": " ".join(word() for _ in range(r.choice([3, 9, 40, 400, 2500]))) for i in range(300)}
+    rows, want = [], {}
+    for d, name in enumerate(r.sample(sorted(many), 60)):
+        words = many[name].split()
+        for i in r.sample(range(len(words)), len(words) // 30):
+            words[i] = word()
+        rows.append((d, " ".join([word() for _ in range(50)] + words + [word() for _ in range(50)])))
+        want[d] = [name]
+    got = {x["doc_id"]: [f["license"] for f in x["found"]] for x in licenses.scanned(spark.createDataFrame(rows, "doc_id long, text string"), many).collect()}
+    assert got == want
