@@ -172,7 +172,7 @@ def is_small(df: DataFrame, most: int | None = None) -> bool:
     """Whether df may be broadcast: its rows and their bytes are counted and few; for frames that are cheap to read again."""
     most = BROADCAST_ROWS if most is None else most
     held = [F.octet_length(c) if k == "string" else F.octet_length(F.to_json(F.struct(F.col(c)))) if k.startswith(("array", "struct", "map")) else F.lit(16) for c, k in df.dtypes]
-    rows, size = df.limit(most + 1).agg(F.count("*"), F.sum(sum((F.coalesce(h, F.lit(0)) for h in held), F.lit(0)))).first()
+    rows, size = df.agg(F.count("*"), F.sum(sum((F.coalesce(h, F.lit(0)) for h in held), F.lit(0)))).first()  # a limit would gather rows in one task
     return rows <= most and (size or 0) <= BROADCAST_BYTES
 
 
