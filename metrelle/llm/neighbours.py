@@ -9,8 +9,8 @@ quartile of what a bounded sample of queries has as its k-th neighbour, found ex
 the query, and the best of all tables are ranked in double precision. So the index holds every row, and only the order and
 number of probes rest on the sample; the plan is the same at every size.
 
-A bucket is split into blocks of rows and of queries, blocks are dealt out by hash, and only the best of a query leave a
-task. Rows with the same vector are one entry that names their k + 1 smallest ids, which is all that any query can need.
+A bucket of more than BLOCK rows is split, with its queries in every part; parts are dealt out to shares by hash, a query goes to
+a share once, with all the buckets that it visits there, and only the best of a query leave a task. Rows with the same vector are one entry that names their k + 1 smallest ids, which is all that any query can need.
 
 Defined results: vectors that are null, all zero or hold null or non-finite parts take no part, nor do null ids; only
 vectors of one length are compared; rows with the query's own id are no candidates; repeated rows are one; an id with several
@@ -28,14 +28,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from metrelle.llm.common import cut, mix, small, small_batches, stored
+from metrelle.llm.common import cut, mix, small_batches
 
 TABLES, WIDTH = 5, 1.5
 TABLE_SUCCESS = 0.38
 #: Rows that a bucket holds about, bits that one direction tells, and directions at least.
 BUCKET_ROWS, DIRECTION_BITS, LEAST_DIRECTIONS = 24, 1.9, 2
-#: Rows or queries of a block; entries of all tables in a task's share; pairs that are held before the best are kept.
-BLOCK, SHARE, PAIRS = 2048, 8192, 2_000_000
+#: Rows of a bucket's part; entries of all tables in a share; queries that are held against a share together; pairs that are held
+#: before the best are kept; buckets whose parts are told to all tasks, to which the size of a part is fitted.
+BLOCK, SHARE, QUERIES, PAIRS, SPLIT = 2048, 8192, 16_384, 2_000_000, 1_000_000
 SAMPLE_QUERIES, DRAWS = 32, 1000
 #: Places of a score, so that vectors of one direction tie whatever their length; what a rough score may be off.
 DIGITS, MARGIN = 12, 1e-9
@@ -169,29 +170,25 @@ def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 def _compared(k: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        """The best entries of a task's share of the buckets for each query that visits them."""
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        """The best entries of a share for each query that visits it."""
         at, flat = _lists(left.column("v"))
         ids = _lists(left.column("ids"))
         asked_at, asked_flat = _lists(right.column("v"))
+        visit_at, visits = _lists(right.column("cells"))
         size, asked_size = np.diff(at), np.diff(asked_at)
-        key, cell = right.column("q").to_numpy(), right.column("cell").to_numpy()
-        vector = np.flatnonzero(asked_size)
-        order = vector[np.argsort(key[vector], kind="stable")]
-        names, own = key[order], right.column("query_id").to_numpy()[order]
-        visits = np.flatnonzero(asked_size == 0)
-        visits = visits[np.argsort(cell[visits], kind="stable")]
-        who, where = np.searchsorted(names, key[visits]), cell[visits]
+        own = right.column("query_id").to_numpy()
+        order = np.argsort(visits, kind="stable")
+        who, where = np.repeat(np.arange(len(own)), np.diff(visit_at))[order], visits[order]
         rows_cell = left.column("cell").to_numpy()
         out = []
-        for dim in np.unique(size[size > 0]):
+        for dim in np.unique(size):
             mine = np.flatnonzero(size == dim)
             mine = mine[np.argsort(rows_cell[mine], kind="stable")]
             rows = flat[at[mine][:, None] + np.arange(dim)].astype(np.float64)
             length = np.sqrt((rows * rows).sum(1))
-            there = asked_size[order] == dim
-            asked = np.zeros((len(order), dim))
-            asked[there] = asked_flat[asked_at[order[there]][:, None] + np.arange(dim)]
+            there = asked_size == dim
+            asked = np.zeros((len(own), dim))
+            asked[there] = asked_flat[asked_at[:-1][there][:, None] + np.arange(dim)]
             reach = np.sqrt((asked * asked).sum(1))
             unit, asked_unit = rows / length[:, None], asked / np.where(reach > 0, reach, 1)[:, None]
             cells, first = np.unique(rows_cell[mine], return_index=True)
@@ -217,52 +214,75 @@ def _compared(k: int):
     return run
 
 
+def _part(bucket: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """The name of a part of a split bucket."""
+    return mix(bucket.view(np.uint64) + (part.astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
+
+
 def nearest(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query row, nearest first."""
     spark = vectors.sparkSession
     small_batches(spark)
     rows = usable(vectors)
-    queries = rows.filter(is_query).select(F.xxhash64("vec_id", "v").alias("q"), F.col("vec_id").cast("long").alias("query_id"), "v")
-    queries, items = cut(queries), cut(entries(rows, k))
-    n = items.count()
-    functions = n_directions(n)
-    cosine = expected_cosine(items, queries, k)
+    queries, items = cut(rows.filter(is_query).select(F.col("vec_id").cast("long").alias("query_id"), "v")), cut(entries(rows, k))
+    n, asks = items.count(), queries.count()
+    functions, cosine = n_directions(n), expected_cosine(items, queries, k)
+    shares, groups, block = max(16, -(-n * TABLES // SHARE)), max(1, -(-asks // QUERIES)), max(BLOCK, -(-n * TABLES // SPLIT))
+
+    def buckets(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for dim, at, unit in _matrix(column):
+            for table in range(TABLES):
+                a, b = directions(dim, functions, table)
+                yield at, _bucket(dim, table, np.floor((unit @ a + b) / WIDTH))
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, names in buckets(batch.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(names)], ["bucket"])
+
+    large = items.select("v").mapInArrow(named, "bucket long").groupBy("bucket").count().filter(F.col("count") > block)
+    large = sorted((r["bucket"], -(-r["count"] // block)) for r in large.collect())  # SPLIT at most
+    split = spark.sparkContext.broadcast(np.array(large, np.int64).reshape(-1, 2))
+
+    def parts(names: np.ndarray) -> np.ndarray:
+        """The number of parts of each bucket."""
+        known = split.value
+        if not len(known):
+            return np.ones(len(names), np.int64)
+        at = np.minimum(np.searchsorted(known[:, 0], names), len(known) - 1)
+        return np.where(known[at, 0] == names, known[at, 1], 1)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for dim, at, unit in _matrix(batch.column(0)):
+            for at, names in buckets(batch.column(0)):
                 own = [batch.column(i).take(pa.array(at)) for i in (0, 1)]
-                for table in range(TABLES):
-                    a, b = directions(dim, functions, table)
-                    names = _bucket(dim, table, np.floor((unit @ a + b) / WIDTH))
-                    yield pa.RecordBatch.from_arrays([*own, pa.array(names)], ["v", "ids", "bucket"])
+                dealt = mix(np.array([i[0].as_py() for i in own[1]], np.int64).view(np.uint64)) % parts(names).astype(np.uint64)
+                cell = _part(names, dealt)
+                yield pa.RecordBatch.from_arrays([pa.array((cell.view(np.uint64) % np.uint64(shares)).astype(np.int64)), pa.array(cell), *own], ["share", "cell", "v", "ids"])
 
     def visited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each query and each share with buckets that it visits: these buckets."""
         for batch in batches:
             for dim, at, unit in _matrix(batch.column(1)):
-                for table in range(TABLES):
-                    a, b = directions(dim, functions, table)
-                    rng = np.random.default_rng(table)
-                    for i, p in zip(at.tolist(), unit @ a):
-                        names = _bucket(dim, table, probes(p, b, cosine, TABLE_SUCCESS, rng))
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), batch.column(0)[i].as_py())), pa.array(names)], ["q", "bucket"])
+                tables = [(table, *directions(dim, functions, table)) for table in range(TABLES)]
+                for i, vector in zip(at.tolist(), unit):
+                    names = np.concatenate([_bucket(dim, table, probes(vector @ a, b, cosine, TABLE_SUCCESS, np.random.default_rng(table))) for table, a, b in tables])
+                    number = parts(names)
+                    cell = _part(np.repeat(names, number), np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number))
+                    share = (cell.view(np.uint64) % np.uint64(shares)).astype(np.int64)
+                    order = np.argsort(share, kind="stable")
+                    own, first = np.unique(share[order], return_index=True)
+                    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)), pa.int32()), pa.array(cell[order]))
+                    same = pa.array(np.full(len(own), i))
+                    yield pa.RecordBatch.from_arrays([pa.array(own), lists, batch.column(0).take(same), batch.column(1).take(same)], ["share", "cells", "query_id", "v"])
 
     kind = rows.schema["v"].dataType.simpleString()
-    index = items.mapInArrow(placed, f"v {kind}, ids array<long>, bucket long")
-    sizes = cut(index.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("rows")))
-    asked = stored(queries.select("q", "v").mapInArrow(visited, "q long, bucket long").join(small(sizes.select("bucket")), "bucket", "left_semi"))
-    blocks = cut(sizes.join(asked.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("asks")), "bucket"))
-    spread = lambda of, n: F.pmod(F.xxhash64(of), F.col(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    cell = F.xxhash64("bucket", "i", "j").alias("cell")
-    share = F.pmod(F.xxhash64(F.lit(3), "cell"), F.lit(max(16, -(-n * TABLES // SHARE)))).alias("share")
-    left = index.join(blocks, "bucket").withColumn("i", spread(F.get("ids", F.lit(0)), "rows")).withColumn("j", each("asks"))
-    left = left.select(cell, "v", "ids").select(share, "cell", "v", "ids")
-    visits = asked.join(blocks, "bucket").withColumn("j", spread(F.col("q"), "asks")).withColumn("i", each("rows")).select(cell, "q").select(share, "cell", "q")
-    # A query's vector goes once to each share that it visits.
-    vector = visits.select("share", "q").distinct().join(queries, "q").select("share", F.lit(0).cast("long").alias("cell"), "q", "query_id", "v")
-    right = visits.select("*", F.lit(0).cast("long").alias("query_id"), F.lit(None).cast(kind).alias("v")).unionByName(vector)
-    met = left.groupBy("share").cogroup(right.groupBy("share")).applyInArrow(_compared(k), "query_id long, vec_id long, score double")
+    each = F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("block")
+    left = items.mapInArrow(placed, f"share long, cell long, v {kind}, ids array<long>")
+    left = left.select("*", each) if groups > 1 else left.withColumn("block", F.lit(0))
+    right = queries.repartition(max(16, shares), "query_id").mapInArrow(visited, f"share long, cells array<long>, query_id long, v {kind}")
+    right = right.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int"))
+    met = left.groupBy("share", "block").cogroup(right.groupBy("share", "block")).applyInArrow(_compared(k), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     best = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

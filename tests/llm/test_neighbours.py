@@ -37,6 +37,17 @@ def test_neighbours_of_many_rescaled_copies_go_by_id(spark):
         assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == [i for i in range(6) if i != q][:5]
 
 
+def test_split_buckets_and_blocks_of_queries_change_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(900, 6))
+    x[:500] = x[0] + 0.01 * rng.normal(size=(500, 6))  # a third of all rows and more in few buckets
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    want = sorted(map(tuple, neighbours.digest(frame).collect()))
+    monkeypatch.setattr(neighbours, "BLOCK", 20)
+    monkeypatch.setattr(neighbours, "QUERIES", 5)
+    assert sorted(map(tuple, neighbours.digest(frame).collect())) == want and len(want) == 90
+
+
 def test_repeated_rows_and_ids_with_several_vectors(spark):
     v, w = [1.0, 0.0, 0.2], [0.0, 1.0, 0.1]
     rows = [(0, v)] + [(1, v)] * 8 + [(i, v) for i in (2, 3, 4)] + [(5, w), (5, [1.0, 0.1, 0.2]), (6, w), (7, w)]
