@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from metrelle.llm import bpe, decontamination, language, licenses, lines, near, neighbours, passages, pii, secrets
+from metrelle.llm import bpe, decontamination, language, licenses, lines, near, neighbours, passages, pii, resampling, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,9 +52,14 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digest(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_shared_passages, op2_pii, op3_byte_bpe, op4_neighbours, op5_licenses, op6_ngram_jaccard_join, op7_language, op8_secrets, op9_line_dedup, op10_decontamination)}
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_shared_passages, op2_pii, op3_byte_bpe, op4_neighbours, op5_licenses, op6_ngram_jaccard_join, op7_language, op8_secrets, op9_line_dedup, op10_decontamination, op11_resampling)}
 ORACLES = {
     "op6_ngram_jaccard_join": near.DIGEST_SQL,
     "op9_line_dedup": lines.DIGEST_SQL,
     "op10_decontamination": decontamination.DIGEST_SQL,
+    "op11_resampling": resampling.DIGEST_SQL,
 }
