@@ -299,9 +299,9 @@ WITH d AS (
   SELECT row_number() OVER () AS r, doc_id,
          regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
   FROM documents),
-held AS (SELECT *, len(w) AS n FROM d WHERE len(w) > 0),
+held AS (SELECT r, doc_id, len(w) AS n FROM d WHERE len(w) > 0),
 totals AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM held),
-postings AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM held) GROUP BY r, t),
+postings AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d) GROUP BY r, t),
 texts AS (SELECT DISTINCT item_id, text FROM benchmark WHERE item_id IS NOT NULL),
 entries AS (
   SELECT item_id, t, count(*) AS times
