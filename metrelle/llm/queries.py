@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from metrelle.llm import bpe, decontamination, language, lexical, licenses, lines, near, neighbours, passages, pii, resampling, secrets
+from metrelle.llm import bpe, chat, decontamination, language, lexical, licenses, lines, near, neighbours, passages, pii, resampling, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,15 +56,20 @@ def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digest(_table(spark, sf_dir, "conversations"))
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_shared_passages, op2_pii, op3_byte_bpe, op4_neighbours, op5_licenses, op6_ngram_jaccard_join, op7_language, op8_secrets, op9_line_dedup, op10_decontamination, op11_resampling, op13_lexical_search)}
+QUERIES = {f.__name__: f for f in (op1_shared_passages, op2_pii, op3_byte_bpe, op4_neighbours, op5_licenses, op6_ngram_jaccard_join, op7_language, op8_secrets, op9_line_dedup, op10_decontamination, op11_resampling, op12_chat, op13_lexical_search)}
 ORACLES = {
     "op6_ngram_jaccard_join": near.DIGEST_SQL,
     "op9_line_dedup": lines.DIGEST_SQL,
     "op10_decontamination": decontamination.DIGEST_SQL,
     "op11_resampling": resampling.DIGEST_SQL,
+    "op12_chat": chat.DIGEST_SQL,
     "op13_lexical_search": lexical.DIGEST_SQL,
 }
