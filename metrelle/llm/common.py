@@ -142,9 +142,16 @@ def shared_folder(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="metrelle-"))  # one process: its folder is shared
         now = spark.sparkContext._jsc.sc().getCheckpointDir()
+        _dropped_at_exit(spark, now.get())  # Spark's own folder below, of this application alone
     return named or now.get()
 
 
+def _dropped_at_exit(spark: SparkSession, path: str) -> None:
+    """Has the store delete path when the driver ends, as what lies there serves this application only."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """A checkpoint of df in the shared folder."""
     shared_folder(df.sparkSession)
@@ -152,9 +159,12 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: as cut(), packed by columns, for large frames."""
+    """df written as Parquet in the shared folder and read again: as cut(), packed by columns, for large frames.
+
+    The files go by discard(), or when the driver ends."""
     path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _dropped_at_exit(df.sparkSession, path)
     read = df.sparkSession.read.parquet(path)
     read.stored_path = path
     return read

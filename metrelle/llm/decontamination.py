@@ -1,9 +1,10 @@
 """Benchmark decontamination with DataFrame functions only.
 
-The benchmark's word windows become a set of 64-bit keys. Every document's windows are keyed in one pass over its words,
-looked up in that set, and the words of each hit are compared with the window's own. Only hits and one row per document
-leave the scan. The set is broadcast after a count of its rows and bytes has shown that it is small. Beyond that, windows are
-shuffled as a place and two 64-bit keys of their words, without the text; there the second key takes the words' place.
+The benchmark's word windows become a set of 64-bit keys, which is broadcast without the words. Every document's windows are
+keyed in one pass over its words and looked up in that set; only hits and one row per document leave the scan, and the words
+of each hit are compared with the window's own in a second join, of hits alone. A set of more than KEYS keys, once counted,
+is looked up part by part, each part with a scan of its own, so no broadcast exceeds KEYS rows of 16 bytes and what is
+shuffled is hits at every size of the benchmark.
 
 Defined results: a null or wordless text has no windows and no hits; a benchmark text of fewer than `n` words, but not
 none, is one window; null benchmark texts have no windows; texts of any length are read whole; ties don't arise, as every
@@ -14,10 +15,15 @@ rows count once by item_id; an item without an id is left out; other columns, wh
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from metrelle.llm.common import is_small, small, words
+from metrelle.llm.common import small, stored, words
+
+#: Keys, 16 bytes with their length, that are broadcast at once.
+KEYS = 2_000_000
 
 
 def _keys(found: Column) -> Column:
@@ -44,44 +50,44 @@ def hits(documents: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     """(row, doc_id, n_words, spans, items): for every row of documents its word spans that are windows, and their items.
 
     row numbers the rows of the scan; spans is an array of (at, size) sorted by place."""
-    windows = benchmark_windows(benchmark, n)
+    windows = stored(benchmark_windows(benchmark, n))
     sizes = sorted(r[0] for r in windows.select("size").distinct().collect())  # n values at most
-    lookup = windows.select("key", "gram", "size").distinct()
-    held = is_small(lookup)
+    keys = windows.select("key", F.col("size").alias("length")).distinct()
+    parts = max(1, -(-keys.count() // KEYS))
     found = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", words(F.col("text")).alias("w"))
     found = found.withColumn("keys", _keys(F.col("w")))
-    # Place -1 carries the document itself. Keys are made after the explode, where they are compiled code.
-    looked = found.withColumn("at", F.explode(F.sequence(F.lit(-1), F.size("w") - 1)))
-    looked = looked.withColumns({"doc_id": F.when(F.col("at") < 0, F.col("doc_id")), "n_words": F.when(F.col("at") < 0, F.size("w"))})
 
-    def keyed(of) -> Column:
+    def looked_up(part: int) -> DataFrame:
+        """(row, doc_id, n_words, at, key, size, gram): the places whose key is in this part of the set; with the first part also
+        place -1 of each document, which carries the document itself."""
+        # Keys are made after the explode, where they are compiled code.
+        looked = found.withColumn("at", F.explode(F.sequence(F.lit(-1), F.size("w") - 1) if not part else F.when(F.size("w") > 0, F.sequence(F.lit(0), F.size("w") - 1))))
+        looked = looked.withColumns({"doc_id": F.when(F.col("at") < 0, F.col("doc_id")), "n_words": F.when(F.col("at") < 0, F.size("w"))})
         if len(sizes) > 1:
-            return F.coalesce(*[F.when(F.col("m") == m, of(m)) for m in sizes])
-        return of(sizes[0]) if sizes else F.lit(None).cast("long")
-
-    if len(sizes) > 1:
-        looked = looked.withColumn("m", F.explode(F.when(F.col("at") < 0, F.array(F.lit(0))).otherwise(F.array(*map(F.lit, sizes)))))
-    key = keyed(lambda m: _window_key(F.col("keys"), F.col("at"), m))
-    if held:
-        joined = looked.withColumn("key", key).join(F.broadcast(lookup), "key", "left")
-        same = F.when(F.col("size").isNotNull(), F.slice("w", F.col("at") + 1, F.coalesce("size", F.lit(1))) == F.col("gram"))
-    else:
-        second = keyed(lambda m: _window_key(F.col("keys"), F.col("at"), m, 1))
-        thin = looked.select("row", "doc_id", "n_words", "at", key.alias("key"), second.alias("second")).filter("at < 0 OR key IS NOT NULL")
-        thin = thin.withColumn("key", F.when(F.col("at") < 0, F.xxhash64("row")).otherwise(F.col("key")))  # rows are dealt out like windows
-        joined = thin.join(windows.select("key", "second", "size").distinct(), ["key", "second"], "left")
-        same = F.col("size").isNotNull()
-    joined = joined.filter((F.col("at") < 0) | F.coalesce(same, F.lit(False))).select("row", "doc_id", "n_words", "at", "key", "size")
+            looked = looked.withColumn("m", F.explode(F.when(F.col("at") < 0, F.array(F.lit(0))).otherwise(F.array(*map(F.lit, sizes)))))
+            key = F.coalesce(*[F.when(F.col("m") == m, _window_key(F.col("keys"), F.col("at"), m)) for m in sizes])
+        else:
+            key = _window_key(F.col("keys"), F.col("at"), sizes[0]) if sizes else F.lit(None).cast("long")
+        own = keys if parts == 1 else keys.filter(F.pmod("key", F.lit(parts)) == part)
+        joined = looked.withColumn("key", key).join(F.broadcast(own), "key", "left")
+        joined = joined.filter((F.col("at") < 0) | F.col("length").isNotNull())
+        gram = F.when(F.col("length").isNotNull(), F.slice("w", F.col("at") + 1, F.coalesce("length", F.lit(1))))
+        # Documents are dealt out like windows; length 0 is no window's.
+        return joined.select("row", "doc_id", "n_words", "at", F.coalesce("key", F.xxhash64("row")).alias("key"), F.coalesce("length", F.lit(0)).alias("size"), gram.alias("words"))
+
+    candidates = reduce(DataFrame.unionByName, map(looked_up, range(parts)))
+    grams = windows.select("key", "size", "second", "gram").distinct()
+    same = candidates.join(small(grams), ["key", "size"], "left").filter((F.col("at") < 0) | (F.col("words") == F.col("gram")))
     hit = F.col("at") >= 0
-    each = joined.groupBy("row").agg(
+    each = same.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"),
         F.max("n_words").cast("long").alias("n_words"),
         F.sort_array(F.collect_list(F.when(hit, F.struct("at", "size")))).alias("spans"),
-        F.collect_set(F.when(hit, F.struct("key", "size"))).alias("found"),
+        F.collect_set(F.when(hit, F.struct("key", "second", "size"))).alias("found"),
     )
-    owners = small(windows.select("key", "size", "item").distinct())
+    owners = small(windows.select("key", "second", "size", "item").distinct())
     named = each.select("row", "doc_id", "n_words", "spans", F.explode_outer("found").alias("f")).select("row", "doc_id", "n_words", "spans", "f.*")
-    return named.join(owners, ["key", "size"], "left").groupBy("row").agg(
+    return named.join(owners, ["key", "second", "size"], "left").groupBy("row").agg(
         *[F.any_value(c).alias(c) for c in ("doc_id", "n_words", "spans")], F.sort_array(F.collect_set("item")).alias("items")
     )
 
