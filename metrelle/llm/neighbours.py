@@ -10,12 +10,16 @@ the query, and the best of all tables are ranked in double precision. So the ind
 number of probes rest on the sample; the plan is the same at every size.
 
 A bucket of more than BLOCK rows is split, with its queries in every part; parts are dealt out to shares by hash, a query goes to
-a share once, with all the buckets that it visits there, and only the best of a query leave a task. Rows with the same vector are one entry that names their k + 1 smallest ids, which is all that any query can need.
+a share once, with all the buckets that it visits there, and only the best of a query leave a task. A share whose queries are
+more than QUERIES meets them block by block, so vectors are copied for blocks only where there are that many queries. A query
+whose buckets hold fewer than k candidates goes on through all of the rest: such queries, in blocks, are compared with every
+entry. Rows with the same vector are one entry that names their k + 1 smallest ids, which is all that any query can need.
 
 Defined results: vectors that are null, all zero or hold null or non-finite parts take no part, nor do null ids; only
 vectors of one length are compared; rows with the query's own id are no candidates; repeated rows are one; an id with several
-vectors is ranked once, by its nearest, and a query with several takes the best of each; scores are rounded to 12 places,
-ties go to the smaller id; a query without candidates gives no row; an empty table gives none; other columns are ignored.
+vectors is ranked once, by its nearest, and a query with several takes the best of each; scores are computed in extended
+precision and rounded to doubles, so that vectors of one direction tie; ties go to the smaller id; a query with fewer than k
+candidates gives all of them, and one without any no row; an empty table gives none; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from metrelle.llm.common import cut, mix, small_batches
+from metrelle.llm.common import cut, mix, small, small_batches, stored
 
 TABLES, WIDTH = 5, 1.5
 TABLE_SUCCESS = 0.38
@@ -36,10 +40,10 @@ TABLE_SUCCESS = 0.38
 BUCKET_ROWS, DIRECTION_BITS, LEAST_DIRECTIONS = 24, 1.9, 2
 #: Rows of a bucket's part; entries of all tables in a share; queries that are held against a share together; pairs that are held
 #: before the best are kept; buckets whose parts are told to all tasks, to which the size of a part is fitted.
-BLOCK, SHARE, QUERIES, PAIRS, SPLIT = 2048, 8192, 16_384, 2_000_000, 1_000_000
+BLOCK, SHARE, QUERIES, PAIRS, SPLIT = 2048, 8192, 65_536, 2_000_000, 1_000_000
 SAMPLE_QUERIES, DRAWS = 32, 1000
-#: Places of a score, so that vectors of one direction tie whatever their length; what a rough score may be off.
-DIGITS, MARGIN = 12, 1e-9
+#: Queries that are compared with every entry at once; what a rough score may be off.
+REST, MARGIN = 2048, 1e-9
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -72,11 +76,16 @@ def _matrix(column: pa.Array) -> list[tuple[int, np.ndarray, np.ndarray]]:
     for dim in np.unique(size):
         rows = np.flatnonzero(size == dim)
         m = flat[offsets[rows][:, None] + np.arange(dim)]
-        m = m / np.abs(m).max(1, keepdims=True)
-        out.append((int(dim), rows, m / np.sqrt((m * m).sum(1, keepdims=True))))
+        out.append((int(dim), rows, _unit(m)))
     return out
 
 
+def _unit(m: np.ndarray) -> np.ndarray:
+    """The rows of a matrix scaled to length 1."""
+    m = m / np.abs(m).max(1, keepdims=True)
+    return m / np.sqrt((m * m).sum(1, keepdims=True))
+
+
 def _bucket(dim: int, table: int, slots: np.ndarray) -> np.ndarray:
     """A 64-bit name of each row's slots."""
     name = np.full(len(slots), dim * 1009 + table, np.uint64)
@@ -129,7 +138,7 @@ def expected_cosine(items: DataFrame, queries: DataFrame, k: int) -> float:
             for dim, _, unit in _matrix(batch.column(0)):
                 for i, (_, q) in enumerate(shared.value):
                     if len(q) == dim:
-                        c = unit @ (q / np.sqrt((q * q).sum()))
+                        c = unit @ _unit(q[None])[0]
                         found[i] = np.sort(np.concatenate([found[i], c]))[-k - 1 :]
         rows = [(i, float(c)) for i, cs in found.items() for c in cs]
         yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int32()), pa.array([c for _, c in rows], pa.float64())], ["i", "c"])
@@ -160,6 +169,12 @@ def _best(q: np.ndarray, e: np.ndarray, score: np.ndarray, own: np.ndarray, ids:
     return q[keep], e[keep], named[keep], score[keep]
 
 
+def _cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The cosines of the rows of a and b, as doubles next to the true values."""
+    a, b = a.astype(np.longdouble), b.astype(np.longdouble)
+    return ((a * b).sum(1) / np.sqrt((a * a).sum(1) * (b * b).sum(1))).astype(np.float64)
+
+
 def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Offsets and flat values of a list column; a null list is empty."""
     array = column.combine_chunks()
@@ -185,12 +200,12 @@ def _compared(k: int):
             mine = np.flatnonzero(size == dim)
             mine = mine[np.argsort(rows_cell[mine], kind="stable")]
             rows = flat[at[mine][:, None] + np.arange(dim)].astype(np.float64)
-            length = np.sqrt((rows * rows).sum(1))
+            unit = _unit(rows)
             there = asked_size == dim
             asked = np.zeros((len(own), dim))
             asked[there] = asked_flat[asked_at[:-1][there][:, None] + np.arange(dim)]
-            reach = np.sqrt((asked * asked).sum(1))
-            unit, asked_unit = rows / length[:, None], asked / np.where(reach > 0, reach, 1)[:, None]
+            asked_unit = np.zeros((len(own), dim))
+            asked_unit[there] = _unit(asked[there])
             cells, first = np.unique(rows_cell[mine], return_index=True)
             ends = np.append(first[1:], len(mine))
             lo, hi = np.searchsorted(where, cells, "left"), np.searchsorted(where, cells, "right")
@@ -207,7 +222,7 @@ def _compared(k: int):
                     found, held = [(q, e, score)], 0
             if found:
                 q, e, named, _ = _best(*map(np.concatenate, zip(*found)), own, own_ids, k)
-                score = np.round((rows[e] * asked[q]).sum(1) / (length[e] * reach[q]), DIGITS)
+                score = _cosine(rows[e], asked[q])
                 out.append(pa.table({"query_id": pa.array(own[q], pa.int64()), "vec_id": pa.array(named, pa.int64()), "score": score}))
         return pa.concat_tables(out) if out else pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
 
@@ -227,7 +242,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     queries, items = cut(rows.filter(is_query).select(F.col("vec_id").cast("long").alias("query_id"), "v")), cut(entries(rows, k))
     n, asks = items.count(), queries.count()
     functions, cosine = n_directions(n), expected_cosine(items, queries, k)
-    shares, groups, block = max(16, -(-n * TABLES // SHARE)), max(1, -(-asks // QUERIES)), max(BLOCK, -(-n * TABLES // SPLIT))
+    shares, block = max(16, -(-n * TABLES // SHARE)), max(BLOCK, -(-n * TABLES // SPLIT))
 
     def buckets(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for dim, at, unit in _matrix(column):
@@ -256,7 +271,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
         for batch in batches:
             for at, names in buckets(batch.column(0)):
                 own = [batch.column(i).take(pa.array(at)) for i in (0, 1)]
-                dealt = mix(np.array([i[0].as_py() for i in own[1]], np.int64).view(np.uint64)) % parts(names).astype(np.uint64)
+                first = own[1].flatten().to_numpy()[own[1].offsets.to_numpy()[:-1] - own[1].offsets[0].as_py()]
+                dealt = mix(first.view(np.uint64)) % parts(names).astype(np.uint64)
                 cell = _part(names, dealt)
                 yield pa.RecordBatch.from_arrays([pa.array((cell.view(np.uint64) % np.uint64(shares)).astype(np.int64)), pa.array(cell), *own], ["share", "cell", "v", "ids"])
 
@@ -277,17 +293,80 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(own), lists, batch.column(0).take(same), batch.column(1).take(same)], ["share", "cells", "query_id", "v"])
 
     kind = rows.schema["v"].dataType.simpleString()
-    each = F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("block")
     left = items.mapInArrow(placed, f"share long, cell long, v {kind}, ids array<long>")
-    left = left.select("*", each) if groups > 1 else left.withColumn("block", F.lit(0))
     right = queries.repartition(max(16, shares), "query_id").mapInArrow(visited, f"share long, cells array<long>, query_id long, v {kind}")
-    right = right.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int"))
-    met = left.groupBy("share", "block").cogroup(right.groupBy("share", "block")).applyInArrow(_compared(k), "query_id long, vec_id long, score double")
+    if asks > QUERIES:
+        right = stored(right)
+        blocks = right.groupBy("share").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("blocks"))
+        blocks = small(cut(blocks.filter("blocks > 1")))
+        number = F.coalesce("blocks", F.lit(1))
+        left = left.join(blocks, "share", "left").withColumn("block", F.explode(F.sequence(F.lit(0), number - 1))).drop("blocks")
+        right = right.join(blocks, "share", "left").withColumn("block", F.pmod(F.xxhash64("query_id"), number).cast("int")).drop("blocks")
+    else:
+        left, right = left.withColumn("block", F.lit(0)), right.withColumn("block", F.lit(0))
+    met = left.groupBy("share", "block").cogroup(right.groupBy("share", "block")).applyInArrow(_compared(k), FOUND)
+    top = stored(_ranked(met, k))
+    short = cut(queries.join(top.filter(F.col("rank") == k).select("query_id"), "query_id", "left_anti"))
+    if short.isEmpty():
+        return top
+    return _ranked(top.select("query_id", "vec_id", "score").unionByName(_exhaustive(items, short, k)), k)
+
+
+FOUND = "query_id long, vec_id long, score double"
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    best = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _exhaustive(items: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score): the k nearest of every entry, of each task, for queries that are few or many blocks of REST."""
+    parts = max(1, -(-queries.count() // REST))
+
+    def against(asked: list[tuple[int, np.ndarray]]):
+        own = np.array([q for q, _ in asked], np.int64)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+            for batch in batches:
+                offsets, flat = _lists(pa.chunked_array([batch.column(0)]))
+                named_at, named = _lists(pa.chunked_array([batch.column(1)]))
+                for dim, at, unit in _matrix(batch.column(0)):
+                    mine = np.array([i for i, (_, v) in enumerate(asked) if len(v) == dim], np.int64)
+                    if not len(mine):
+                        continue
+                    mat = np.array([asked[i][1] for i in mine])
+                    step = max(1, PAIRS // len(mine))
+                    for lo in range(0, len(at), step):
+                        rows = at[lo : lo + step]
+                        rough = _unit(mat) @ unit[lo : lo + step].T
+                        ids = (np.concatenate([[0], np.cumsum(np.diff(named_at)[rows])]), np.concatenate([named[named_at[r] : named_at[r + 1]] for r in rows]))
+                        q, e, who, _ = _best(np.repeat(mine, len(rows)), np.tile(np.arange(len(rows)), len(mine)), rough.ravel(), own, ids, k)
+                        values = flat[offsets[rows][:, None] + np.arange(dim)].astype(np.float64)
+                        exact = _cosine(values[e], mat[np.searchsorted(mine, q)])
+                        best = [np.concatenate(x) for x in zip(best, (own[q], who, exact))]
+                        order = np.lexsort((-best[2], best[1], best[0]))
+                        best = [x[order] for x in best]
+                        new = np.concatenate([[True], (np.diff(best[0]) != 0) | (np.diff(best[1]) != 0)])[: len(order)]  # an id may come with several vectors
+                        best = [x[new] for x in best]
+                        order = np.lexsort((best[1], -best[2], best[0]))
+                        best = [x[order] for x in best]
+                        first = np.arange(len(order)) - np.searchsorted(best[0], best[0]) < k
+                        best = [x[first] for x in best]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in best], ["query_id", "vec_id", "score"])
+
+        return run
+
+    out = None
+    for part in range(parts):
+        asked = [(r["query_id"], np.array(r["v"], np.float64)) for r in queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).collect()]
+        found = items.select("v", "ids").mapInArrow(against(asked), FOUND)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def digest(vectors: DataFrame) -> DataFrame:
     """The rows of query op4_neighbours: queries are the rows whose id is divisible by 50."""
     return nearest(vectors, F.col("vec_id") % 50 == 0, 5)

@@ -48,6 +48,45 @@ def test_split_buckets_and_blocks_of_queries_change_nothing(spark, monkeypatch):
     assert sorted(map(tuple, neighbours.digest(frame).collect())) == want and len(want) == 90
 
 
+def test_few_rows_give_all_candidates(spark):
+    """k candidates or fewer (with those of id 7 and 100): every one is found, of the query's length alone."""
+    rng = np.random.default_rng(8)
+    for n in (2, 3, 4, 5):
+        x = rng.normal(size=(n, 64)) * rng.choice([1e-200, 1.0, 1e200], size=(n, 1))
+        rows = [(50 * i, v.tolist()) for i, v in enumerate(x)] + [(7, [1.0, 2.0]), (100, [3.0, 1.0])]
+        got = neighbours.digest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+        x = x / np.abs(x).max(1, keepdims=True)
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        for i in range(n):
+            want = {50 * j: float(u[j] @ u[i]) for j in range(n) if j != i}
+            if i == 2:
+                want[7] = 5 / math.sqrt(50)
+            near = sorted(want, key=lambda j: (-round(want[j], 13), j))[:5]
+            own = sorted((r for r in got if r["query_id"] == 50 * i), key=lambda r: r["rank"])
+            assert [r["vec_id"] for r in own] == near and np.allclose([r["score"] for r in own], [want[j] for j in near], rtol=0, atol=1e-14)
+
+
+def test_scores_are_not_rounded_and_parallel_vectors_tie():
+    a = np.random.default_rng(3).normal(size=(200, 64))
+    scale = np.random.default_rng(4).integers(1, 10**6, (200, 1))
+    assert (neighbours._cosine(a * scale, a) == 1.0).all()
+    near = np.array([[1.0, 0.0], [1.0, 2e-7], [1.0, 4e-7]])
+    assert len(set(neighbours._cosine(near, np.array([[1.0, 1e-3]] * 3)).tolist())) == 3
+
+
+def test_blocks_of_far_queries(spark, monkeypatch):
+    x = np.random.default_rng(9).normal(size=(120, 64))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(neighbours, "REST", 20)
+    items = neighbours.entries(neighbours.usable(frame), 5)
+    queries = neighbours.usable(frame).select(neighbours.F.col("vec_id").alias("query_id"), "v")
+    got = neighbours._ranked(neighbours._exhaustive(items, queries, 5), 5).collect()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    assert {(r["query_id"], r["rank"], r["vec_id"]) for r in got} == {(q, k + 1, int(j)) for q in range(120) for k, j in enumerate(np.argsort(-s[q])[:5])}
+
+
 def test_repeated_rows_and_ids_with_several_vectors(spark):
     v, w = [1.0, 0.0, 0.2], [0.0, 1.0, 0.1]
     rows = [(0, v)] + [(1, v)] * 8 + [(i, v) for i in (2, 3, 4)] + [(5, w), (5, [1.0, 0.1, 0.2]), (6, w), (7, w)]
