@@ -1,26 +1,23 @@
-"""Structured Streaming for results as they arrive: once-only ingestion, stall timeouts, token text per id.
+"""Structured Streaming for results as they arrive: once-only ingestion that can be interrupted and goes on.
 
 There is no event time; state is bounded by the number of planned clips, as the plan bounds the ids."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import time
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from metrelle.sources.results import RESULT_FILES, model_of, parsed
 
-STALL_MS = 5 * 60 * 1000
-LOAD_MS = 40 * 60 * 1000
 
-
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Results from JSON-lines files as they appear, the model from the file's name or folder; broken lines are dropped."""
-    text = spark.readStream.option("recursiveFileLookup", True).option("pathGlobFilter", RESULT_FILES).text(path)
+def read_lines(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
+    """Results from JSON-lines files as they appear, so many a batch, the model from the file's name or folder; broken lines are
+    dropped."""
+    reader = spark.readStream.option("recursiveFileLookup", True).option("pathGlobFilter", RESULT_FILES)
+    text = (reader if files is None else reader.option("maxFilesPerTrigger", files)).text(path)
     lines = text.select(model_of(F.col("_metadata.file_path")).alias("model"), F.lit(None).alias("line_no"), "value")
     return parsed(lines.filter(F.trim("value") != "")).drop("line_no")
 
@@ -30,7 +27,7 @@ def once(rows: DataFrame) -> DataFrame:
     return rows.dropDuplicates(["model", "id"])
 
 
-def record(rows: DataFrame, plan: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+def record(rows: DataFrame, plan: DataFrame, out: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Appends planned rows once to `out`; an id that isn't planned stops the query."""
     from metrelle.operators.planning import require_known
 
@@ -38,43 +35,16 @@ def record(rows: DataFrame, plan: DataFrame, out: str, checkpoint: str) -> Strea
         # One folder per batch: a batch that is run again after a failure replaces what it wrote before.
         require_known(batch, plan.select("id"), "id").write.mode("overwrite").partitionBy("model").json(f"{out}/batch={number}")
 
-    return once(rows).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def interrupt(query: StreamingQuery) -> None:
-    """Ends a stream after the batch at work; what it recorded stays, and the same checkpoint goes on from there."""
-    query.processAllAvailable()
-    query.stop()
-
-
-def stalls(progress: DataFrame, stall_ms: int = STALL_MS, load_ms: int = LOAD_MS) -> DataFrame:
-    """(model, id, stalled_ms) for every model whose last progress is that long ago.
+    return once(rows).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
-    progress holds (model, id, phase); while a model loads it has the longer time."""
-
-    def watch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            current, waited = state.get
-            state.remove()
-            yield pd.DataFrame({"model": [key[0]], "id": [current or None], "stalled_ms": [float(waited)]})
-            return
-        current, phase = state.get if state.exists else ("", "loading")
-        for batch in batches:
-            if len(batch):
-                current, phase = str(batch["id"].iloc[-1] or ""), str(batch["phase"].iloc[-1])
-        wait = load_ms if phase == "loading" else stall_ms
-        state.update((current, wait))
-        state.setTimeoutDuration(wait)
-
-    return progress.groupBy("model").applyInPandasWithState(
-        watch, "model string, id string, stalled_ms double", "current string, waited long", "append", GroupStateTimeout.ProcessingTimeTimeout
-    )
-
-
-def texts(tokens: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
-    """The text of each clip from its tokens, complete after every trigger, in the memory table `name`."""
-    parts = F.array_sort(F.collect_list(F.struct("seq", "text")))
-    joined = tokens.groupBy("id").agg(F.array_join(F.transform(parts, lambda p: p["text"]), "").alias("text"))
-    return joined.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
+def interrupt(query: StreamingQuery, patience: float = 600.0) -> None:
+    """Ends a stream at the next batch boundary, whatever data still waits; the same checkpoint goes on from there.
 
+    The batch at work is let finish, for so many seconds at most. Should the one after it have begun, it is run again by the next
+    start, which replaces what it wrote."""
+    batch = lambda: (query.lastProgress or {}).get("batchId", -1)
+    until, at = time.monotonic() + patience, batch()
+    while query.isActive and query.status["isTriggerActive"] and batch() == at and time.monotonic() < until:
+        time.sleep(0.02)
+    query.stop()

@@ -1,10 +1,24 @@
-"""Streams over files: once-only ingestion across restarts, stalls, token text."""
+"""Streams over files: once-only ingestion across restarts, interrupts, the run loop, token text."""
 
 import json
+import os
+import random
+import time
 
 import pytest
+from metrelle.operators import sessions
 from metrelle.sources import results as sources
 from metrelle.streaming import ingest
+from metrelle.streaming import runs as stream_runs
+from pyspark.sql import functions as F
+
+
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    own = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")  # a store each
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", own)
 
 
 def lines(path, rows):
@@ -30,38 +44,125 @@ def test_once_across_a_restart_and_read_back(spark, tmp_path):
         run()
 
 
-def test_interrupt_keeps_what_was_recorded(spark, tmp_path):
-    source, checkpoint = tmp_path / "in", str(tmp_path / "cp")
-    lines(source / "m.jsonl", [("1", "x"), ("2", "x")])
-    start = lambda: ingest.once(ingest.read_lines(spark, str(source))).writeStream.format("json").option("path", str(tmp_path / "out")).option("checkpointLocation", checkpoint).start()
-    query = start()
+def test_interrupt_ends_at_a_batch_boundary_and_goes_on(spark, tmp_path):
+    source, out, checkpoint = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "cp")
+    n = 8
+    plan = spark.createDataFrame([(str(i),) for i in range(n)], "id string")
+    for i in range(n):
+        lines(source / f"m{i}.jsonl", [(str(i), "x"), (str(i), "again")])
+    start = lambda files, **trigger: ingest.record(ingest.read_lines(spark, str(source), files), plan, out, checkpoint, **trigger)
+    query = start(1, processingTime="0 seconds")
+    while not (query.lastProgress or {}).get("numInputRows"):
+        time.sleep(0.05)
     ingest.interrupt(query)
-    assert not query.isActive and spark.read.json(str(tmp_path / "out")).count() == 2
-    lines(source / "n.jsonl", [("1", "x")])
-    ingest.interrupt(start())
-    assert spark.read.json(str(tmp_path / "out")).count() == 3
+    first = sources.read_results(spark, out).count()
+    assert not query.isActive and query.exception() is None and 0 < first < n
+    start(None).awaitTermination()
+    assert sorted(r["id"] for r in sources.read_results(spark, out).collect()) == sorted(str(i) for i in range(n))
 
 
-def test_stall_timeout(spark, tmp_path):
-    source = tmp_path / "in"
-    source.mkdir()
-    (source / "a.json").write_text('{"model":"m","id":"c1","phase":"running"}\n{"model":"n","id":"","phase":"loading"}')
-    progress = spark.readStream.schema("model string, id string, phase string").json(str(source))
-    query = ingest.stalls(progress, stall_ms=100, load_ms=3_600_000).writeStream.format("memory").queryName("stalls").option("checkpointLocation", str(tmp_path / "cp")).start()
+SPLITS = [1, 4]
+SESSION = ["asked", "asked", "clip", "model-ready", "warmed", "result", "finished", "session", "error"]
+
+
+def runs(r, models=6, n=60):
+    """Random events of some models, in order of seq."""
+    rows = []
+    for m in range(models):
+        kinds = [k for k in SESSION if k != "error"] if m % 3 == 0 else SESSION + ["session"] * 4
+        for seq in range(n):
+            kind = r.choice(kinds) if kind_late(kinds, seq, n) else r.choice([k for k in kinds if k != "error"])
+            status = r.choice(["crashed", "crashed", "clip-timeout"])
+            rows.append((f"m{m}", seq, kind, f"c{r.randrange(12)}" if kind in ("asked", "clip", "result") or kind == "session" and r.random() < 0.8 else None, status if kind == "session" else f"reason {seq}", r.choice([0, 0, 0, 2]) if kind == "session" else None))
+    return rows
+
+
+def kind_late(kinds, seq, n):
+    return "error" not in kinds or seq > n // 2
+
+
+def write_events(folder, rows, name):
+    folder.mkdir(exist_ok=True)
+    names = ["model", "seq", "type", "id", "text", "new_results"]
+    (folder / f"{name}.json").write_text("\n".join(json.dumps(dict(zip(names, x))) for x in rows))
+
+
+@pytest.mark.parametrize("parts", SPLITS)
+def test_the_run_loop_equals_the_batch_queries_in_any_split_across_restarts(spark, tmp_path, parts):
+    """Every part is a run of its own from the checkpoint, so streaks, crash counts and open clips cross restarts."""
+    rows = runs(random.Random(7))
+    order = sorted(rows, key=lambda x: x[1])
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    for p in range(parts):
+        write_events(source, order[p * len(order) // parts : (p + 1) * len(order) // parts], f"part{p}")
+        stream = spark.readStream.schema(stream_runs.EVENTS).json(str(source))
+        stream_runs.started(stream_runs.run_loop(stream), out, str(tmp_path / "cp")).awaitTermination()
+    got = [tuple(x) for x in spark.read.schema(stream_runs.OUT).json(out).select("model", "seq", "kind", "id", "text").collect()]
+    events = spark.createDataFrame(rows, stream_runs.EVENTS)
+    asked = events.filter("type = 'asked'").select("model", "id").distinct()
+    ends = events.filter("type = 'session'").select("model", F.col("seq").alias("attempt"), F.col("text").alias("status"), "id", "new_results")
+    steps = events.filter("type NOT IN ('asked', 'clip', 'session')")
+
+    by = lambda kind: [x for x in got if x[2] == kind]
+    last = {}
+    for x in sorted(by("phase"), key=lambda x: x[1]):
+        last[x[0]] = x[4]
+    assert last == {x["model"]: x["phase"] for x in sessions.phases(steps).collect()}
+    assert {(x[0], x[1]) for x in by("gave-up")} == {tuple(x) for x in sessions.gave_up(ends).collect()}
+    failed = {(x[0], x[3]): x[4] for x in by("failed")}
+    assert len(failed) == len(by("failed"))  # a clip fails once
+    lost = {(x["model"], x["id"]): x["reason"] for x in sessions.fail_all(steps, asked).collect()}
+    crashed = {(x["model"], x["id"]) for x in sessions.crash_failures(ends).collect()}
+    assert {k for k, text in failed.items() if text.startswith("reason")} <= set(lost) <= set(failed)
+    assert all(lost[k] == text for k, text in failed.items() if text.startswith("reason"))
+    open_ = {(m, i) for m, i in crashed if not any(x[0] == m and x[3] == i and x[2] == "result" for x in rows)}
+    assert {k for k, text in failed.items() if text.startswith("crashed")} <= crashed and open_ <= set(failed)
+
+
+def test_a_streak_is_cut_by_a_restart_in_its_middle(spark, tmp_path):
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    ends = [("m", i, "session", "c1", "crashed", n) for i, n in enumerate([0, 0, 1, 0, 0])] + [("m", 5, "session", "c2", "load", 0)]
+    for part, rows in enumerate([ends[:4], ends[4:5], ends[5:]]):
+        write_events(source, rows, f"p{part}")
+        stream = spark.readStream.schema(stream_runs.EVENTS).json(str(source))
+        stream_runs.started(stream_runs.run_loop(stream), out, str(tmp_path / "cp")).awaitTermination()
+    got = sorted((x["seq"], x["kind"], x["id"]) for x in spark.read.schema(stream_runs.OUT).json(out).collect())
+    assert got == [(1, "failed", "c1"), (5, "gave-up", None)]
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")
+
+
+def test_timers_fail_the_clip_at_work_and_tell_of_a_load_that_hangs(spark, tmp_path):
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    write_events(source, [("m", 0, "asked", "c1", None, None), ("m", 1, "warmed", None, None, None), ("m", 2, "clip", "c1", None, None), ("n", 0, "asked", "c1", None, None), ("o", 0, "finished", None, None, None)], "a")
+    stream = spark.readStream.schema(stream_runs.EVENTS).json(str(source))
+    query = stream_runs.started(stream_runs.run_loop(stream, stall_ms=300, load_ms=600), out, str(tmp_path / "cp"), processingTime="100 milliseconds")
+    found = []
     try:
-        for _ in range(40):  # timers fire in later triggers, so the query never falls idle
-            if spark.table("stalls").count():
+        for _ in range(120):
+            found = sorted(tuple(x) for x in spark.read.schema(stream_runs.OUT).json(out).filter("kind <> 'phase'").select("model", "kind", "id").collect()) if os.path.isdir(out) else []
+            if len(found) > 1 or not query.isActive:
                 break
-            query.awaitTermination(1)
-        assert [tuple(r) for r in spark.table("stalls").collect()] == [("m", "c1", 100.0)]
+            time.sleep(0.25)
     finally:
         query.stop()
+    assert found == [("m", "failed", "c1"), ("n", "stalled", None)]
 
 
-def test_token_text(spark, tmp_path):
-    source = tmp_path / "in"
+def test_token_text_is_told_once_and_forgotten(spark, tmp_path):
+    source, out = tmp_path / "in", str(tmp_path / "out")
     source.mkdir()
-    (source / "a.json").write_text('{"id":"s","seq":2,"text":"b"}\n{"id":"s","seq":1,"text":"a "}')
-    tokens = spark.readStream.schema("id string, seq long, text string").json(str(source))
-    ingest.texts(tokens, "token_text", str(tmp_path / "cp")).awaitTermination()
-    assert [tuple(r) for r in spark.table("token_text").collect()] == [("s", "a b")]
+    schema = "id string, seq long, type string, text string, tokens long"
+    parts = [
+        [("s", 2, "token", "b", None), ("s", 9, "end", None, 3), ("t", 0, "token", "x", None), ("u", 0, "token", "lost", None)],
+        [("s", 1, "token", "a ", None), ("t", 5, "end", None, None)],
+        [("s", 4, "token", "c", None), ("u", 1, "failed", "worker", None), ("v", 0, "end", None, 0)],
+    ]
+    for p, rows in enumerate(parts):
+        (source / f"{p}.json").write_text("\n".join(json.dumps(dict(zip(["id", "seq", "type", "text", "tokens"], x))) for x in rows))
+        found = stream_runs.token_text(spark.readStream.schema(schema).json(str(source)))
+        query = stream_runs.started(found, out, str(tmp_path / "cp"))
+        query.awaitTermination()
+    got = sorted((x["id"], x["text"], x["error"]) for x in spark.read.schema("id string, text string, error string").json(out).collect())
+    assert got == [("s", "a bc", None), ("t", "x", None), ("u", None, "worker"), ("v", "", None)]
+    left = spark.read.format("statestore").option("path", str(tmp_path / "cp")).option("stateVarName", "parts").load()
+    assert left.count() == 0
