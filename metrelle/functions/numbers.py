@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MISSING = "—"
-MISSING_REPORT = "–"
+NO_VALUE = "—"
+NO_VALUE_REPORT = "–"
 
 
 def _formatted(value: Column, pattern: str) -> Column:
@@ -25,7 +25,7 @@ def seconds(milliseconds: Column) -> Column:
 
 def report_percent(fraction: Column) -> Column:
     """M3: percent with one digit from the exact binary value, ties to even; a dash for null."""
-    return F.coalesce(_formatted(fraction * 100, "0.0"), F.lit(MISSING_REPORT))
+    return F.coalesce(_formatted(fraction * 100, "0.0"), F.lit(NO_VALUE_REPORT))
 
 
 def fixed(value: Column, digits: int) -> Column:
@@ -38,45 +38,42 @@ def fixed(value: Column, digits: int) -> Column:
 
 def page_percent(fraction: Column, digits: int = 1) -> Column:
     """M4."""
-    return F.coalesce(F.concat(fixed(fraction * 100, digits), F.lit("%")), F.lit(MISSING))
+    return F.coalesce(F.concat(fixed(fraction * 100, digits), F.lit("%")), F.lit(NO_VALUE))
 
 
 def page_fixed(value: Column, digits: int) -> Column:
     """M4."""
-    return F.coalesce(fixed(value, digits), F.lit(MISSING))
+    return F.coalesce(fixed(value, digits), F.lit(NO_VALUE))
 
 
-def percent_key(fraction: Column) -> Column:
-    """M5: what two percent texts are compared by."""
-    return fixed(fraction * 100, 1).cast("double")
-
-
-def fixed_key(value: Column, digits: int) -> Column:
-    """M5."""
+def as_shown(value: Column, digits: int) -> Column:
+    """M5: the number that a reader sees; what is best is decided by it."""
     return fixed(value, digits).cast("double")
 
 
 def count_text(value: Column) -> Column:
     """M6: rounded, with thousands separators."""
-    return F.coalesce(F.format_number(F.floor(value + 0.5), 0), F.lit(MISSING))
+    return F.coalesce(F.format_number(F.floor(value + 0.5), 0), F.lit(NO_VALUE))
 
 
-def axis_step(most: Column, ticks: int = 4) -> Column:
-    """M7: 1, 2 or 5 times a power of ten, for about so many ticks."""
-    raw = most / ticks
-    power = F.pow(F.lit(10.0), F.floor(F.log10(raw)))
-    size = raw / power
-    return power * F.when(size <= 1, 1).when(size <= 2, 2).when(size <= 5, 5).otherwise(10)
+def _decimal(mantissa: Column, exponent: Column) -> Column:
+    """The double next to mantissa x 10^exponent, both whole."""
+    return F.concat(mantissa.cast("string"), F.lit("e"), exponent.cast("string")).cast("double")
 
 
 def nice_axis(most: Column, ticks: int = 4) -> Column:
-    """M7: struct(max, ticks) of an axis from 0; 0 and 1 where there is nothing to show."""
-    step = axis_step(most, ticks)
-    n = F.ceil(most / step - 1e-9).cast("int")
-    digits = F.greatest(F.lit(0), -F.floor(F.log10(step))).cast("int")
-    scale = F.pow(F.lit(10.0), digits)
-    at = lambda i: F.round(i * step * scale, 0) / scale
-    shown = F.struct(at(n).alias("max"), F.transform(F.sequence(F.lit(0), n), at).alias("ticks"))
+    """M7: struct(max, ticks) of an axis from 0, for about so many ticks; 0 and 1 where there is nothing to show.
+
+    The step is the least of 1, 2 and 5 times a power of ten that takes no more steps than ticks; its multiples are made as whole
+    numbers with an exponent, so none carries noise."""
+    share = most / ticks
+    around = F.floor(F.log10(share)).cast("int")
+    steps = F.array(*[F.struct(F.lit(m).cast("long").alias("m"), (around + up).alias("e")) for up in (-1, 0, 1) for m in (1, 2, 5)])
+    step = F.get(F.filter(steps, lambda s: _decimal(s["m"], s["e"]) >= share), F.lit(0))
+    at = lambda i: _decimal(i * step["m"], step["e"])
+    near = F.greatest(F.floor(most / at(F.lit(1))).cast("long"), F.lit(0).cast("long"))
+    last = F.when(at(near) >= most, near).otherwise(near + 1)
+    shown = F.struct(at(last).alias("max"), F.transform(F.sequence(F.lit(0).cast("long"), last), at).alias("ticks"))
     nothing = F.struct(F.lit(1.0).alias("max"), F.array(F.lit(0.0), F.lit(1.0)).alias("ticks"))
     return F.when(most.isNull() | F.isnan(most) | (most <= 0) | (most == float("inf")), nothing).otherwise(shown)
 

@@ -116,28 +116,38 @@ def short_commit(commit: Column) -> Column:
     return F.when(commit.rlike("^[0-9a-fA-F]{8,40}$"), F.substring(commit, 1, 7)).otherwise(commit)
 
 
-def without_family(label: Column, family: str) -> Column:
-    """The label without the family's name in front; all of it if nothing else is in it."""
-    rest = F.trim(F.regexp_replace(label, "(?i)^" + family + r"\s+", ""))
-    return F.when(rest == "", label).otherwise(rest)
+def label_forms(label: Column, family: str) -> Column:
+    """an array of the names that a label may go by, longest first: the label, the label less a leading family name, and that
+    less a closing note in brackets. A step that would leave nothing is left out."""
+    led = F.startswith(F.lower(label), F.lit(family.lower())) & F.substring(label, len(family) + 1, 1).rlike(WHITESPACE)
+    plain = F.when(led, F.trim(F.substr(label, F.lit(len(family) + 1)))).otherwise(label)
+    plain = F.when(plain == "", label).otherwise(plain)
+    noted = F.rtrim(plain)
+    marks = F.translate(noted, "（）", "()")  # one place each, so that places in it are places in the label
+    inner = F.substring_index(F.left(marks, F.length(marks) - 1), ")", -1)
+    opened = F.length(F.substring_index(inner, "(", 1))
+    rest = F.trim(F.left(noted, F.length(noted) - 1 - F.length(inner) + opened))
+    short = F.when(F.endswith(marks, F.lit(")")) & F.contains(inner, F.lit("(")) & (rest != ""), rest).otherwise(plain)
+    return F.array(label, plain, short)
 
 
-def short_label(label: Column, family: str) -> Column:
-    """without family and without a bracket at the end; all of it if nothing else is in it."""
-    rest = F.trim(F.regexp_replace(without_family(label, family), r"\s*[（(][^）)]*[）)]\s*$", ""))
-    return F.when(rest == "", label).otherwise(rest)
+#: A private character that stands where a space may have to go, while a sentence is put together.
+_JOINT = "\ue000"
 
 
-def with_particle(name: Column, particle: str) -> Column:
-    """a space before the particle only after a name that ends in ASCII letters, digits or brackets."""
-    return F.concat(name, F.when(name.rlike(r"[A-Za-z0-9)\]]$"), F.lit(" ")).otherwise(F.lit("")), F.lit(particle))
+def _spaced(text: Column) -> Column:
+    """Each joint as a space if ASCII letters, digits or brackets are on its Latin side, else as nothing."""
+    return F.replace(F.regexp_replace(text, rf"(?<=[A-Za-z0-9)\]]){_JOINT}|{_JOINT}(?=[A-Za-z0-9(\[])", " "), F.lit(_JOINT), F.lit(""))
 
 
-def join_labels(labels: Column, particle: str = "と") -> Column:
-    """labels joined by the particle; a space after it only before an ASCII start."""
-    lead = lambda x: F.when(x.rlike(r"^[A-Za-z0-9(\[]"), F.lit(" ")).otherwise(F.lit(""))
-    rest = F.slice(labels, F.lit(2), F.greatest(F.size(labels) - 1, F.lit(0)))
-    return F.aggregate(rest, F.get(labels, F.lit(0)), lambda done, x: F.concat(with_particle(done, particle), lead(x), x))
+def said_of(name: Column, word: str) -> Column:
+    """a name and the word behind it, apart only where the name ends in ASCII."""
+    return _spaced(F.concat(name, F.lit(_JOINT + word)))
+
+
+def listed(names: Column, word: str = "と") -> Column:
+    """an array of names with the word between them, apart only from ASCII."""
+    return _spaced(F.array_join(names, f"{_JOINT}{word}{_JOINT}"))
 
 
 def snake_case(name: Column) -> Column:

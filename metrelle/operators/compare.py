@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from metrelle.functions.text import short_label, without_family
+from metrelle.functions.text import label_forms
 
 
 def expected_count(datasets: DataFrame, models: DataFrame) -> DataFrame:
@@ -27,13 +27,15 @@ def best(key: Column, *group: str) -> Column:
 
 
 def short_labels(models: DataFrame, family: str) -> DataFrame:
-    """The shortest form of each label that no other label has; the label itself if two chosen forms still meet."""
-    label = F.col("label")
-    forms = models.select("label").distinct().select("label", short_label(label, family).alias("s"), without_family(label, family).alias("f"))
-    alone = lambda c: F.count("*").over(Window.partitionBy(c)) == 1
-    chosen = forms.withColumns({"s1": alone("s"), "f1": alone("f")}).withColumn("short", F.when(F.col("s1"), F.col("s")).when(F.col("f1"), F.col("f")).otherwise(label))
-    final = chosen.withColumn("short", F.when(alone("short"), F.col("short")).otherwise(label)).select("label", "short")
-    return models.join(final, "label")
+    """For each label the shortest of its forms that no other label has in that place; labels whose choices meet keep their own.
+
+    Forms are counted as rows, so a run may have any number of labels."""
+    labels = models.select("label").distinct().withColumn("forms", label_forms(F.col("label"), family))
+    rows = labels.select("label", F.posexplode("forms").alias("at", "form"))
+    free = rows.withColumn("owners", F.count("*").over(Window.partitionBy("at", "form"))).filter((F.col("owners") == 1) | (F.col("at") == 0))
+    chosen = free.groupBy("label").agg(F.max_by("form", "at").alias("short"))
+    meets = F.count("*").over(Window.partitionBy("short")) > 1
+    return models.join(chosen.select("label", F.when(meets, F.col("label")).otherwise(F.col("short")).alias("short")), "label")
 
 
 def series_slot(models: DataFrame, known: DataFrame, slots: int = 4) -> DataFrame:

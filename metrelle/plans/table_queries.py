@@ -402,11 +402,23 @@ def prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.select("segment", F.posexplode(F.split(text.prompt(F.col("segment")), "\n")).alias("place", "line"))
 
 
-@query(rf"""WITH {SQL}, f AS (SELECT *, trim(regexp_replace(label, '^Ostinato\s+', '')) AS fam FROM declared), s AS (SELECT *, trim(regexp_replace(fam, '\s*[（(][^）)]*[）)]\s*$', '')) AS sh FROM f),
-c AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY sh) = 1 THEN sh WHEN count(*) OVER (PARTITION BY fam) = 1 THEN fam ELSE label END AS short FROM s)
-SELECT model, short, CASE WHEN ordinal < 4 THEN ordinal + 1 END AS slot, short || CASE WHEN regexp_matches(short, '[A-Za-z0-9)\]]$') THEN ' ' ELSE '' END || 'が' AS subject, translate(model, 'm013', 'Ｍ０１３') AS wide, 'ァンヶー' AS kana FROM c""")
+_KANA = {"a": "ぁ", "e": "え", "i": "い", "n": "ん", "o": "お", "r": "る", "s": "す", "t": "ゖ"}
+
+
+@query(r"""WITH f AS (SELECT c_custkey, ordinal, label, CASE WHEN fam = '' THEN label ELSE fam END AS fam, CASE WHEN sh = '' THEN fam ELSE sh END AS sh
+  FROM (SELECT *, trim(regexp_replace(fam, '\s*[（(][^）)]*[）)]\s*$', '')) AS sh FROM (SELECT *, trim(regexp_replace(label, '(?i)^Customer\s+', '')) AS fam FROM (
+    SELECT c_custkey, CAST(c_custkey % 6 AS INT) AS ordinal, CASE WHEN c_custkey % 3 = 0 THEN 'Customer ' ELSE '' END || c_mktsegment || ' ' || (c_custkey // 2) || CASE WHEN c_custkey % 2 = 0 THEN '（' || c_nationkey || '）' ELSE '' END AS label FROM customer)))),
+c AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY sh) = 1 THEN sh WHEN count(*) OVER (PARTITION BY fam) = 1 THEN fam ELSE label END AS chosen FROM f),
+d AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY chosen) > 1 THEN label ELSE chosen END AS short FROM c)
+SELECT c_custkey, short, CASE WHEN ordinal < 4 THEN ordinal + 1 END AS slot, short || CASE WHEN regexp_matches(short, '[A-Za-z0-9)\]]$') THEN ' ' ELSE '' END || 'が' AS subject,
+  translate(left(label, 12), 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789', 'ＡＢＣＤＥＦＧＨＩＪＫＬＭＮＯＰＱＲＳＴＵＶＷＸＹＺＡＢＣＤＥＦＧＨＩＪＫＬＭＮＯＰＱＲＳＴＵＶＷＸＹＺ０１２３４５６７８９') AS wide,
+  translate(lower(label), 'aeinorst', 'ァエインオルスヶ') AS kana FROM d""")
 def label_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F5, F6, F13, F14, J7, W5; more cases are in the tests."""
-    models = derived.declared(spark)
-    named = compare.series_slot(compare.short_labels(models, "Ostinato"), models.select("model", "ordinal"))
-    return named.select("model", "short", "slot", text.with_particle(F.col("short"), "が").alias("subject"), text.fullwidth_upper(F.col("model")).alias("wide"), text.hiragana_to_katakana(F.lit("ぁんゖー")).alias("kana"))
+    """Names of all customers, of which some meet once they are shortened."""
+    k = F.col("c_custkey")
+    note = F.when(k % 2 == 0, F.concat(F.lit("（"), F.col("c_nationkey").cast("string"), F.lit("）"))).otherwise("")
+    label = F.concat(F.when(k % 3 == 0, "Customer ").otherwise(""), "c_mktsegment", F.lit(" "), F.floor(k / 2).cast("long").cast("string"), note)
+    models = table(spark, sf_dir, "customer").select("c_custkey", k.cast("string").alias("model"), (k % 6).cast("int").alias("ordinal"), label.alias("label"))
+    named = compare.series_slot(compare.short_labels(models, "Customer"), models.select("model", "ordinal"))
+    kana = text.hiragana_to_katakana(F.translate(F.lower("label"), "".join(_KANA), "".join(_KANA.values())))
+    return named.select("c_custkey", "short", "slot", text.said_of(F.col("short"), "が").alias("subject"), text.fullwidth_upper(F.left("label", F.lit(12))).alias("wide"), kana.alias("kana"))

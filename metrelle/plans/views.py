@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from metrelle.functions import numbers as n
-from metrelle.functions.text import escape_cell, join_labels, join_parts, short_text, with_particle
+from metrelle.functions.text import escape_cell, join_parts, listed, said_of, short_text
 from metrelle.operators import compare, scoring
 
 #: Sentences and words of the published page; fixed values.
@@ -40,7 +40,7 @@ def overall(rows: DataFrame, expected: Column) -> DataFrame:
     """The overall rows of board() with `comparable` and the display keys of those that may compete; expected may be a column of rows."""
     own = rows.filter("dataset IS NULL").withColumn("comparable", compare.comparable(F.col("n"), F.col("missing"), expected))
     compete = lambda c: F.when(F.col("comparable"), c)
-    return own.withColumns({"cer_key": compete(n.percent_key(F.col("cer_norm"))), "strict_key": compete(n.percent_key(F.col("cer_strict"))), "rtf_key": compete(n.fixed_key(F.col("rtf"), 3))})
+    return own.withColumns({"cer_key": compete(n.as_shown(F.col("cer_norm") * 100, 1)), "strict_key": compete(n.as_shown(F.col("cer_strict") * 100, 1)), "rtf_key": compete(n.as_shown(F.col("rtf"), 3))})
 
 
 def status_text(measured: Column, missing: Column, count: Column, expected: Column) -> Column:
@@ -55,7 +55,7 @@ def summary_table(rows: DataFrame, names: list[str], expected: Column) -> DataFr
     own = overall(rows, expected)
     reading = "cer_reading" in rows.columns
     if reading:
-        own = own.withColumn("reading_key", F.when(F.col("comparable"), n.percent_key(F.col("cer_reading"))))
+        own = own.withColumn("reading_key", F.when(F.col("comparable"), n.as_shown(F.col("cer_reading") * 100, 1)))
     keys = ["cer", "strict", "rtf", *["reading"] * reading]
     for key in keys:
         own = own.withColumn(f"best_{key}", compare.best(F.col(f"{key}_key")))
@@ -74,31 +74,32 @@ def headline(rows: DataFrame, expected: Column) -> DataFrame:
     own = overall(rows, expected).filter("cer_norm IS NOT NULL")
     own = own.withColumns({"win": compare.best(F.col("cer_key")), "fast": compare.best(F.col("rtf_key"))})
 
-    def listed(when: Column, what: str) -> Column:
+    def in_order(when: Column, what: str) -> Column:
         taken = F.array_sort(F.collect_list(F.when(when, F.struct("place", what))))
         return F.transform(taken, lambda x: x[what])
 
     ok = F.col("comparable")
     columns = {}
     for name, when in (("all", F.lit(True)), ("ok", ok), ("out", ~ok), ("win", F.col("win")), ("fast", F.col("fast"))):
-        columns |= {f"{name}_{w}": listed(when, w) for w in ("label", "failed", "n", "cer_norm", "rtf")}
+        columns |= {f"{name}_{w}": in_order(when, w) for w in ("label", "failed", "n", "cer_norm", "rtf")}
     one = own.agg(*[c.alias(k) for k, c in columns.items()])  # a handful of models
 
-    def failed_note(name: str) -> Column:
-        counts = F.col(f"{name}_failed")
-        one_text = F.concat(F.lit("、失敗 "), n.count_text(F.get(counts, F.lit(0))), F.lit(" 件を除く"))
-        return F.when(~F.exists(counts, lambda x: x > 0), "").when(F.size(counts) == 1, one_text).otherwise("、失敗したクリップを除く")
+    def without_failures(who: str) -> Column:
+        """What the sentence says of failed clips of these models: their number for one model, none where there are none."""
+        total = F.aggregate(f"{who}_failed", F.lit(0).cast("long"), lambda t, x: t + F.coalesce(x, F.lit(0)))
+        number = F.when(F.size(f"{who}_failed") == 1, F.concat(F.lit(" "), n.count_text(total), F.lit(" 件"))).otherwise("したクリップ")
+        return F.when(total > 0, F.concat(F.lit("、失敗"), number, F.lit("を除く"))).otherwise("")
 
     first = lambda c: F.get(F.col(c), F.lit(0))
-    left_out = F.when(F.size("out_label") == 0, "").otherwise(F.concat(with_particle(join_labels(F.col("out_label")), "は"), F.lit(f"{EXCLUDED}しています。")))
-    clips = F.concat(F.lit("（"), n.count_text(first("ok_n")), F.lit(" クリップ"), failed_note("ok"), F.lit("）"))
-    single = F.concat(F.lit(CER), with_particle(first("ok_label"), "で"), F.lit(" "), n.page_percent(first("ok_cer_norm")), clips, F.lit("。"), F.when(left_out == "", NO_RIVAL).otherwise(left_out))
+    left_out = F.when(F.size("out_label") == 0, "").otherwise(F.concat(said_of(listed(F.col("out_label")), "は"), F.lit(f"{EXCLUDED}しています。")))
+    clips = F.concat(F.lit("（"), n.count_text(first("ok_n")), F.lit(" クリップ"), without_failures("ok"), F.lit("）"))
+    single = F.concat(F.lit(CER), said_of(first("ok_label"), "で"), F.lit(" "), n.page_percent(first("ok_cer_norm")), clips, F.lit("。"), F.when(left_out == "", NO_RIVAL).otherwise(left_out))
     tie = F.size("win_label") > 1
-    accuracy = F.concat(F.lit(CER), with_particle(join_labels(F.col("win_label")), "が"), F.when(tie, "同率で最良（").otherwise("最良（"), n.page_percent(first("win_cer_norm")), failed_note("win"), F.lit("）"))
+    accuracy = F.concat(F.lit(CER), said_of(listed(F.col("win_label")), "が"), F.when(tie, "同率で最良（").otherwise("最良（"), n.page_percent(first("win_cer_norm")), without_failures("win"), F.lit("）"))
     rtf = n.page_fixed(first("fast_rtf"), 3)
     same = ~tie & (F.size("fast_label") == 1) & (first("fast_label") == first("win_label"))
     both = F.concat(accuracy, F.lit("で、速度も最速（RTF "), rtf, F.lit("）。"), left_out)
-    apart = F.concat(accuracy, F.lit("、速度は "), with_particle(join_labels(F.col("fast_label")), "が"), F.lit("最速（RTF "), rtf, failed_note("fast"), F.lit("）。"), left_out)
+    apart = F.concat(accuracy, F.lit("、速度は "), said_of(listed(F.col("fast_label")), "が"), F.lit("最速（RTF "), rtf, without_failures("fast"), F.lit("）。"), left_out)
     text = (
         F.when(F.size("all_label") == 0, NONE_MEASURED).when(F.size("ok_label") == 0, F.concat(F.lit(NONE_COMPLETE), left_out)).when(F.size("ok_label") == 1, single)
         .when(F.size("fast_label") == 0, F.concat(accuracy, F.lit("。"), left_out)).when(same, both).otherwise(apart)
@@ -156,7 +157,7 @@ OVERALL, UNKNOWN = "全体", "不明"
 
 def table_line(*cells: Column) -> Column:
     """A row of a Markdown table."""
-    return F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(c.cast("string"), F.lit(n.MISSING_REPORT)) for c in cells]), F.lit(" |"))
+    return F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(c.cast("string"), F.lit(n.NO_VALUE_REPORT)) for c in cells]), F.lit(" |"))
 
 
 def conditions(run: Column) -> Column:
@@ -180,7 +181,7 @@ def report(rows: DataFrame, worst: DataFrame, failures: DataFrame) -> DataFrame:
     clip is in it."""
     spark = rows.sparkSession
     group = F.coalesce("dataset", F.lit(OVERALL))
-    fixed = lambda c, digits: F.coalesce(F.call_function("format_number", F.col(c), F.lit("0." + "0" * digits)), F.lit(n.MISSING_REPORT))
+    fixed = lambda c, digits: F.coalesce(F.call_function("format_number", F.col(c), F.lit("0." + "0" * digits)), F.lit(n.NO_VALUE_REPORT))
     percent = lambda c: n.report_percent(F.col(c))
     order = lambda *more: F.struct(F.lit(1).alias("kind"), F.col("place").cast("long").alias("model"), F.col("dataset").isNull().alias("last"), F.coalesce("dataset", F.lit("")).alias("dataset"), *more)
     line = lambda section, place, *cells: [F.lit(section).alias("section"), place.alias("place"), table_line(*cells).alias("line")]
@@ -191,7 +192,7 @@ def report(rows: DataFrame, worst: DataFrame, failures: DataFrame) -> DataFrame:
     each = F.array_sort(F.collect_list(F.struct(F.col("dataset").isNull().alias("last"), group.alias("g"), F.array(*[percent(m) for m in metrics]).alias("c"))))
     whole = lambda c: F.max(F.when(F.col("dataset").isNull(), F.col(c))).alias(c)
     wide = rows.groupBy("model", "place").agg(F.flatten(F.transform(each, lambda x: x["c"])).alias("cells"), whole("rtf"), whole("failed")).withColumn("dataset", F.lit("").cast("string"))
-    cells = F.concat(F.array("model"), "cells", F.array(fixed("rtf", 3), F.coalesce(F.col("failed").cast("string"), F.lit(n.MISSING_REPORT))))
+    cells = F.concat(F.array("model"), "cells", F.array(fixed("rtf", 3), F.coalesce(F.col("failed").cast("string"), F.lit(n.NO_VALUE_REPORT))))
     measured = rows.filter("n IS NOT NULL")
     places = rows.select("model", "place").distinct()
     lines = [

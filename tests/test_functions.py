@@ -40,7 +40,7 @@ def test_display_text(spark):
     assert values(spark, ["a  b\n" + "x" * 90, " short ", None], "string", text.short_text) == [("a b " + "x" * 90)[:79] + "…", "short", None]
     assert values(spark, ["0123456789abcdef", "v1.2", "abc1234"], "string", text.short_commit) == ["0123456", "v1.2", "abc1234"]
     assert values(spark, ["durationS", "ID", "a"], "string", text.snake_case) == ["duration_s", "i_d", "a"]
-    assert values(spark, [["A", "B（x）", "C"], ["A"]], "array<string>", text.join_labels) == ["A と B（x）と C", "A"]
+    assert values(spark, [["A", "B（x）", "C"], ["A"]], "array<string>", text.listed) == ["A と B（x）と C", "A"]
     assert values(spark, [["", None, "x", "y"], ["", None]], "array<string>", text.join_parts) == ["x / y", None]
     assert values(spark, [" ", "12", "0"], "string", text.parse_count) == [None, 12, 0]
     with pytest.raises(Exception, match="not a count"):
