@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from metrelle.functions.digest import Sha256
+from metrelle.sources.results import kept
+
 
 def sampling_key(dataset: Column, row: Column) -> Column:
     """P5: the hash that orders a dataset's rows; a larger sample extends a smaller one."""
@@ -47,10 +53,41 @@ def planned_totals(items: DataFrame) -> DataFrame:
     return items.groupBy("dataset").agg(F.count("*").alias("n"), F.sum(F.col("duration_s").cast("decimal(18,3)")).cast("double").alias("audio_s"))
 
 
-def ids_digest(items: DataFrame) -> DataFrame:
-    """One row, the hash of all ids in order; a plan is a small table by nature."""
-    ordered = F.array_sort(F.collect_list(F.struct("ordinal", "id")))
-    return items.agg(F.sha2(F.array_join(F.transform(ordered, lambda x: x["id"]), "\n"), 256).alias("digest"))
+#: Ids of a plan that one task hashes before it hands the hash on.
+DIGEST_ROWS = 4_000_000
+
+
+def ids_digest(items: DataFrame, rows: int = DIGEST_ROWS) -> DataFrame:
+    """One row, the hash of all ids in order, joined by line feeds; null ids are passed over.
+
+    A hash takes its bytes in order, so ranges of ordinals are hashed one after the other: a task sorts and hashes one range and
+    hands the state of the hash, some hundred bytes, to the next. No row and no task holds all ids."""
+    plan = items.filter("id IS NOT NULL").select("ordinal", "id")
+    parts = -(-plan.count() // rows)
+    if not parts:
+        return items.sparkSession.createDataFrame([(Sha256().hexdigest(),)], "digest string")
+    if parts > 1:
+        plan = kept(plan.repartitionByRange(parts, "ordinal").withColumn("part", F.spark_partition_id()), "part")
+    state, found = None, None
+    for part in range(parts):
+        own = plan if parts == 1 else plan.filter(F.col("part") == part)
+        found = own.repartition(1).sortWithinPartitions("ordinal", "id").select("id").mapInArrow(_hashed(state), "state binary, digest string")
+        if part < parts - 1:
+            state = found.first()["state"]
+    return found.select("digest")
+
+
+def _hashed(state: bytes | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sha, first = Sha256(state), state is None
+        for batch in batches:
+            if batch.num_rows:
+                text = "\n".join(batch.column(0).to_pylist())
+                sha.update((text if first else "\n" + text).encode())
+                first = False
+        yield pa.RecordBatch.from_arrays([pa.array([sha.state()]), pa.array([sha.hexdigest()])], ["state", "digest"])
+
+    return run
 
 
 def same_plan(one: DataFrame, other: DataFrame) -> DataFrame:
@@ -92,3 +129,11 @@ def source_fields(planned: DataFrame, sources: DataFrame, specs: DataFrame) -> D
     both = planned.join(sources, "dataset", "left").join(specs.select("dataset", F.col("repo").alias("__r"), F.col("revision").alias("__v"), F.col("label").alias("__l")), "dataset", "left")
     first = lambda a, b: F.coalesce(F.nullif(F.col(a), F.lit("")), F.col(b))
     return both.select(*planned.columns, first("repo", "__r").alias("repo"), first("revision", "__v").alias("revision"), F.coalesce("__l", "dataset").alias("label"))
+
+
+def dimension(rows: DataFrame, most: int = 10_000) -> DataFrame:
+    """Rows of a small dimension, counted and then broadcast; more than `most` are an error, as what they multiply would be."""
+    n = rows.count()
+    if n > most:
+        raise ValueError(f"{n} rows where a dimension has {most} at most")
+    return F.broadcast(rows)

@@ -5,6 +5,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,41 +62,81 @@ def outlier_ids(facts: DataFrame) -> DataFrame:
 
 
 def marked(facts: DataFrame) -> DataFrame:
-    """Facts with the flag `outlier`. A window over the id reads the facts once, where a join would score all texts twice."""
+    """Facts with the flags `outlier` and `first_model`, the least model of an id. A window over the id reads the facts once, where a join would score all texts twice."""
     above = (F.col("cer_norm_chars") > 0) & (F.col("cer_norm_edits") > OUTLIER_RATE * F.col("cer_norm_chars"))
-    return facts.withColumn("outlier", F.coalesce(F.max(above).over(Window.partitionBy("id")), F.lit(False)))
+    by_id = Window.partitionBy("id")
+    return facts.withColumns({"outlier": F.coalesce(F.max(above).over(by_id), F.lit(False)), "first_model": F.col("model") == F.min("model").over(by_id)})
 
 
 def speed(ok: Column) -> list[Column]:
     """A3: ratios of processing to audio time over rows that are ok."""
-    audio = F.sum(F.when(ok, F.col("duration_s")))
-    infer, decode = F.sum(F.when(ok, F.col("infer_ms"))), F.sum(F.when(ok, F.col("decode_ms")))
+    of = lambda c: F.sum(F.when(ok, F.col(c)))
+    return _ratios(of("infer_ms"), of("decode_ms"), of("duration_s"))
+
+
+def _ratios(infer: Column, decode: Column, audio: Column) -> list[Column]:
     of = lambda ms: F.when(audio > 0, ms / 1000 / audio)
     return [of(infer).alias("rtf"), of(infer + decode).alias("rtf_with_decode"), F.coalesce(audio, F.lit(0.0)).alias("audio_s")]
 
 
-def summary_columns(metrics: list[str]) -> list[Column]:
-    """The aggregates of a group of marked facts. The median keeps a count for each rate that occurs, and a clip's
-    length bounds how many there are, however many clips there are."""
-    ok = ~failed()
-    total = lambda m, part, when=None: F.coalesce(F.sum(F.when(ok & (F.lit(True) if when is None else when), F.col(f"{m}_{part}"))), F.lit(0))
-    out = [F.count("*").alias("clips"), F.count_if(ok).alias("succeeded"), F.count_if(~ok).alias("failed")]
-    for m in metrics:
-        out += [total(m, "edits").alias(f"{m}_edits"), total(m, "chars").alias(f"{m}_chars")]
-    kept = ~F.col("outlier")
-    out += [
-        F.median(rate(F.col("cer_norm_edits"), F.col("cer_norm_chars"))).alias("median"),
-        F.count_if(ok & F.col("outlier")).alias("outliers"),
-        total("cer_norm", "edits", kept).alias("kept_edits"),
-        total("cer_norm", "chars", kept).alias("kept_chars"),
-    ]
-    return [*out, *speed(ok)]
-
-
-def group_summary(facts: DataFrame, *more: Column) -> DataFrame:
-    """A5: a row per (model, dataset) and per model (dataset null, overall true); `more` are further aggregates of marked facts."""
-    sets = marked(facts).groupingSets([["model", "dataset"], ["model"]], "model", "dataset")
-    return sets.agg(*summary_columns(metrics_of(facts)), *more, (F.grouping("dataset") == 1).alias("overall"))
+class Extra(NamedTuple):
+    """A further column of a group: an aggregate of marked facts, and how those of its parts make that of the whole."""
+
+    name: str
+    part: Callable[[], Column]
+    whole: Callable[[Column], Column]
+
+
+#: Ids of outliers, each told by its first model alone and once, in whatever group; A9's load time in seconds.
+OUTLIER_IDS = Extra("outlier_ids", lambda: F.collect_set(F.when(F.col("outlier") & F.col("first_model"), F.col("id"))), lambda c: F.flatten(F.collect_list(c)))
+LOAD_S = Extra("load_s", lambda: F.min(F.when(F.col("load_ms").isNotNull(), F.struct("line_no", "load_ms"))), lambda c: F.min(c)["load_ms"] / 1000)
+
+
+def _parts(metrics: list[str]) -> dict[str, Column]:
+    """The sums of marked facts that groups are added up from."""
+    ok, kept = ~failed(), ~F.col("outlier")
+    total = lambda c, when: F.sum(F.when(ok & when, F.col(c)))
+    every = F.lit(True)
+    out = {"clips": F.count("*"), "succeeded": F.count_if(ok), "failed": F.count_if(~ok), "outliers": F.count_if(ok & F.col("outlier"))}
+    out |= {f"{m}_{p}": total(f"{m}_{p}", every) for m in metrics for p in ("edits", "chars")}
+    out |= {f"kept_{p}": total(f"cer_norm_{p}", kept) for p in ("edits", "chars")}
+    return out | {c: total(c, every) for c in ("infer_ms", "decode_ms", "duration_s")}
+
+
+def middles(counted: DataFrame, *group: str) -> DataFrame:
+    """Counted rows (group, rate, rated: how many have it) with `middle`, half of each rate that stands in the middle of its
+    group, so that their sum is the exact median; null elsewhere. Running counts from both ends meet: no task holds a group's rates."""
+    up = Window.partitionBy(*group).orderBy(F.asc_nulls_first("rate")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    down = Window.partitionBy(*group).orderBy(F.desc_nulls_last("rate")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ran = counted.withColumn("__up", F.sum("rated").over(up)).withColumn("__down", F.sum("rated").over(down))
+    total = F.col("__up") + F.col("__down") - F.col("rated")
+    holds = lambda rank: ((F.col("__up") >= rank) & (F.col("__up") - F.col("rated") < rank)).cast("int")
+    shares = holds(F.floor((total + 1) / 2)) + holds(F.floor((total + 2) / 2))
+    return ran.withColumn("middle", F.when((F.col("rated") > 0) & (shares > 0), shares * 0.5 * F.col("rate"))).drop("__up", "__down")
+
+
+def medians(facts: DataFrame, *group: str) -> DataFrame:
+    """The exact median of the clips' normalised rates of each group, null where none has a rate."""
+    rated = facts.withColumn("rate", rate(F.col("cer_norm_edits"), F.col("cer_norm_chars")))
+    counted = rated.groupBy(*group, "rate").agg(F.count("rate").alias("rated"))
+    return middles(counted, *group).groupBy(*group).agg(F.sum("middle").alias("median"))
+
+
+def group_summary(facts: DataFrame, *extras: Extra) -> DataFrame:
+    """A row per (model, dataset) and per model (dataset null, overall true).
+
+    Facts are first added up by rate, of which a clip's length bounds how many there are; the median is found by running counts
+    over those, and groups are the sums of their rates' rows."""
+    metrics = metrics_of(facts)
+    rows = marked(facts).withColumn("rate", rate(F.col("cer_norm_edits"), F.col("cer_norm_chars")))
+    sets = rows.groupingSets([["model", "dataset", "rate"], ["model", "rate"]], "model", "dataset", "rate")
+    parts = _parts(metrics)
+    by_rate = sets.agg((F.grouping("dataset") == 1).alias("overall"), F.count("rate").alias("rated"), *[c.alias(name) for name, c in parts.items()], *[x.part().alias(x.name) for x in extras])
+    whole = {name: F.sum(name) for name in parts}
+    shown = lambda name: (F.coalesce(whole[name], F.lit(0)) if name.startswith(("cer_", "kept_")) else whole[name]).alias(name)
+    sums = [shown(name) for name in parts if name not in ("infer_ms", "decode_ms", "duration_s")]
+    ratios = _ratios(whole["infer_ms"], whole["decode_ms"], whole["duration_s"])
+    return middles(by_rate, "model", "overall", "dataset").groupBy("model", "dataset", "overall").agg(*sums, F.sum("middle").alias("median"), *ratios, *[x.whole(F.col(x.name)).alias(x.name) for x in extras])
 
 
 def worst(facts: DataFrame, k: int = WORST) -> DataFrame:

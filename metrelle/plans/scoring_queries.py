@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metrelle.functions import numbers
-from metrelle.operators import compare, scoring
+from metrelle.operators import compare, planning, scoring
 from metrelle.plans import derived, views
 from metrelle.plans.derived import FACTS_SQL, SQL
 from metrelle.sources import results as sources
@@ -81,7 +81,7 @@ def outlier_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {FACTS_SQL} SELECT model, median(CAST(cer_norm_edits AS DOUBLE) / nullif(cer_norm_chars, 0)) AS median FROM facts GROUP BY model")
 def clip_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A6."""
-    return _facts(spark, sf_dir).groupBy("model").agg(F.median(scoring.rate(F.col("cer_norm_edits"), F.col("cer_norm_chars"))).alias("median"))
+    return scoring.medians(_facts(spark, sf_dir), "model")
 
 
 @query(f"WITH {GROUPS} SELECT model, dataset, outliers, CAST(kept_edits AS DOUBLE) / nullif(kept_chars, 0) AS cer_norm FROM groups WHERE NOT overall")
@@ -115,7 +115,7 @@ def resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = derived.results(spark, sf_dir).filter("error IS NULL").withColumn("model", odd)
     for part in (0, 1):
         sources.append_results(done.filter(F.col("row") % 2 == part), folder)
-    plan = derived.clips(spark, sf_dir).join(done.select("model").distinct())
+    plan = derived.clips(spark, sf_dir).crossJoin(planning.dimension(done.select("model").distinct()))
     return plan.join(sources.recorded_ids(spark, folder), ["model", "id"], "left_anti").select("model", "id", "dataset")
 
 
@@ -286,9 +286,9 @@ UNION ALL SELECT 5, {_cells("model", "id", "error")} FROM bad
 UNION ALL SELECT * FROM (VALUES {", ".join(f"({i}, '| {' | '.join(h)} |')" for i, h in ((2, views.BREAKDOWN_HEAD), (3, views.OUTLIER_HEAD), (4, views.WORST_HEAD), (5, views.FAILED_HEAD)))})""")
 def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of the report's tables."""
-    facts = _facts(spark, sf_dir)
+    facts = sources.kept(_facts(spark, sf_dir))  # numbers without texts, scored once for the groups and the worst clips
     failures = derived.results(spark, sf_dir).filter(scoring.failed()).select("model", "id", "error")
-    return views.report(views.board(facts, derived.declared(spark)), scoring.worst(facts), failures).select("section", "line")
+    return views.report(sources.kept(views.board(facts, derived.declared(spark))), scoring.worst(facts), failures).select("section", "line")
 
 
 @query(f"WITH {FACTS_SQL} SELECT 'この実行で外れ値として記録されたクリップは計 ' || format('{{:,}}', count(*)) || ' 件です（ID は集計 JSON の outlier_ids）。' AS sentence FROM outliers")

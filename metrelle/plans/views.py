@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from metrelle.functions import numbers as n
 from metrelle.functions.text import escape_cell, join_parts, listed, said_of, short_text
 from metrelle.operators import compare, scoring
+from metrelle.operators.planning import dimension
 
 #: Sentences and words of the published page; fixed values.
 NONE_MEASURED = "まだ計測済みのモデルがありません。"
@@ -17,14 +18,13 @@ EXCLUDED = "未完了のため比較から除外"
 CER = "日本語の総合 CER（正規化）は "
 
 
-def board(facts: DataFrame, declared: DataFrame, *more: Column) -> DataFrame:
-    """A row per model and group (each dataset, and overall with dataset null), metrics null where there is none;
-    `more` are further aggregates of marked facts."""
-    groups = scoring.group_summary(facts, *more)
-    added = [c for c in groups.columns if c in {"load_s", "warmup_s", "outlier_ids"}]
+def board(facts: DataFrame, declared: DataFrame, *extras: scoring.Extra) -> DataFrame:
+    """A row per model and group (each dataset, and overall with dataset null), metrics null where there is none."""
+    groups = scoring.group_summary(facts, *extras)
+    added = [x.name for x in extras]
     models = scoring.all_models(declared, facts.select("model").distinct()).select("model", "place", F.coalesce("label", "model").alias("label"), "planned")
     names = facts.select("dataset").distinct().union(facts.sparkSession.createDataFrame([(None,)], "dataset string"))
-    frame = models.crossJoin(names)  # two dimensions: models by datasets
+    frame = models.crossJoin(dimension(names))
     joined = frame.alias("f").join(groups.alias("g"), F.expr("f.model = g.model AND f.dataset <=> g.dataset"), "left")
     rate = lambda m: scoring.rate(F.col(f"{m}_edits"), F.col(f"{m}_chars"))
     made = joined.select(
@@ -231,12 +231,12 @@ def markdown(title: str, lines: DataFrame, first: list[str], most: int = 100_000
 
 def page_document(facts: DataFrame, declared: DataFrame) -> DataFrame:
     """The published document as JSON text: ids and numbers only, models in order. The facts are read once: the ids of
-    outliers are an aggregate of the groups, as the document lists them."""
-    rows = board(facts, declared, F.collect_set(F.when(F.col("outlier"), F.col("id"))).alias("outlier_ids"))
+    outliers are an aggregate of the overall groups, each told once, by its first model."""
+    rows = board(facts, declared, scoring.OUTLIER_IDS)
     group = F.struct("n", "failed", "cer_strict", "cer_norm", "rtf", "audio_s", F.col("median").alias("cer_norm_median"), F.col("outliers").alias("cer_norm_outliers"), F.col("kept").alias("cer_norm_excluding_outliers"))
     each = F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("dataset").isNotNull() & F.col("n").isNotNull(), F.struct("dataset", group.alias("g"))))))
     whole = F.col("dataset").isNull()
     models = rows.groupBy("model", "place", "label", "planned").agg(each.alias("per_dataset"), F.max(F.when(whole & F.col("n").isNotNull(), group)).alias("overall"), F.flatten(F.collect_list(F.when(whole, F.col("outlier_ids")))).alias("ids"))
     text = F.to_json(F.struct(F.col("model").alias("key"), "label", "planned", "per_dataset", "overall"))
-    one = models.agg(F.transform(F.array_sort(F.collect_list(F.struct("place", text.alias("t")))), lambda x: x["t"]).alias("models"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("outlier_ids"))
+    one = models.agg(F.transform(F.array_sort(F.collect_list(F.struct("place", text.alias("t")))), lambda x: x["t"]).alias("models"), F.array_sort(F.flatten(F.collect_list("ids"))).alias("outlier_ids"))
     return one.select(F.concat(F.lit('{"schema":1,"outlier_cer_norm_threshold":1.0,"outlier_ids":'), F.to_json("outlier_ids"), F.lit(',"models":['), F.array_join("models", ","), F.lit("]}")).alias("document"))

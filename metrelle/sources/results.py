@@ -107,12 +107,23 @@ def logger(name: str = "metrelle") -> logging.Logger:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder that the driver and all executors share: below spark.checkpoint.dir, and only in a local session, where none
-    is named, below the machine's own."""
+    """A new folder that the driver and all executors share, which goes when the driver ends: below spark.checkpoint.dir, and only
+    in a local session, where none is named, below the machine's own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{named or tempfile.mkdtemp(prefix='metrelle-')}/results-{uuid.uuid4().hex}"
+    folder = f"{named or tempfile.mkdtemp(prefix='metrelle-')}/results-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
+
+
+def kept(rows: DataFrame, *by: str) -> DataFrame:
+    """rows written as Parquet to a new shared folder, one below it for each value of `by`, and read again; a lost executor reads
+    files instead of making them anew."""
+    folder = shared_folder(rows.sparkSession)
+    rows.write.partitionBy(*by).parquet(folder)
+    return rows.sparkSession.read.parquet(folder)
 
 
 def append_results(rows: DataFrame, path: str) -> None:

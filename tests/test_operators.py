@@ -37,6 +37,18 @@ def test_summary_edge_rows(spark):
     assert worst == [("m", 1, "4"), ("m", 2, "2"), ("m", 3, "1"), ("n", 1, "2"), ("n", 2, "4")]
 
 
+def test_medians_equal_a_sort(spark):
+    r = random.Random(9)
+    rows = [(f"m{i % 5}", "d", str(i), r.choice([0, 1, 2, 3, 5, 8]), r.choice([0, 1, 2, 4, 7, None])) for i in range(300)] + [("none", "d", "x", 1, 0), ("one", "d", "x", 1, 3)]
+    facts = spark.createDataFrame(rows, "model string, dataset string, id string, cer_norm_edits long, cer_norm_chars long").repartition(7)
+    got = {x["model"]: x["median"] for x in scoring.medians(facts, "model").collect()}
+    for m in {x[0] for x in rows}:
+        rates = sorted(e / c for model, _, _, e, c in rows if model == m and c)
+        assert got[m] == (0.5 * rates[(len(rates) - 1) // 2] + 0.5 * rates[len(rates) // 2] if rates else None)
+    plan = scoring.medians(facts, "model")._jdf.queryExecution().executedPlan().toString().lower()
+    assert "median" not in plan.replace("median#", "").replace("as median", "") and "percentile" not in plan and "collect" not in plan
+
+
 def test_one_distance_per_metric_in_the_plan(spark):
     facts = scoring.clip_facts(results(spark, [("m", "1", "a", "x", "y", None)]))
     plan = scoring.group_summary(facts)._jdf.queryExecution().optimizedPlan().toString()
@@ -72,6 +84,14 @@ def test_planning(spark):
     assert [x["id"] for x in planning.plan_slice(items, 3, 5).collect()] == ["z1"] and planning.plan_slice(items, 9).count() == 0 and planning.plan_slice(items, 0, 0).count() == 0
     assert {x["dataset"]: (x["n"], x["audio_s"]) for x in planning.planned_totals(items).collect()} == {"a": (2, 1.101), "b": (1, 2.0), "z": (1, 1.0)}
     assert planning.ids_digest(items).first()[0] == hashlib.sha256(b"a1\na2\nb1\nz1").hexdigest()
+    many = spark.range(1000).selectExpr("999 - id AS ordinal", "concat('i', id) AS id").repartition(5)
+    want = hashlib.sha256("\n".join(f"i{i}" for i in range(999, -1, -1)).encode()).hexdigest()
+    assert planning.ids_digest(many).first()[0] == want == planning.ids_digest(many, rows=90).first()[0]
+    assert planning.ids_digest(many.filter("id = 'x'")).first()[0] == hashlib.sha256(b"").hexdigest()
+    plan = planning.ids_digest(many, rows=90)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan
+    with pytest.raises(ValueError, match="dimension"):
+        planning.dimension(many, 999)
     assert planning.pending(items, items.filter("place = 1")).select("id").collect()[0][0] == "a2"
     with pytest.raises(Exception, match="unknown dataset: z"):
         planning.require_known(items, sets, "dataset").collect()
