@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metrelle.functions import numbers
+from metrelle.functions import numbers, reading, text
 from metrelle.operators import compare, planning, scoring
 from metrelle.plans import derived, views
 from metrelle.plans.derived import FACTS_SQL, SQL
 from metrelle.sources import results as sources
+from metrelle.sources.tables import table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -311,3 +312,54 @@ def report_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M3."""
     found = _facts(spark, sf_dir).filter("cer_norm_chars > 0")
     return found.select("model", "id", numbers.report_percent(scoring.rate(F.col("cer_norm_edits"), F.col("cer_norm_chars"))).alias("report"))
+
+
+_SPOKEN = """spoken AS (SELECT p_partkey AS row, model, p_brand AS dataset, lower(p_name || ' ' || p_type) AS reference,
+  CASE WHEN model = 'm0' THEN replace(lower(p_name || ' ' || p_type), 'e', 'a') ELSE lower(p_name) || ' ring' END AS hypothesis,
+  CASE WHEN p_partkey % 11 = 0 THEN 'timeout' END AS error, CASE WHEN p_partkey % 3 = 1 THEN p_partkey + 0.5 END AS load_ms
+  FROM part CROSS JOIN (VALUES ('m0'), ('m1')) m(model))"""
+
+
+def _spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names and types of all parts as clips, and what two models make of them."""
+    models = spark.createDataFrame([("m0",), ("m1",)], "model string")
+    rows = table(spark, sf_dir, "part").crossJoin(F.broadcast(models))  # two fixed rows
+    said = F.lower(F.concat_ws(" ", "p_name", "p_type"))
+    key = F.col("p_partkey")
+    return rows.select(
+        key.alias("row"), "model", key.cast("string").alias("id"), F.col("p_brand").alias("dataset"), said.alias("reference"),
+        F.when(F.col("model") == "m0", F.replace(said, F.lit("e"), F.lit("a"))).otherwise(F.concat(F.lower("p_name"), F.lit(" ring"))).alias("hypothesis"),
+        F.when(key % 11 == 0, "timeout").alias("error"), F.when(key % 3 == 1, key + 0.5).alias("load_ms"), key.alias("line_no"),
+        *[F.lit(1.0).alias(c) for c in ("duration_s", "infer_ms", "decode_ms")],
+    )
+
+
+def _lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of two to four letters of all words in part names, with a made-up reading and cost."""
+    words = table(spark, sf_dir, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("w")).distinct()
+    pieces = words.select("w", F.explode(F.sequence(F.lit(1), F.length("w"))).alias("at")).select("w", "at", F.explode(F.array(*map(F.lit, (2, 3, 4)))).alias("n"))
+    piece = pieces.filter("at + n - 1 <= length(w)").select(F.expr("substr(w, at, n)").alias("p")).distinct()
+    return piece.select(text.fullwidth_upper(F.col("p")).alias("surface"), F.concat(F.reverse("p"), F.length("p").cast("string")).alias("reading"), (F.ascii("p") % 7 * 30 + 100).alias("cost"))
+
+
+@query(rf"""WITH RECURSIVE {_SPOKEN},
+pieces AS (SELECT DISTINCT substr(w, s, n) AS p FROM (SELECT w, unnest(range(1, length(w) + 1)) AS s FROM (SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS w FROM part)) CROSS JOIN (VALUES (2), (3), (4)) v(n) WHERE s + n - 1 <= length(w)),
+lex AS (SELECT map(list(p), list(struct_pack(c := CAST(ascii(p) % 7 * 30 + 100 AS INT), r := reverse(p) || length(p)))) AS m FROM pieces),
+texts AS (SELECT DISTINCT regexp_replace(lower(t), '[\s\p{{P}}\p{{S}}]', '', 'g') AS t FROM (SELECT reference AS t FROM spoken UNION ALL SELECT hypothesis FROM spoken)),
+path(t, i, best) AS (
+  SELECT t, 0, [struct_pack(c := 0, n := 0, l := 0, r := '')] FROM texts
+  UNION ALL
+  SELECT t, i + 1, list_append(best, list_sort(list_filter(list_transform(range(1, least(i + 1, 4) + 1), lambda k: CASE
+      WHEN m[substr(t, i + 2 - k, k)] IS NOT NULL THEN struct_pack(c := best[i + 2 - k].c + m[substr(t, i + 2 - k, k)].c, n := best[i + 2 - k].n + 1, l := CAST(-k AS INT), r := best[i + 2 - k].r || m[substr(t, i + 2 - k, k)].r)
+      WHEN k = 1 THEN struct_pack(c := best[i + 1].c + 10000, n := best[i + 1].n + 1, l := -1, r := best[i + 1].r || upper(substr(t, i + 1, 1))) END), lambda x: x IS NOT NULL))[1])
+  FROM path CROSS JOIN lex WHERE i < length(t)),
+readings AS (SELECT t, best[length(t) + 1].r AS r FROM path WHERE i = length(t)),
+plain AS (SELECT *, regexp_replace(lower(reference), '[\s\p{{P}}\p{{S}}]', '', 'g') AS a, regexp_replace(lower(hypothesis), '[\s\p{{P}}\p{{S}}]', '', 'g') AS b FROM spoken),
+f AS (SELECT p.*, CASE WHEN error IS NULL THEN levenshtein(x.r, y.r) END AS e, CASE WHEN error IS NULL THEN length(x.r) END AS c FROM plain p JOIN readings x ON x.t = p.a JOIN readings y ON y.t = p.b)
+SELECT model, dataset, grouping(dataset) = 1 AS overall, CAST(coalesce(sum(e), 0) AS BIGINT) AS edits, CAST(coalesce(sum(c), 0) AS BIGINT) AS chars, CAST(sum(e) AS DOUBLE) / nullif(sum(c), 0) AS cer_reading,
+  arg_min(load_ms, row) FILTER (load_ms IS NOT NULL) / 1000 AS load_s FROM f GROUP BY GROUPING SETS ((model, dataset), (model))""")
+def reading_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F6, F7, F8 by the third metric, A9."""
+    found = scoring.group_summary(scoring.clip_facts(reading.with_tokens(_spoken(spark, sf_dir), _lexicon(spark, sf_dir))), scoring.LOAD_S)
+    edits, chars = F.col("cer_reading_edits"), F.col("cer_reading_chars")
+    return found.select("model", "dataset", "overall", edits.alias("edits"), chars.alias("chars"), scoring.rate(edits, chars).alias("cer_reading"), "load_s")
