@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DataType, IntegralType, MapType, NumericType, StructType
 
 MANIFEST_ITEM = {"id": "string", "dataset": "string", "path": "string", "duration_s": "number", "reference": "string"}
 
@@ -40,6 +40,49 @@ def manifest_items(documents: DataFrame, column: str = "document") -> DataFrame:
     return listed.select(F.when(F.size(wrong) > 0, stop.cast("int")).otherwise(F.col("ordinal")).alias("ordinal"), *[get(p, k).alias(p) for p, k in MANIFEST_ITEM.items()])
 
 
+def schema_faults(document: Column, schema: StructType) -> Column:
+    """All faults of a JSON text against a declared schema, each by its path, as `items[3].name: string required`.
+
+    Fields that aren't nullable are required. Strings that are required aren't empty, numbers are finite and 0 or more, whole where
+    their type is; arrays and maps are checked in every element; further fields are let be."""
+    v = F.try_parse_json(document)
+    return F.when(v.isNull(), F.array(F.lit("not JSON"))).otherwise(_value_faults(v, schema, True, F.lit("")))
+
+
+def _value_faults(value: Column, kind: DataType, required: bool, path: Column) -> Column:
+    """The faults of a VARIANT and of what is in it, as an array."""
+    shape = F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
+    none = F.array().cast("array<string>")
+    dotted = lambda name: F.concat(path, F.when(path == "", "").otherwise("."), name)
+    each = lambda found: F.coalesce(F.flatten(found), none)
+    if isinstance(kind, StructType):
+        word, right = "object", F.startswith(shape, F.lit("OBJECT"))
+        inner = [_value_faults(F.try_variant_get(value, f"$['{f.name}']", "variant"), f.dataType, not f.nullable, dotted(F.lit(f.name))) for f in kind.fields]
+        within = F.concat(*inner) if inner else none
+    elif isinstance(kind, ArrayType):
+        word, right = "array", F.startswith(shape, F.lit("ARRAY"))
+        at = lambda i: F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))
+        within = each(F.transform(F.try_variant_get(value, "$", "array<variant>"), lambda x, i: _value_faults(x, kind.elementType, not kind.containsNull, at(i))))
+    elif isinstance(kind, MapType):
+        word, right = "object", F.startswith(shape, F.lit("OBJECT"))
+        entries = F.map_entries(F.try_variant_get(value, "$", "map<string,variant>"))
+        within = each(F.transform(entries, lambda e: _value_faults(e["value"], kind.valueType, not kind.valueContainsNull, dotted(e["key"]))))
+    elif isinstance(kind, BooleanType):
+        word, right, within = "boolean", shape == "BOOLEAN", none
+    elif isinstance(kind, NumericType):
+        whole = isinstance(kind, IntegralType)
+        number = F.try_variant_get(value, "$", "double")
+        word, within = "whole number" if whole else "number", none
+        right = shape.rlike("^BIGINT$" if whole else r"^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$") & (number >= 0) & (number < float("inf"))
+    else:
+        word, within = "string", none
+        right = shape == "STRING"
+        right = right & (F.length(F.try_variant_get(value, "$", "string")) > 0) if required else right
+    wrong = F.array(F.concat(F.when(path == "", "document").otherwise(path), F.lit(f": {word} {'required' if required else 'or null'}")))
+    absent = F.lit(not required) & (shape == "VOID")
+    return F.when(absent, none).when(F.coalesce(right, F.lit(False)), within).otherwise(wrong)
+
+
 def key_paths(schema: DataType, prefix: str = "") -> set[str]:
     """The paths of all fields of a schema; arrays and maps count as *."""
     if isinstance(schema, StructType):

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from metrelle.functions import nested, numbers, text
-from metrelle.operators import compare, planning, sessions
+from metrelle.operators import compare, contract, planning, sessions
 from metrelle.plans import derived
 from metrelle.plans.derived import SQL
 from metrelle.sources import results as sources
+from metrelle.sources import tables
 from metrelle.sources.tables import table
 
 QUERIES: dict = {}
@@ -422,3 +426,48 @@ def label_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = compare.series_slot(compare.short_labels(models, "Customer"), models.select("model", "ordinal"))
     kana = text.hiragana_to_katakana(F.translate(F.lower("label"), "".join(_KANA), "".join(_KANA.values())))
     return named.select("c_custkey", "short", "slot", text.said_of(F.col("short"), "が").alias("subject"), text.fullwidth_upper(F.left("label", F.lit(12))).alias("wide"), kana.alias("kana"))
+
+
+@query("""WITH t AS (SELECT conv_id, turn, CASE WHEN conv_id % 3 = 0 AND turn = 1 THEN NULL ELSE role END AS role, CASE WHEN conv_id % 4 = 0 AND turn % 3 = 2 THEN '' ELSE text END AS text,
+  CASE WHEN conv_id % 5 = 0 AND turn % 2 = 0 THEN -1 - turn ELSE turn END AS number, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations),
+e AS (SELECT conv_id, i, 0 AS k, 'turns[' || i || '].turn: whole number required' AS x FROM t WHERE number < 0
+  UNION ALL SELECT conv_id, i, 1, 'turns[' || i || '].role: string required' FROM t WHERE role IS NULL OR role = ''
+  UNION ALL SELECT conv_id, i, 2, 'turns[' || i || '].text: string required' FROM t WHERE text IS NULL OR text = ''
+  UNION ALL SELECT DISTINCT conv_id, -1, 0, 'title: string required' FROM t WHERE conv_id % 6 = 0
+  UNION ALL SELECT DISTINCT conv_id, 1000000, 0, 'counts.user: number or null' FROM t WHERE conv_id % 7 = 0)
+SELECT t.conv_id, coalesce(string_agg(x, ', ' ORDER BY e.i, k), '') AS faults FROM (SELECT DISTINCT conv_id FROM t) t LEFT JOIN e USING (conv_id) GROUP BY t.conv_id""")
+def document_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as a document with planted faults, checked against a declared schema."""
+    c, n = F.col("conv_id"), F.col("turn")
+    role = F.when(~((c % 3 == 0) & (n == 1)), F.col("role"))
+    said = F.when((c % 4 == 0) & (n % 3 == 2), "").otherwise(F.col("text"))
+    turn = F.struct(n.alias("place"), F.when((c % 5 == 0) & (n % 2 == 0), -1 - n).otherwise(n).alias("turn"), role.alias("role"), said.alias("text"))
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))  # a document is a row by nature
+    counts = F.create_map(F.lit("user"), F.when(c % 7 == 0, "many").otherwise("2"))
+    text_ = F.to_json(F.struct(F.when(c % 6 != 0, "t").alias("title"), "turns", counts.alias("counts")))
+    document = F.regexp_replace(text_, '"user":"2"', '"user":2')
+    declared = T.StructType.fromDDL("title string NOT NULL, turns array<struct<turn:bigint NOT NULL,role:string NOT NULL,text:string NOT NULL,note:string>> NOT NULL, counts map<string,double>")
+    return turns.select("conv_id", F.array_join(contract.schema_faults(document, declared), ", ").alias("faults"))
+
+
+@query("""SELECT row_number() OVER (ORDER BY o_orderkey % 2, o_orderkey) - 1 AS row, o_orderkey, CAST(o_totalprice AS DOUBLE) AS o_totalprice FROM orders""")
+def shard_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders written as two shards, the even keys first, and read under one row number."""
+    folder, rows = sources.shared_folder(spark), table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").cast("double"), "o_orderdate")
+    for k in (0, 1):
+        shard = rows.filter(F.col("o_orderkey") % 2 == k).repartitionByRange("o_orderkey").sortWithinPartitions("o_orderkey")
+        shard.write.parquet(f"{folder}/data/train-0000{k}.parquet")
+    return tables.sharded(spark, folder, "train", "o_orderkey", "o_totalprice")
+
+
+@query("""WITH r AS (SELECT strftime(make_timestamp(2026, 1 + CAST(event_id % 12 AS INT), 1 + CAST(event_id % 28 AS INT), CAST(event_id % 24 AS INT), 0, 0.0), '%Y%m%dT%H%M%SZ') AS run_id FROM events)
+SELECT max(run_id) AS run_id, CAST(count(*) AS BIGINT) AS n FROM r WHERE run_id = (SELECT max(run_id) FROM r)""")
+def published_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs are published, the newer first, and the latest document is read."""
+    at = F.make_timestamp_ntz(F.lit(2026), (1 + F.col("event_id") % 12).cast("int"), (1 + F.col("event_id") % 28).cast("int"), (F.col("event_id") % 24).cast("int"), F.lit(0), F.lit(0))
+    runs = table(spark, sf_dir, "events").groupBy(F.date_format(at, "yyyyMMdd'T'HHmmss'Z'").alias("run_id")).agg(F.count("*").alias("n"))
+    folder = sources.shared_folder(spark)
+    ends = runs.agg(F.max_by(F.struct("run_id", "n"), "run_id").alias("new"), F.min_by(F.struct("run_id", "n"), "run_id").alias("old")).first()
+    for run in (ends["new"], ends["old"]):
+        sources.publish_run(spark, folder, run["run_id"], json.dumps(run.asDict()))
+    return sources.read_published(spark, folder).select("run_id", F.get_json_object("document", "$.n").cast("long").alias("n"))

@@ -161,3 +161,61 @@ def write_latest(path: str, runs: DataFrame, run_id: str, document: str) -> bool
         return False
     write_atomic(path, document)
     return True
+
+
+def _hadoop(spark: SparkSession, path: str):
+    """The path in its store, qualified, with the store's file system and context."""
+    fs = spark._jvm.org.apache.hadoop.fs
+    conf = spark._jsc.hadoopConfiguration()
+    target = fs.Path(path)
+    store = target.getFileSystem(conf)
+    target = store.makeQualified(target)
+    return target, store, fs.FileContext.getFileContext(target.toUri(), conf)
+
+
+def publish(spark: SparkSession, path: str, text: str, replace: bool = True) -> bool:
+    """A document on any store Spark reaches, whole or not there at all: written beside its place and renamed. Without `replace`
+    a document that is there stays; whether this one was published."""
+    target, store, context = _hadoop(spark, path)
+    store.mkdirs(target.getParent())
+    temporary = spark._jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{target.getName()}.{uuid.uuid4().hex}")
+    out = store.create(temporary, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    kind = getattr(spark._jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(kind, 1)
+    how[0] = kind.OVERWRITE if replace else kind.NONE
+    try:
+        context.rename(temporary, target, how)
+    except Exception as e:
+        store.delete(temporary, False)
+        if not replace and "FileAlreadyExists" in str(e):
+            return False
+        raise
+    return True
+
+
+def publish_run(spark: SparkSession, folder: str, run_id: str, document: str) -> bool:
+    """A run's document as a version of its own, created if it is absent; whether it is the latest now.
+
+    The latest is the greatest valid run id that is there, so writers need no lock: whichever comes last, an older run never wins."""
+    publish(spark, f"{folder}/{run_id}.json", document, replace=False)
+    return latest_published(spark, folder) == run_id
+
+
+def latest_published(spark: SparkSession, folder: str) -> str | None:
+    """The greatest valid run id among the versions in a folder, or None."""
+    target, store, _ = _hadoop(spark, folder)
+    if not store.exists(target):
+        return None
+    names = [status.getPath().getName() for status in store.listStatus(target)]
+    valid = [n.removesuffix(".json") for n in names if re.fullmatch(r"[0-9]{8}T[0-9]{6}Z\.json", n)]
+    return max(valid, default=None)
+
+
+def read_published(spark: SparkSession, folder: str) -> DataFrame:
+    """One row (run_id, document) of the latest version; none where there is no version."""
+    run_id = latest_published(spark, folder)
+    if run_id is None:
+        return spark.createDataFrame([], "run_id string, document string")
+    return spark.read.text(f"{folder}/{run_id}.json", wholetext=True).select(F.lit(run_id).alias("run_id"), F.col("value").alias("document"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import json
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -24,11 +26,15 @@ def shards(spark: SparkSession, folder: str, split: str) -> list[str]:
 def sharded(spark: SparkSession, folder: str, split: str, *columns: str) -> DataFrame:
     """The columns of all shards and `row`, their number over the shards in the order of their names, from 0.
 
-    A row's number is its place in its file, which the reader knows, and the number of rows of the files before it; these
-    are counted from the files' footers, so no rows are sorted."""
-    paths = shards(spark, folder, split)
-    rows = spark.read.parquet(*paths)
-    place = rows.select(*columns, F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__at"))
-    sizes = rows.groupBy(F.col("_metadata.file_name").alias("__file")).count()
-    before = F.coalesce(F.sum("count").over(Window.partitionBy(F.lit(0)).orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per file
-    return place.join(sizes.select("__file", before.alias("__before")), "__file").select((F.col("__before") + F.col("__at")).alias("row"), *columns)
+    A row's number is its place in its file, which the reader knows, and the rows of the files before it. Those are told by the
+    files' footers, as a count of no columns reads nothing else, and stand in the plan as a list of one number a file: rows are
+    read once, and neither joined nor shuffled. A shard may be a file or a folder of files."""
+    rows = spark.read.parquet(*shards(spark, folder, split))
+    file = F.col("_metadata.file_path")
+    sizes = sorted(map(tuple, rows.groupBy(file.alias("file")).count().collect()))  # a row a file
+    before, total = [], 0
+    for name, n in sizes:
+        before.append((name, total))
+        total += n
+    known = F.from_json(F.lit(json.dumps(dict(before))), "map<string,long>") if before else F.lit(None).cast("map<string,long>")
+    return rows.select((F.element_at(known, file) + F.col("_metadata.row_index")).alias("row"), *columns)

@@ -3,6 +3,7 @@
 import hashlib
 import json
 import random
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from metrelle.functions import nested, text
@@ -11,6 +12,7 @@ from metrelle.plans import views
 from metrelle.sources import results as sources
 from metrelle.sources import tables
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 RESULT = "model string, id string, dataset string, reference string, hypothesis string, duration_s double, decode_ms double, infer_ms double, error string, line_no long"
 
@@ -211,6 +213,8 @@ def test_shards_have_one_row_number_in_the_order_of_their_names(spark, tmp_path)
         next((tmp_path / "made" / name).glob("*.parquet")).rename(tmp_path / "data" / f"{name}.parquet")
     found = tables.sharded(spark, str(tmp_path), "train", "v")
     assert sorted(map(tuple, found.collect())) == [(i, i) for i in range(100)] and found.columns == ["row", "v"]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
     with pytest.raises(FileNotFoundError):
         tables.shards(spark, str(tmp_path), "dev")
 
@@ -222,6 +226,32 @@ def test_latest_is_written_unless_a_newer_run_is_there(spark, tmp_path):
     assert sources.write_latest(path, runs, "20260102T000000Z", "{}") and (tmp_path / "latest.json").read_text() == "{}"
 
 
+def test_of_two_writers_the_older_never_wins(spark, tmp_path):
+    folder = str(tmp_path / "published")
+    ids = [f"202601{d:02d}T000000Z" for d in range(1, 13)]
+    assert sources.latest_published(spark, folder) is None and sources.read_published(spark, folder).count() == 0
+    order = random.Random(2).sample(ids, len(ids))
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda i: sources.publish_run(spark, folder, i, f"document of {i}"), order))
+    (tmp_path / "published" / "latest.json").write_text("no run")
+    assert tuple(sources.read_published(spark, folder).first()) == (ids[-1], f"document of {ids[-1]}")
+    assert not sources.publish_run(spark, folder, ids[0], "again") and (tmp_path / "published" / f"{ids[0]}.json").read_text() == f"document of {ids[0]}"
+    assert not sources.publish(spark, f"{folder}/{ids[0]}.json", "kept", replace=False) and sources.publish(spark, f"{folder}/{ids[0]}.json", "replaced")
+    assert (tmp_path / "published" / f"{ids[0]}.json").read_text() == "replaced" and not [p for p in (tmp_path / "published").iterdir() if p.name.startswith(".2") and p.suffix != ".crc"]
+
+
+def test_faults_have_paths_into_arrays_and_maps(spark):
+    declared = T.StructType.fromDDL("n bigint NOT NULL, items array<struct<id:string NOT NULL,at:array<double>>> NOT NULL, by map<string,struct<ok:boolean NOT NULL>>, note string")
+    cases = {
+        '{"n": 1, "items": []}': [], "no json": ["not JSON"], "[]": ["document: object required"], "null": ["document: object required"],
+        '{"n": 1.5, "items": null, "note": 3}': ["n: whole number required", "items: array required", "note: string or null"],
+        '{"n": 0, "items": [{"id": "a", "at": [1, -1, "x", 2.5]}, {"id": ""}, 4], "by": {"x y": {"ok": true}, "z": {}}, "more": 1}': ["items[0].at[1]: number or null", "items[0].at[2]: number or null", "items[1].id: string required", "items[2]: object or null", "by.z.ok: boolean required"],
+    }
+    frame = spark.createDataFrame([(i, d) for i, d in enumerate(cases)], "i int, d string")
+    got = {x["i"]: x["f"] for x in frame.select("i", contract.schema_faults(F.col("d"), declared).alias("f")).collect()}
+    assert [got[i] for i in range(len(cases))] == list(cases.values())
+
+
 def test_reading_rate_from_supplied_tokens(spark):
     tokens = "array<struct<surface:string,reading:string>>"
     rows = [("m", "1", "a", "東京へ", "とうきょうえ", 1.0, 1.0, 1.0, None, 0, [("東京", "トウキョウ"), ("へ", "エ")], [("とうきょう", None), ("え", "エ")]), ("m", "2", "a", "x", "x", 1.0, 1.0, 1.0, None, 1, None, None)]
