@@ -23,13 +23,22 @@ def stuck_rows(stalls: DataFrame, items: DataFrame, recorded: DataFrame) -> Data
     return open_.select("model", "id", "dataset", "reference", F.lit("").alias("hypothesis"), "duration_s", F.lit(0.0).alias("decode_ms"), F.col("stalled_ms").alias("infer_ms"), F.lit(0).alias("segments"), text.alias("error"))
 
 
-def gave_up(sessions: DataFrame) -> DataFrame:
-    """(model, attempt) of the session after which a model is given up: more than RESTARTS in a row without progress."""
-    order = Window.partitionBy("model").orderBy("attempt")
-    island = F.sum(F.when(F.col("new_results") > 0, 1).otherwise(0)).over(order)
-    streak = F.sum(F.when(F.col("new_results") > 0, 0).otherwise(1)).over(Window.partitionBy("model", "__i").orderBy("attempt"))
-    counted = sessions.withColumn("__i", island).withColumn("__s", streak)
-    return counted.filter(F.col("__s") > RESTARTS).groupBy("model").agg(F.min("attempt").alias("attempt"))
+def gave_up(sessions: DataFrame, span: int = 100_000) -> DataFrame:
+    """(model, attempt) of the session after which a model is given up: more than RESTARTS in a row without progress.
+
+    A session ends such a row if it and the RESTARTS before it made none, so ranges of `span` attempts are looked at apart, each
+    with the last sessions of the ranges before it: a model's sessions go to as many tasks as it has ranges."""
+    by = ["model", "__range"]
+    rows = sessions.select("model", "attempt", (F.coalesce("new_results", F.lit(0)) <= 0).cast("int").alias("idle"), F.expr(f"attempt DIV {span}").alias("__range"))
+    latest = rows.withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("attempt")))).filter(F.col("__n") <= RESTARTS).drop("__n")
+    ranges = latest.select(*by).distinct()
+    next_ = F.array(*[F.lead("__range", k).over(Window.partitionBy("model").orderBy("__range")) for k in range(1, RESTARTS + 1)])
+    later = ranges.withColumn("__later", next_).select(*by, F.explode("__later").alias("__next")).filter("__next IS NOT NULL")
+    carried = latest.join(later, by).select("model", "attempt", "idle", F.col("__next").alias("__range"), F.lit(True).alias("carried"))
+    near = Window.partitionBy(*by).orderBy("attempt").rowsBetween(-RESTARTS, Window.currentRow)
+    both = rows.withColumn("carried", F.lit(False)).unionByName(carried)
+    ended = both.withColumn("__idle", F.sum("idle").over(near)).filter((F.col("__idle") > RESTARTS) & ~F.col("carried"))
+    return ended.groupBy("model").agg(F.min("attempt").alias("attempt"))
 
 
 def prefetch_download(attempts: DataFrame) -> DataFrame:

@@ -278,8 +278,9 @@ _GROUP = "coalesce(dataset, '全体')"
 s AS (SELECT *, CAST(cer_norm_edits AS DOUBLE) / nullif(cer_norm_chars, 0) AS rate FROM facts),
 r AS (SELECT *, row_number() OVER (PARTITION BY model, dataset ORDER BY rate DESC, cer_norm_edits DESC, id) AS rank FROM s WHERE rate IS NOT NULL),
 bad AS (SELECT model, id, CASE WHEN length(error) <= 80 THEN error ELSE left(error, 79) || '…' END AS error FROM results WHERE error IS NOT NULL)
-SELECT 1 AS section, '| model | ' || string_agg(g || ' strict | ' || g || ' norm', ' | ' ORDER BY last, g) || ' | RTF | 失敗 |' AS line FROM (SELECT DISTINCT dataset IS NULL AS last, {_GROUP} AS g FROM board)
-UNION ALL SELECT 1, '| ' || model || ' | ' || string_agg({_PCT.format("cer_strict")} || ' | ' || {_PCT.format("cer_norm")}, ' | ' ORDER BY dataset IS NULL, dataset) || ' | ' || coalesce(max(printf('%.3f', rtf)) FILTER (dataset IS NULL), '–') || ' | ' || coalesce(CAST(max(failed) FILTER (dataset IS NULL) AS VARCHAR), '–') || ' |' FROM board GROUP BY model
+SELECT 1 AS section, '| model | ' || string_agg(g || ' strict | ' || g || ' norm', ' | ' ORDER BY last, ordinal NULLS LAST, g) || ' | RTF | load 秒 | 失敗 |' AS line FROM (SELECT DISTINCT b.dataset IS NULL AS last, s.ordinal, coalesce(b.dataset, '全体') AS g FROM board b LEFT JOIN datasets s ON s.dataset = b.dataset)
+UNION ALL SELECT 1, '| ' || model || ' | ' || string_agg({_PCT.format("cer_strict")} || ' | ' || {_PCT.format("cer_norm")}, ' | ' ORDER BY b.dataset IS NULL, s.ordinal NULLS LAST, b.dataset) || ' | ' || coalesce(max(printf('%.3f', rtf)) FILTER (b.dataset IS NULL), '–') || ' | ' || coalesce(printf('%.1f', any_value(load) / 1000), '–') || ' | ' || coalesce(CAST(max(failed) FILTER (b.dataset IS NULL) AS VARCHAR), '–') || ' |'
+  FROM board b LEFT JOIN datasets s ON s.dataset = b.dataset LEFT JOIN (SELECT model AS lm, arg_min(load_ms, line_no) FILTER (load_ms IS NOT NULL) AS load FROM results GROUP BY model) l ON l.lm = b.model GROUP BY model
 UNION ALL SELECT 2, {_cells("model", _GROUP, "n", "n - failed", "failed", _FIX.format("audio_s", 1), _FIX.format("rtf", 3), _FIX.format("rtf_both", 3))} FROM board WHERE n IS NOT NULL
 UNION ALL SELECT 3, {_cells("model", _GROUP, _PCT.format("cer_norm"), _PCT.format("median"), "outliers", _PCT.format("kept"))} FROM board WHERE n IS NOT NULL
 UNION ALL SELECT 4, {_cells("model", "dataset", "id", _PCT.format("rate"), "cer_norm_edits", "cer_norm_chars")} FROM r WHERE rank <= 3
@@ -289,7 +290,8 @@ def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of the report's tables."""
     facts = sources.kept(_facts(spark, sf_dir))  # numbers without texts, scored once for the groups and the worst clips
     failures = derived.results(spark, sf_dir).filter(scoring.failed()).select("model", "id", "error")
-    return views.report(sources.kept(views.board(facts, derived.declared(spark))), scoring.worst(facts), failures).select("section", "line")
+    board = sources.kept(views.board(facts, derived.declared(spark), scoring.LOAD_S))
+    return views.report(board, scoring.worst(facts), failures, derived.datasets(spark)).select("section", "line")
 
 
 @query(f"WITH {FACTS_SQL} SELECT 'この実行で外れ値として記録されたクリップは計 ' || format('{{:,}}', count(*)) || ' 件です（ID は集計 JSON の outlier_ids）。' AS sentence FROM outliers")
@@ -363,3 +365,30 @@ def reading_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scoring.group_summary(scoring.clip_facts(reading.with_tokens(_spoken(spark, sf_dir), _lexicon(spark, sf_dir))), scoring.LOAD_S)
     edits, chars = F.col("cer_reading_edits"), F.col("cer_reading_chars")
     return found.select("model", "dataset", "overall", edits.alias("edits"), chars.alias("chars"), scoring.rate(edits, chars).alias("cer_reading"), "load_s")
+
+
+@query(f"""WITH {FACTS_SQL}, c AS (SELECT model, count(*) AS n FROM results GROUP BY model), s AS (SELECT d.model, ordinal, greatest(planned - coalesce(n, 0), 0) AS missing, CASE d.model WHEN 'm1' THEN 'done' WHEN 'm0' THEN 'gave-up: crashed' END AS status FROM declared d LEFT JOIN c ON c.model = d.model WHERE planned IS NOT NULL),
+i AS (SELECT * FROM s WHERE missing <> 0 OR status <> 'done')
+SELECT 2 AS section, ordinal AS place, '- ' || model || ': 未実行 ' || format('{{:,}}', missing) || ' 件、終了状態 `' || coalesce(status, '不明') || '`' AS line FROM i
+UNION ALL SELECT 2, -1, '未完了のモデル（予定件数に届いていない）:' WHERE EXISTS (SELECT 1 FROM i)
+UNION ALL SELECT 3, 0, '外れ値: ' || format('{{:,}}', (SELECT count(*) FROM outliers)) || ' 件'""")
+def report_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The models that aren't complete and the number of outliers."""
+    status = F.when(F.col("model") == "m1", "done").when(F.col("model") == "m0", "gave-up: crashed")
+    models = missing_counts(spark, sf_dir).filter("missing IS NOT NULL").join(derived.declared(spark).select("model", F.col("ordinal").alias("place")), "model")
+    outliers = scoring.outlier_ids(_facts(spark, sf_dir)).agg(F.count("*").alias("n"))
+    found = views.report_notes(models.withColumn("status", status), outliers)
+    return found.select("section", F.col("place").cast("int").alias("place"), "line")
+
+
+@query(f"""WITH {SQL}, k AS (SELECT *, sha256(dataset || ':' || row) AS key FROM clips),
+c AS (SELECT dataset, count(*) FILTER (duration_s <= 30) AS n, CAST(sum(CAST(duration_s AS DECIMAL(18,3))) FILTER (duration_s <= 30) AS DOUBLE) AS audio, count(*) FILTER (duration_s > 30) AS excluded FROM clips GROUP BY dataset)
+SELECT ordinal, coalesce(label, c.dataset) AS label, CASE WHEN c.dataset = 'user' THEN 'What users write。' ELSE '' END || format('{{:,}}', n) || ' クリップ、音声 ' || printf('%.1f', audio / 60) || ' 分、30 秒超で除外 ' || format('{{:,}}', excluded) || ' 件。' || coalesce(' ' || repo || ' @ ' || revision, '') AS text
+FROM c LEFT JOIN datasets d ON d.dataset = c.dataset""")
+def dataset_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is said of each dataset."""
+    clips = derived.clips(spark, sf_dir)
+    inside = planning.planned_totals(clips.filter("duration_s <= 30"))
+    over = clips.groupBy("dataset").agg(F.count_if(F.col("duration_s") > 30).alias("excluded"))
+    specs = derived.datasets(spark).withColumn("description", F.when(F.col("dataset") == "user", "What users write"))
+    return views.dataset_lines(inside.join(over, "dataset").join(specs, "dataset", "left"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from metrelle.functions import numbers as n
-from metrelle.functions.text import escape_cell, join_parts, listed, said_of, short_text
+from metrelle.functions.text import escape_cell, join_parts, listed, said_of, short_commit, short_text
 from metrelle.operators import compare, scoring
 from metrelle.operators.planning import dimension
 
@@ -174,25 +174,65 @@ def conditions(run: Column) -> Column:
     )
 
 
-def report(rows: DataFrame, worst: DataFrame, failures: DataFrame) -> DataFrame:
-    """(section, place, line) of the report's five tables, from board(), the worst clips with their chars, and failed rows.
+def dataset_lines(datasets: DataFrame) -> DataFrame:
+    """V6: (ordinal, label, text) of the datasets in declared order: what each is, its clips, minutes, what was left out, its source.
 
-    place orders the lines of a section: heads, then models in order, groups by name with the overall one last. No text of a
-    clip is in it."""
+    datasets: (dataset, ordinal, label, description, repo, revision, n, audio_s, excluded), of which all after dataset may be null."""
+    said = F.when(F.nullif(F.col("description"), F.lit("")).isNotNull(), F.concat("description", F.lit("。")))
+    facts = F.array(
+        F.concat(n.count_text(F.col("n")), F.lit(" クリップ")), F.concat(F.lit("音声 "), n.page_fixed(F.col("audio_s") / 60, 1), F.lit(" 分")), F.concat(F.lit("30 秒超で除外 "), n.count_text(F.col("excluded")), F.lit(" 件")),
+    )
+    known = F.filter(F.arrays_zip(facts.alias("text"), F.array(F.col("n").isNotNull(), F.col("audio_s").isNotNull(), F.col("excluded").isNotNull()).alias("there")), lambda x: x["there"])
+    told = F.when(F.size(known) > 0, F.concat(F.array_join(F.transform(known, lambda x: x["text"]), "、"), F.lit("。")))
+    source = F.concat("repo", F.coalesce(F.concat(F.lit(" @ "), short_commit(F.col("revision"))), F.lit("")))
+    text = F.concat_ws(" ", F.nullif(F.concat_ws("", said, told), F.lit("")), source)
+    return datasets.select("ordinal", F.coalesce("label", "dataset").alias("label"), text.alias("text"))
+
+
+def shown_time(text: Column) -> Column:
+    """The page's form of an ISO time, in UTC; other text as it is, a dash for null."""
+    at = F.try_to_timestamp(F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}.*)?$"), text))
+    local = F.convert_timezone(F.current_timezone(), F.lit("UTC"), at.cast("timestamp_ntz"))
+    return F.when(text.isNull(), n.NO_VALUE).otherwise(F.coalesce(F.concat(F.date_format(local, "yyyy/MM/dd H:mm"), F.lit(" UTC")), text))
+
+
+def report_notes(models: DataFrame, outliers: DataFrame) -> DataFrame:
+    """(section, place, line) of what stands beside the tables: in section 2 the models that aren't complete, with what is
+    missing and how they ended, in order; in section 3 the number of outliers, one row of `n`."""
+    short = incomplete(models)
+    status = F.coalesce("status", F.lit(UNKNOWN))
+    line = F.concat(F.lit("- "), "model", F.lit(": 未実行 "), F.coalesce(n.count_text(F.col("missing")), F.lit(UNKNOWN)), F.lit(" 件、終了状態 `"), status, F.lit("`"))
+    listed_ = short.select(F.lit(2).alias("section"), F.col("place").cast("long").alias("place"), line.alias("line"))
+    head = short.agg(F.count("*").alias("k")).filter("k > 0").select(F.lit(2), F.lit(-1).cast("long"), F.lit("未完了のモデル（予定件数に届いていない）:"))
+    return listed_.union(head).union(outliers.select(F.lit(3), F.lit(0).cast("long"), F.concat(F.lit("外れ値: "), n.count_text(F.col("n")), F.lit(" 件"))))
+
+
+def report(rows: DataFrame, worst: DataFrame, failures: DataFrame, datasets: DataFrame | None = None) -> DataFrame:
+    """(section, place, line) of the report's five tables, from board(), the worst clips with their chars, and failed rows.
+
+    place orders the lines of a section: heads, then models in order, groups in the order that datasets (dataset, ordinal) declares,
+    others by name, with the overall one last. No text of a clip is in it."""
     spark = rows.sparkSession
+    last = 1 << 30
+    if datasets is None:
+        datasets = spark.createDataFrame([], "dataset string, ordinal int")
+    declared = F.broadcast(dimension(datasets.select("dataset", F.col("ordinal").cast("long").alias("__at"))))
+    put = lambda df: df.join(declared, "dataset", "left").withColumn("__at", F.coalesce("__at", F.lit(last).cast("long")))
+    rows, worst = put(rows), put(worst)
+    failures = failures.withColumn("__at", F.lit(0).cast("long"))
     group = F.coalesce("dataset", F.lit(OVERALL))
     fixed = lambda c, digits: F.coalesce(F.call_function("format_number", F.col(c), F.lit("0." + "0" * digits)), F.lit(n.NO_VALUE_REPORT))
     percent = lambda c: n.report_percent(F.col(c))
-    order = lambda *more: F.struct(F.lit(1).alias("kind"), F.col("place").cast("long").alias("model"), F.col("dataset").isNull().alias("last"), F.coalesce("dataset", F.lit("")).alias("dataset"), *more)
+    order = lambda *more: F.struct(F.lit(1).alias("kind"), F.col("place").cast("long").alias("model"), F.col("dataset").isNull().alias("last"), F.col("__at").alias("at"), F.coalesce("dataset", F.lit("")).alias("dataset"), *more)
     line = lambda section, place, *cells: [F.lit(section).alias("section"), place.alias("place"), table_line(*cells).alias("line")]
     rank = lambda c: F.col(c).cast("long").alias("rank")
     name = lambda c: F.col(c).cast("string").alias("id")
     none = (F.lit(0).cast("long").alias("rank"), F.lit("").alias("id"))
-    metrics = [m for m in ("cer_strict", "cer_norm", "cer_reading") if m in rows.columns]
-    each = F.array_sort(F.collect_list(F.struct(F.col("dataset").isNull().alias("last"), group.alias("g"), F.array(*[percent(m) for m in metrics]).alias("c"))))
+    metrics, load = [m for m in ("cer_strict", "cer_norm", "cer_reading") if m in rows.columns], "load_s" in rows.columns
+    each = F.array_sort(F.collect_list(F.struct(F.col("dataset").isNull().alias("last"), F.col("__at"), group.alias("g"), F.array(*[percent(m) for m in metrics]).alias("c"))))
     whole = lambda c: F.max(F.when(F.col("dataset").isNull(), F.col(c))).alias(c)
-    wide = rows.groupBy("model", "place").agg(F.flatten(F.transform(each, lambda x: x["c"])).alias("cells"), whole("rtf"), whole("failed")).withColumn("dataset", F.lit("").cast("string"))
-    cells = F.concat(F.array("model"), "cells", F.array(fixed("rtf", 3), F.coalesce(F.col("failed").cast("string"), F.lit(n.NO_VALUE_REPORT))))
+    wide = rows.groupBy("model", "place").agg(F.flatten(F.transform(each, lambda x: x["c"])).alias("cells"), whole("rtf"), whole("failed"), *[whole("load_s")] * load).withColumn("dataset", F.lit("").cast("string")).withColumn("__at", F.lit(0).cast("long"))
+    cells = F.concat(F.array("model"), "cells", F.array(fixed("rtf", 3), *[fixed("load_s", 1)] * load, F.coalesce(F.col("failed").cast("string"), F.lit(n.NO_VALUE_REPORT))))
     measured = rows.filter("n IS NOT NULL")
     places = rows.select("model", "place").distinct()
     lines = [
@@ -202,10 +242,10 @@ def report(rows: DataFrame, worst: DataFrame, failures: DataFrame) -> DataFrame:
         worst.join(places, "model").select(*line(4, order(rank("rank"), name("id")), F.col("model"), F.col("dataset"), F.col("id"), percent("rate"), F.col("edits"), F.col("chars"))),
         failures.join(places, "model").withColumn("dataset", F.lit("")).select(*line(5, order(F.lit(0).cast("long").alias("rank"), name("id")), F.col("model"), F.col("id"), escape_cell(short_text(F.col("error"))))),
     ]
-    head_place = F.struct(F.lit(0).alias("kind"), F.lit(0).cast("long").alias("model"), F.lit(False).alias("last"), F.lit("").alias("dataset"), *none)
-    named = rows.select(F.col("dataset").isNull().alias("last"), group.alias("g")).distinct().agg(F.array_sort(F.collect_list(F.struct("last", "g"))).alias("g"))
+    head_place = F.struct(F.lit(0).alias("kind"), F.lit(0).cast("long").alias("model"), F.lit(False).alias("last"), F.lit(0).cast("long").alias("at"), F.lit("").alias("dataset"), *none)
+    named = rows.select(F.col("dataset").isNull().alias("last"), F.col("__at").alias("at"), group.alias("g")).distinct().agg(F.array_sort(F.collect_list(F.struct("last", "at", "g"))).alias("g"))
     short = [m.removeprefix("cer_") for m in metrics]
-    first = F.concat(F.array(F.lit("model")), F.flatten(F.transform("g", lambda x: F.array(*[F.concat(x["g"], F.lit(f" {m}")) for m in short]))), F.array(F.lit("RTF"), F.lit("失敗")))
+    first = F.concat(F.array(F.lit("model")), F.flatten(F.transform("g", lambda x: F.array(*[F.concat(x["g"], F.lit(f" {m}")) for m in short]))), F.array(F.lit("RTF"), *[F.lit("load 秒")] * load, F.lit("失敗")))
     lines.append(named.select(F.lit(1).alias("section"), head_place.alias("place"), F.concat(F.lit("| "), F.array_join(first, " | "), F.lit(" |")).alias("line")))
     fixed_heads = [(i, "| " + " | ".join(head) + " |") for i, head in ((2, BREAKDOWN_HEAD), (3, OUTLIER_HEAD), (4, WORST_HEAD), (5, FAILED_HEAD))]
     lines.append(spark.createDataFrame(fixed_heads, "section int, line string").select("section", head_place.alias("place"), "line"))

@@ -331,3 +331,35 @@ def test_lost_workers_browsers_and_phases(spark):
     assert sorted(map(tuple, sessions.fail_all(events, items).collect())) == [("m", "b", "lost"), ("m", "c", "lost")]
     seen = spark.createDataFrame([("r", 2, "y"), ("r", 1, None), ("r", 3, "z"), ("s", 1, None)], "run_id string, attempt int, browser string")
     assert sorted(map(tuple, sessions.browsers(seen).collect())) == [("r", "y", ["z"]), ("s", None, [])]
+
+
+def test_giving_up_in_ranges_of_attempts(spark):
+    r = random.Random(6)
+    rows = [(f"m{m}", a, r.choice([0, 0, None, 1])) for m in range(12) for a in sorted(r.sample(range(200), 40))]
+    frame = spark.createDataFrame(rows, "model string, attempt long, new_results int")
+    want = {}
+    for m in {x[0] for x in rows}:
+        streak = 0
+        for _, a, n in sorted((x for x in rows if x[0] == m), key=lambda x: x[1]):
+            streak = 0 if (n or 0) > 0 else streak + 1
+            if streak > sessions.RESTARTS:
+                want.setdefault(m, a)
+    for span in (1, 7, 1000):
+        assert {x["model"]: x["attempt"] for x in sessions.gave_up(frame, span).collect()} == want
+
+
+def test_a_document_is_missing_broken_invalid_or_read(spark, tmp_path):
+    schema = T.StructType.fromDDL("run_id string NOT NULL, n bigint")
+    for name, body in (("broken", "{"), ("empty", ""), ("invalid", '{"n": "x"}'), ("read", '{"run_id": "a", "n": 3}')):
+        (tmp_path / name).write_text(body)
+    load = lambda name: sources.load_document(spark, str(tmp_path / name), schema)
+    assert load("none")[0] == "missing" and load("broken")[0] == "broken" and load("empty")[0] == "broken"
+    assert load("invalid") == ("invalid", None, ["run_id: string required", "n: whole number or null"])
+    assert tuple(load("read").rows.first()) == ("a", 3)
+    assert sources.load_document(spark, "nostore://x/y", schema).state == "unreachable"
+
+
+def test_shown_times(spark):
+    texts = ["2026-10-04T03:30:04Z", "2026-10-04T13:30:04+09:00", "soon", None, "2026-13-40T00:00:00Z"]
+    got = [x[0] for x in spark.createDataFrame([(t,) for t in texts], "t string").select(views.shown_time(F.col("t"))).collect()]
+    assert got == ["2026/10/04 3:30 UTC", "2026/10/04 4:30 UTC", "soon", "—", "2026-13-40T00:00:00Z"]
