@@ -120,10 +120,10 @@ def resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.join(sources.recorded_ids(spark, folder), ["model", "id"], "left_anti").select("model", "id", "dataset")
 
 
-@query(f"WITH {SQL} SELECT model, array_to_string(list(id ORDER BY line_no), ',') AS ids FROM results WHERE error IS NOT NULL GROUP BY model")
+@query(f"WITH {SQL} SELECT model, line_no, id FROM results WHERE error IS NOT NULL")
 def failed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A16, P3."""
-    return scoring.failed_list(derived.results(spark, sf_dir)).select("model", F.array_join("failed_ids", ",").alias("ids"))
+    return scoring.failed_rows(derived.results(spark, sf_dir))
 
 
 @query(f"WITH {SQL}, twice AS (SELECT * FROM results UNION ALL SELECT * REPLACE (line_no + 1000000 AS line_no, 'late' AS hypothesis) FROM results) SELECT model, id, hypothesis FROM twice QUALIFY row_number() OVER (PARTITION BY model, id ORDER BY line_no) = 1")
@@ -183,9 +183,9 @@ own AS (SELECT *, n IS NOT NULL AND coalesce(missing, 0) <= 0 AND n = expected A
 keyed AS (SELECT *, CASE WHEN ok THEN round(cer_norm * 100, 1) END AS cer_key, CASE WHEN ok THEN round(rtf, 3) END AS rtf_key FROM own)"""
 
 
-def _board(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _board(spark: SparkSession, sf_dir: str, *extras: scoring.Extra) -> DataFrame:
     declared = derived.declared(spark).withColumn("planned", F.when(F.col("model") != "m0", F.lit(None).cast("int")).otherwise(F.lit(600)))
-    return views.board(_facts(spark, sf_dir), declared)
+    return views.board(_facts(spark, sf_dir), declared, *extras)
 
 
 _BOARD_SQL = BOARD.replace("('m1', 0, 'Ostinato Grande（fp16）', 400)", "('m1', 0, 'Ostinato Grande（fp16）', NULL)")
@@ -197,9 +197,9 @@ def breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _board(spark, sf_dir).select("model", "dataset", "n", "failed", "outliers", "cer_strict", "cer_norm", "median", "kept", "rtf")
 
 
-def _whole_board(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _whole_board(spark: SparkSession, sf_dir: str, *extras: scoring.Extra) -> DataFrame:
     """The board with the clips of a complete model beside every row."""
-    return _board(spark, sf_dir).crossJoin(_expected(spark, sf_dir))
+    return _board(spark, sf_dir, *extras).crossJoin(_expected(spark, sf_dir))  # one row
 
 
 def _expected(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,11 +218,12 @@ def best_by_column(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {_BOARD_SQL}, t AS (SELECT model, max(CASE WHEN dataset = 'user' THEN coalesce(printf('%.1f%%', cer_norm * 100), '—') END) AS "user", max(CASE WHEN dataset = 'assistant' THEN coalesce(printf('%.1f%%', cer_norm * 100), '—') END) AS assistant FROM board GROUP BY model)
 SELECT k.model, label, CASE WHEN n IS NULL THEN '未計測' WHEN coalesce(missing, 0) > 0 THEN '未実行 ' || missing || ' 件（未完了のため比較から除外）' END AS status,
-coalesce(printf('%.1f%%', cer_norm * 100), '—') AS cer_text, coalesce(printf('%.3f', rtf), '—') AS rtf_text, {_BEST.format(k='cer_key')} AS best_cer, "user", assistant FROM keyed k JOIN t ON t.model = k.model""")
+coalesce(printf('%.1f%%', cer_norm * 100), '—') AS cer_text, coalesce(printf('%.3f', rtf), '—') AS rtf_text, coalesce(printf('%.1f', load / 1000), '—') AS load_text, {_BEST.format(k='cer_key')} AS best_cer, "user", assistant FROM keyed k JOIN t ON t.model = k.model
+LEFT JOIN (SELECT model AS lm, arg_min(load_ms, line_no) FILTER (load_ms IS NOT NULL) AS load FROM results GROUP BY model) l ON l.lm = k.model""")
 def summary_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every model's numbers over the whole run."""
-    found = views.summary_table(_whole_board(spark, sf_dir), ["user", "assistant"], F.col("expected"))
-    return found.select("model", "label", "status", "cer_text", "rtf_text", "best_cer", "user", "assistant")
+    found = views.summary_table(_whole_board(spark, sf_dir, scoring.LOAD_S), ["user", "assistant"], F.col("expected"))
+    return found.select("model", "label", "status", "cer_text", "rtf_text", "load_text", "best_cer", "user", "assistant")
 
 
 _PARTICLE = "CASE WHEN regexp_matches({0}, '[A-Za-z0-9)\\]]$') THEN ' ' ELSE '' END"
