@@ -351,7 +351,7 @@ def number_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT l_orderkey, l_linenumber, printf('%.1f', l_discount * 100 / 7) || '%' AS shown, CAST(printf('%.3f', l_tax / 7) AS DOUBLE) AS key FROM lineitem")
 def percent_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M4, M5."""
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", numbers.page_percent(F.col("l_discount") / 7).alias("shown"), numbers.fixed_key(F.col("l_tax") / 7, 3).alias("key"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", numbers.page_percent(F.col("l_discount") / 7).alias("shown"), numbers.as_shown(F.col("l_tax") / 7, 3).alias("key"))
 
 
 @query("""WITH c AS (SELECT c_custkey, c_acctbal AS v, pow(10.0, floor(log10(c_acctbal / 4))) AS p FROM customer WHERE c_acctbal > 0),

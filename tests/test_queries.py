@@ -29,3 +29,9 @@ def test_queries_match_their_oracle(spark, name):
     order = sorted(got.columns)
     key = lambda f: sorted(map(str, (tuple(None if x != x else x for x in r) for r in f[order].itertuples(index=False))))
     assert order == sorted(want.columns) and key(got.astype(object)) == key(want.astype(object))
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
+def test_every_query_is_built(spark):
+    for name, made in registry.QUERIES.items():
+        assert made(spark, SF).columns, name
