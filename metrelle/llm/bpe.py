@@ -7,7 +7,8 @@ encoded by looking their pieces up. A piece is merged on its own, so where a par
 task can be run again anywhere.
 
 Defined results: a null text is empty and has no tokens; special tokens are ordinary text; repeated rows each give a row;
-a text of any length is encoded whole; other columns are ignored. `decode` turns unknown ids into an error.
+a text of any length is encoded whole; of places where the same pair stands the first is merged first, so ties have one
+result; an empty table gives no rows; other columns are ignored. `decode` turns unknown ids into an error.
 """
 
 from __future__ import annotations
