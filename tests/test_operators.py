@@ -275,6 +275,17 @@ def test_distance_equals_the_whole_table(spark):
     assert all(x["d"] == x["whole"] for x in frame.collect())
 
 
+def test_distance_of_long_texts_takes_no_table(spark):
+    r = random.Random(6)
+    long = "".join(r.choice("abcdé😀 ") for _ in range(6000))
+    pairs = [(long, "".join(r.choice([c, c, c, "x", "", c + "y"]) for c in long)), (long, long.replace("a", "")), (long.replace("b", ""), long), ("", long), (None, "a"), ("a", None)]
+    frame = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string")
+    made = frame.select("i", text.distance(F.col("a"), F.col("b")).alias("d"), F.levenshtein("a", "b").alias("whole"))
+    assert all(x["d"] == x["whole"] for x in made.collect())
+    plan = made.select("d")._jdf.queryExecution().optimizedPlan().toString()
+    assert "levenshtein" not in plan.lower()  # whose cells grow with the square of a text's length
+
+
 def test_plans_of_scores_shuffle_once_by_id(spark):
     facts = scoring.clip_facts(results(spark, [("m", "1", "a", "x", "y", None)]))
     declared = spark.createDataFrame([("m", 0, "M", 3)], "model string, ordinal int, label string, planned int")
