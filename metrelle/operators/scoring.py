@@ -158,9 +158,10 @@ def first_wins(rows: DataFrame) -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(order)).filter("__n = 1").drop("__n")
 
 
-def failed_rows(results: DataFrame) -> DataFrame:
-    """(model, line_no, id) of failed rows; line_no is their order, so a model may have any number of them."""
-    return results.filter(failed()).select("model", "line_no", "id")
+def failed_list(results: DataFrame) -> DataFrame:
+    """Per model the ids of failed rows in line order, those of one line by id; a row of them is what the job asks for."""
+    bad = results.filter(failed()).groupBy("model").agg(F.array_sort(F.collect_list(F.struct("line_no", "id"))).alias("l"))
+    return bad.select("model", F.col("l.id").alias("failed_ids"))
 
 
 def missing(planned: Column, n: Column) -> Column:

@@ -39,6 +39,13 @@ def test_summary_edge_rows(spark):
     assert worst == [("m", 1, "4"), ("m", 2, "2"), ("m", 3, "1"), ("n", 1, "2"), ("n", 2, "4")]
 
 
+def test_failed_ids_are_a_models_list_in_line_order(spark):
+    rows = [("m", "b", "d", "x", "y", "e"), ("m", "a", "d", "x", "y", ""), ("n", "c", "d", "x", "y", None), ("m", "c", "d", "x", "y", "e")]
+    same_line = results(spark, rows).withColumn("line_no", F.when(F.col("id") == "c", 1).otherwise(F.col("line_no")))
+    assert [tuple(r) for r in scoring.failed_list(results(spark, rows)).collect()] == [("m", ["b", "a", "c"])]
+    assert [tuple(r) for r in scoring.failed_list(same_line).collect()] == [("m", ["b", "a", "c"])]
+
+
 def test_medians_equal_a_sort(spark):
     r = random.Random(9)
     rows = [(f"m{i % 5}", "d", str(i), r.choice([0, 1, 2, 3, 5, 8]), r.choice([0, 1, 2, 4, 7, None])) for i in range(300)] + [("none", "d", "x", 1, 0), ("one", "d", "x", 1, 3)]
