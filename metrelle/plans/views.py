@@ -69,8 +69,31 @@ def summary_table(rows: DataFrame, names: list[str], expected: Column) -> DataFr
     return own.join(each, "model").orderBy("place")
 
 
+#: What the headline says of a model.
+_SAID = ("label", "failed", "n", "cer_norm", "rtf")
+
+
 def headline(rows: DataFrame, expected: Column) -> DataFrame:
     """V3: one row, the sentence on the most accurate and the fastest among the comparable models, ties named together."""
+    return _sentence(_named(rows, expected))
+
+
+def headlines(rows: DataFrame, expected: Column) -> DataFrame:
+    """V3 as rows: headline() for each most accurate model, each pair of the first of the fastest models with another of them (or the
+    only one), and each model left out; no row where no model is comparable."""
+    one = _named(rows, expected)
+    places = lambda who: F.filter(F.sequence(F.lit(0), F.size(f"{who}_label")), lambda i: i < F.size(f"{who}_label"))
+    each = lambda who: F.transform(places(who), lambda i: F.array(i))
+    taken = lambda c: F.transform("__at", lambda i: F.get(F.col(c), i))
+    only = F.size("fast_label") == 1
+    pairs = F.transform(F.filter(places("fast"), lambda i: only | (i > 0)), lambda i: F.when(only, F.array(i)).otherwise(F.array(F.lit(0), i)))
+    for who, choices in (("win", each("win")), ("fast", pairs), ("out", F.when(F.size("out_label") > 0, each("out")).otherwise(F.array(F.array().cast("array<int>"))))):
+        one = one.withColumn("__at", F.explode(choices)).withColumns({c: taken(c) for c in (f"{who}_{w}" for w in _SAID)})
+    return _sentence(one)
+
+
+def _named(rows: DataFrame, expected: Column) -> DataFrame:
+    """One row: arrays of what is said of all measured models, those that are comparable and that aren't, the most accurate and the fastest."""
     own = overall(rows, expected).filter("cer_norm IS NOT NULL")
     own = own.withColumns({"win": compare.best(F.col("cer_key")), "fast": compare.best(F.col("rtf_key"))})
 
@@ -81,8 +104,12 @@ def headline(rows: DataFrame, expected: Column) -> DataFrame:
     ok = F.col("comparable")
     columns = {}
     for name, when in (("all", F.lit(True)), ("ok", ok), ("out", ~ok), ("win", F.col("win")), ("fast", F.col("fast"))):
-        columns |= {f"{name}_{w}": in_order(when, w) for w in ("label", "failed", "n", "cer_norm", "rtf")}
-    one = own.agg(*[c.alias(k) for k, c in columns.items()])  # a handful of models
+        columns |= {f"{name}_{w}": in_order(when, w) for w in _SAID}
+    return own.agg(*[c.alias(k) for k, c in columns.items()])  # a handful of models
+
+
+def _sentence(one: DataFrame) -> DataFrame:
+    """The sentence of each row of _named()'s arrays."""
 
     def without_failures(who: str) -> Column:
         """What the sentence says of failed clips of these models: their number for one model, none where there are none."""

@@ -143,6 +143,17 @@ def test_headlines(spark, rows, told):
     assert views.headline(board(spark, rows), F.lit(10)).first()[0] == told
 
 
+def test_headlines_of_three_fastest_are_pairs(spark):
+    rows = [("a", "A", 10, 0, 0.2, 0.1, None), ("b", "B（x）", 10, 1, 0.3, 0.1, None), ("c", "C", 10, 0, 0.4, 0.1, None), ("d", "D", 5, 0, 0.1, 0.1, 5), ("e", "E", 5, 0, 0.1, 0.1, 5)]
+    got = sorted(r[0] for r in views.headlines(board(spark, rows), F.lit(10)).collect())
+    first, out = "日本語の総合 CER（正規化）は A が最良（20.0%）、速度は ", "は未完了のため比較から除外しています。"
+    rest = ("A と B（x）が最速（RTF 0.100、失敗したクリップを除く）。", "A と C が最速（RTF 0.100）。")
+    assert got == sorted(f"{first}{r}{m} {out}" for r in rest for m in "DE")
+    for part in (rows[:2], [rows[0], ("b", "B", 10, 0, 0.3, 0.2, None)], [*rows[:2], rows[3]]):
+        assert [r[0] for r in views.headlines(board(spark, part), F.lit(10)).collect()] == [views.headline(board(spark, part), F.lit(10)).first()[0]]
+    assert views.headlines(board(spark, rows[3:]), F.lit(10)).count() == 0
+
+
 def test_result_files(spark, tmp_path):
     row = {"id": "1", "dataset": "d", "reference": "r", "hypothesis": "h", "duration_s": 1.0, "segments": 1, "error": None}
     (tmp_path / "m%201.jsonl").write_text("\n".join([json.dumps(row), "", json.dumps(row | {"hypothesis": "late"}), json.dumps(row | {"id": "2", "error": ""}), '[1]', '{"dataset": "x"}', '{"id": "3", "hyp']))
