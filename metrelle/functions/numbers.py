@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,9 +58,22 @@ def count_text(value: Column) -> Column:
     return F.coalesce(F.format_number(F.floor(value + 0.5), 0), F.lit(NO_VALUE))
 
 
+#: The powers of ten that a double holds exactly.
+_POWERS = [10.0**e for e in range(23)]
+
+
 def _decimal(mantissa: Column, exponent: Column) -> Column:
-    """The double next to mantissa x 10^exponent, both whole."""
-    return F.concat(mantissa.cast("string"), F.lit("e"), exponent.cast("string")).cast("double")
+    """The double next to mantissa x 10^exponent, both whole: one product or quotient of exact numbers, or else from text."""
+    power = lambda e: F.get(F.array(*map(F.lit, _POWERS)), e)
+    exact, most = F.abs(mantissa) <= 2**53, len(_POWERS) - 1
+    text = F.concat(mantissa.cast("string"), F.lit("e"), exponent.cast("string")).cast("double")
+    whole = mantissa.cast("double")
+    return F.when(exact & exponent.between(0, most), whole * power(exponent)).when(exact & exponent.between(-most, -1), whole / power(-exponent)).otherwise(text)
+
+
+def _once(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value), with value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
 
 
 def nice_axis(most: Column, ticks: int = 4) -> Column:
@@ -66,16 +81,20 @@ def nice_axis(most: Column, ticks: int = 4) -> Column:
 
     The step is the least of 1, 2 and 5 times a power of ten that takes no more steps than ticks; its multiples are made as whole
     numbers with an exponent, so none carries noise."""
-    share = most / ticks
-    around = F.floor(F.log10(share)).cast("int")
-    steps = F.array(*[F.struct(F.lit(m).cast("long").alias("m"), (around + up).alias("e")) for up in (-1, 0, 1) for m in (1, 2, 5)])
-    step = F.get(F.filter(steps, lambda s: _decimal(s["m"], s["e"]) >= share), F.lit(0))
-    at = lambda i: _decimal(i * step["m"], step["e"])
-    near = F.greatest(F.floor(most / at(F.lit(1))).cast("long"), F.lit(0).cast("long"))
-    last = F.when(at(near) >= most, near).otherwise(near + 1)
-    shown = F.struct(at(last).alias("max"), F.transform(F.sequence(F.lit(0).cast("long"), last), at).alias("ticks"))
+
+    def shown(most: Column, step: Column) -> Column:
+        at = lambda i: _decimal(i * step["m"], step["e"])
+        near = F.greatest(F.floor(most / at(F.lit(1))).cast("long"), F.lit(0).cast("long"))
+        last = _once(near, lambda n: F.when(at(n) >= most, n).otherwise(n + 1))
+        return _once(last, lambda n: F.struct(at(n).alias("max"), F.transform(F.sequence(F.lit(0).cast("long"), n), at).alias("ticks")))
+
+    def step(share: Column, around: Column) -> Column:
+        steps = F.array(*[F.struct(F.lit(m).cast("long").alias("m"), (around + up).alias("e")) for up in (-1, 0, 1) for m in (1, 2, 5)])
+        return F.get(F.filter(steps, lambda s: _decimal(s["m"], s["e"]) >= share), F.lit(0))
+
+    made = _once(most / ticks, lambda share: _once(F.floor(F.log10(share)).cast("int"), lambda around: _once(step(share, around), lambda s: shown(most, s))))
     nothing = F.struct(F.lit(1.0).alias("max"), F.array(F.lit(0.0), F.lit(1.0)).alias("ticks"))
-    return F.when(most.isNull() | F.isnan(most) | (most <= 0) | (most == float("inf")), nothing).otherwise(shown)
+    return F.when(most.isNull() | F.isnan(most) | (most <= 0) | (most == float("inf")), nothing).otherwise(made)
 
 
 def clock(total: Column) -> Column:

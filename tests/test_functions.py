@@ -76,6 +76,18 @@ def test_axis(spark, most, top, ticks):
     assert math.isclose(got["max"], top) and got["ticks"] == ticks
 
 
+def test_axis_is_computed_once(spark):
+    """Its maximum is a multiple of 1, 2 or 5 times a power of ten to the last place, over all sizes; its steps stand once in the plan."""
+    most = [x * 10.0**e for e in range(-30, 31, 3) for x in (1.0, 1.999, 2.0, 3.7, 4.0, 7.3, 8.0, 9.99)]
+    for m, got in zip(most, values(spark, most, "double", numbers.nice_axis)):
+        step = next(s for s in (float(f"{x}e{e}") for e in range(-33, 33) for x in (1, 2, 5)) if s >= m / 4)
+        text = f"{step:.0e}".split("e")
+        ticks = [float(f"{i * int(text[0])}e{text[1]}") for i in range(len(got["ticks"]))]
+        assert got["ticks"] == ticks and got["max"] == ticks[-1] >= m > ticks[-2]
+    plan = spark.range(1).select(numbers.nice_axis(F.col("id").cast("double")).alias("a")).select("a.max", F.size("a.ticks"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("log10(") == 1
+
+
 def test_nested(spark):
     rows = [0, 9, 10, 3000, 3005, 3010, 6500]
     got = values(spark, rows, "bigint", lambda x: nested.segments(x, 100.0))
