@@ -7,9 +7,10 @@ with the largest cosine. It is rejected where that cosine is below the limit for
 the similarities that training rows of such a length have. Short texts are less like any centroid, so the limit grows with
 the length, and texts of languages that weren't learnt, or of no language, fall below it.
 
-The classifier is fitted on a bounded sample: the training rows of each language whose hashed id falls below a threshold,
-set so that SAMPLE_ROWS rows are expected over all languages. The limits are taken from another one, of LIMIT_ROWS rows for
-each class of length. Prediction reads every text whole.
+Document frequencies, centroids and limits come from all training rows. Only where k-means begins is taken from a bounded sample:
+the rows of each language whose hashed id falls below a threshold, set so that SAMPLE_ROWS rows are expected over all languages.
+Where they are not all rows, ROUNDS rounds over all of them follow. The limits are quantiles of counts by score, in parts of
+SCORES, of all training rows. Prediction reads every text whole.
 
 Defined results: a null text or one without a letter is `und`, score 0, rejected; without any training row every text is
 `und`; ties go to the language that sorts first; repeated rows each give a row; an empty table gives none; other columns
@@ -18,7 +19,7 @@ are ignored, and `drop_rejected` passes them on.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -29,11 +30,13 @@ from pyspark.sql import functions as F
 from metrelle.llm.common import LOWER, small_batches, text_slices
 
 DIMENSIONS = 8192
-SAMPLE_ROWS = 2000
+SAMPLE_ROWS, ROUNDS = 2000, 2
 CENTROIDS = 4
-#: Bytes at which a text is of the next class of length; rows of a class from which its limit is taken, and at least.
+#: Bytes at which a text is of the next class of length; rows of a class that has a limit of its own, at least.
 LENGTHS = (16, 32, 64, 128, 256, 1024)
-LIMIT_ROWS, LEAST_ROWS = 400, 20
+LEAST_ROWS = 20
+#: The parts of a cosine by which scores are counted, and what a vector's components are multiplied with, so that sums are exact.
+SCORES, PARTS = 100_000, 2.0**32
 #: A text is rejected below this share of that quantile of its class.
 REJECT_SHARE, REJECT_QUANTILE = 0.7, 0.005
 _CODES = np.uint32(0x9E3779B1)
@@ -122,7 +125,9 @@ def fit(documents: DataFrame, rows: Column, sample_rows: int = SAMPLE_ROWS, cent
     matrix = np.zeros((len(got), DIMENSIONS), np.float32)
     for i, (_, at, n) in enumerate(got):
         matrix[i, np.frombuffer(at, np.uint16)] = np.frombuffer(n, np.uint32)
-    idf = (np.log((1 + len(got)) / (1 + np.count_nonzero(matrix, axis=0))) + 1).astype(np.float32)
+    whole = each >= max(sizes.values())
+    n, df = (len(got), np.count_nonzero(matrix, axis=0)) if whole else (sum(sizes.values()), totals(train, 1, _present)[0])
+    idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
     np.log1p(matrix, out=matrix)
     matrix *= idf
     matrix /= np.maximum(np.sqrt(np.einsum("ij,ij->i", matrix, matrix)), 1e-9)[:, None]
@@ -132,8 +137,50 @@ def fit(documents: DataFrame, rows: Column, sample_rows: int = SAMPLE_ROWS, cent
         for centre in clusters(matrix[langs == lang], centroids):
             names.append(lang)
             centres.append(centre)
+    if not names:
+        return none
     model = Model(names, np.array(centres), np.zeros(len(LENGTHS) + 1), idf)
-    return replace(model, limits=limits(train, model)) if names else none
+    for _ in range(0 if whole else ROUNDS):
+        model = moved(train, model)
+    return replace(model, limits=limits(train, model))
+
+
+def totals(train: DataFrame, k: int, add: Callable[[np.ndarray, np.ndarray, np.ndarray], None]) -> np.ndarray:
+    """(k, DIMENSIONS): what add(total, languages, counts) adds up over all rows of (lang, text); tasks add, a shuffle adds up tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((k, DIMENSIONS), np.int64)
+        for batch in batches:
+            langs = np.array(batch.column(0).to_pylist(), object)
+            for lo, hi, data, offsets in text_slices(batch.column(1)):
+                add(total, langs[lo:hi], counts(data, offsets))
+        for c in range(k):
+            at = np.flatnonzero(total[c])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), c, np.int32)), pa.array(at.astype(np.int32)), pa.array(total[c][at])], ["c", "at", "x"])
+
+    found = train.select("lang", "text").mapInArrow(run, "c int, at int, x long").groupBy("c", "at").agg(F.sum("x").alias("x")).toArrow()
+    out = np.zeros((k, DIMENSIONS), np.int64)
+    out[found["c"].to_numpy(), found["at"].to_numpy()] = found["x"].to_numpy()
+    return out
+
+
+def _present(total: np.ndarray, langs: np.ndarray, found: np.ndarray) -> None:
+    total[0] += np.count_nonzero(found, axis=0)
+
+
+def moved(train: DataFrame, model: Model) -> Model:
+    """The model after one round of k-means over all rows: each centroid is the mean of the rows of its language that are nearest to
+    it; one that no row is nearest to stays."""
+    centroids, idf, names = model.centroids, model.idf, np.array(model.languages, object)
+
+    def add(total: np.ndarray, langs: np.ndarray, found: np.ndarray) -> None:
+        rows = unit(np.log1p(found) * idf)
+        own = np.where(langs[:, None] == names[None, :], rows @ centroids.T, -1.0).argmax(1)
+        for j in set(own[np.isin(langs, names)].tolist()):
+            total[j] += np.rint(rows[(own == j) & (langs == names[j])].sum(0) * PARTS).astype(np.int64)
+
+    total = totals(train, len(names), add)
+    return replace(model, centroids=np.where(total.any(1, keepdims=True), unit(total / PARTS), centroids))
 
 
 def length_class(size: Column) -> Column:
@@ -143,17 +190,16 @@ def length_class(size: Column) -> Column:
 
 def limits(train: DataFrame, model: Model) -> np.ndarray:
     """The rejection limit of each class of length; one with few rows has that of the class below, or half of the first one's."""
-    kind = length_class(F.octet_length("text"))
-    sizes = {r["kind"]: r["n"] for r in train.groupBy(kind.alias("kind")).agg(F.count("*").alias("n")).collect()}
-    share = F.create_map(*[F.lit(x) for k, n in sorted(sizes.items()) for x in (k, min(1.0, LIMIT_ROWS / n))])
-    place = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("limit")), F.lit(1 << 30)) / float(1 << 30)
-    sample = train.withColumn("kind", kind).filter(place < F.element_at(share, F.col("kind")))
-    rows = [(r["kind"], r["score"]) for r in predicted(sample, model, "kind").filter("lang_pred <> 'und'").select("kind", "score").collect()]
+    scored = predicted(train.withColumn("kind", length_class(F.octet_length("text"))), model, "kind").filter("lang_pred <> 'und'")
+    counted: dict[int, list[tuple[int, int]]] = {}  # at most SCORES a class
+    for r in scored.groupBy("kind", F.floor(F.col("score") * SCORES).alias("part")).agg(F.count("*").alias("n")).collect():
+        counted.setdefault(r["kind"], []).append((r["part"], r["n"]))
     known = {}
-    for k in range(len(LENGTHS) + 1):
-        own = [score for kind, score in rows if kind == k]
-        if len(own) >= LEAST_ROWS:
-            known[k] = REJECT_SHARE * float(np.quantile(own, REJECT_QUANTILE))
+    for k, parts in counted.items():
+        part, n = np.array(sorted(parts)).T
+        if n.sum() >= LEAST_ROWS:
+            at = np.searchsorted(np.cumsum(n), REJECT_QUANTILE * (n.sum() - 1), "right")
+            known[k] = REJECT_SHARE * float(part[at]) / SCORES
     near = lambda k: known[max(x for x in known if x <= k)] if k >= min(known) else known[min(known)] / 2
     return np.array([near(k) if known else 0.0 for k in range(len(LENGTHS) + 1)])
 

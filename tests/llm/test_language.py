@@ -7,6 +7,8 @@ from collections import Counter
 
 import numpy as np
 from metrelle.llm import language
+from pyspark.sql import functions as F
+
 
 def prose(r, lang, n):
     parts = {"en": ["the", "and", "with", "thing", "other", "ation"], "de": ["der", "und", "schön", "über", "keit", "nicht"], "fr": ["le", "été", "que", "eau", "ç", "ment"]}[lang]
@@ -52,6 +54,27 @@ def test_unlearnt_languages_and_no_language_are_rejected(spark):
     assert all(got[5000 + i] for i in range(len(odd))) and np.mean([got[i] for i in range(1500)]) <= 0.005
 
 
+def test_all_training_rows_count(spark):
+    """Document frequencies and limits of rows that no sample holds, and centroids that end where all rows' means are."""
+    r = random.Random(11)
+    rows = [(i, " ".join(prose(r, lang, r.choice([2, 9, 30]))), lang) for i in range(600) for lang in [r.choice(["en", "de"])]]
+    train = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    model = language.fit(train, F.lit(True), sample_rows=60, centroids=1)
+    df = Counter(g for _, t, _ in rows for g in set(grams(t)))
+    assert all(abs(model.idf[g] - (math.log((1 + len(rows)) / (1 + n)) + 1)) < 1e-5 for g, n in df.items())
+    idf = {g: math.log((1 + len(rows)) / (1 + n)) + 1 for g, n in df.items()} | {None: 0.0}
+    for lang, centre in zip(model.languages, model.centroids):
+        want = mean([vector(t, idf) for _, t, x in rows if x == lang])
+        assert max(abs(centre[g] - x) for g, x in want.items()) < 1e-5
+    scores = {}
+    for x in language.predicted(train, model, "text").collect():
+        scores.setdefault(int(np.digitize(len(x["text"].encode()), language.LENGTHS)), []).append(x["score"])
+    for k, own in scores.items():
+        if len(own) >= language.LEAST_ROWS:
+            at = sorted(own)[int(language.REJECT_QUANTILE * (len(own) - 1))]
+            assert abs(model.limits[k] - language.REJECT_SHARE * at) < 2e-5
+
+
 def test_repeated_rows_and_very_long_text(spark):
     rows = [(1, "der und schön " * 60000, "de"), (1, "der und schön " * 60000, "de"), (3, "the and with", "en"), (4, "the and with", "en"), (None, "the", "en")]
     got = language.digest(spark.createDataFrame([(*r, 0.5, "x") for r in rows], "doc_id long, text string, lang string, score double, held_out string")).collect()
