@@ -106,28 +106,33 @@ def pieces(conversations: DataFrame) -> DataFrame:
 
 
 def examples(formatted: DataFrame) -> DataFrame:
-    """(conv_id, target, chars, loss_start, loss_end): one example an assistant turn, and one of a conversation's end that has no
-    target after the last of them; formatted is what pieces() gave."""
-    last = formatted.groupBy("conv_id").agg(F.max(F.struct("place", "end", "loss_start")).alias("l")).filter("l.loss_start IS NULL")
+    """(conv_id, target, chars, loss_start, loss_end, place, start): one example an assistant turn, and one of a conversation's end that
+    has no target after the last of them; place and start are those of its last turn. formatted is what pieces() gave."""
+    last = formatted.groupBy("conv_id").agg(F.max(F.struct("place", "start", "end", "loss_start")).alias("l")).filter("l.loss_start IS NULL")
     none = F.lit(None).cast("long")
-    ends = last.select("conv_id", none.alias("target"), F.col("l.end").alias("chars"), none.alias("loss_start"), none.alias("loss_end"))
-    return formatted.filter("loss_start IS NOT NULL").select("conv_id", F.col("place").alias("target"), F.col("end").alias("chars"), "loss_start", "loss_end").unionByName(ends)
+    ends = last.select("conv_id", none.alias("target"), F.col("l.end").alias("chars"), none.alias("loss_start"), none.alias("loss_end"), "l.place", "l.start")
+    return formatted.filter("loss_start IS NOT NULL").select("conv_id", F.col("place").alias("target"), F.col("end").alias("chars"), "loss_start", "loss_end", "place", "start").unionByName(ends)
 
 
 def texts(formatted: DataFrame) -> DataFrame:
     """examples() with the text of each written out: a group an example, of as many turns as it has."""
-    wanted = examples(formatted).withColumnRenamed("conv_id", "c")
+    wanted = examples(formatted).drop("place", "start").withColumnRenamed("conv_id", "c")
     both = wanted.join(formatted.select("conv_id", "place", "piece", "end"), F.col("c").eqNullSafe(F.col("conv_id")) & (F.col("end") <= F.col("chars")))
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "piece"))), lambda x: x["piece"]), "")
     return both.groupBy("conv_id", "target", "chars", "loss_start", "loss_end").agg(text.alias("text"))
 
 
 class _Reader:
-    """Reads formatted text and the mask back: turns by the template's marks, what is trained by the characters under the mask."""
+    """Reads formatted text and examples back: turns by the template's marks, what is trained by the characters under an example's mask."""
 
     def __init__(self, state: tuple | None = None):
         turns, loss, self.n_turns, self.loss_chars, self.formatted, self.end = state or (None, None, 0, 0, 0, 0)
-        self.turns, self.loss, self.rest, self.open = Sha256(turns), Sha256(loss), "", False
+        self.turns, self.loss, self.rest, self.mask, self.ended = Sha256(turns), Sha256(loss), "", (None, None), False
+
+    def expand(self, chars: int, loss_start: int | None, loss_end: int | None) -> None:
+        """An example, before the piece of its last turn."""
+        self.formatted += chars
+        self.mask, self.ended = (loss_start, loss_end), loss_start is None
 
     def take(self, piece: str, start: int, loss_start: int | None, loss_end: int | None) -> None:
         self.rest += piece
@@ -136,12 +141,11 @@ class _Reader:
             self.turns.update(f"{unescape_role(found[1])}\n{unescape(found[2])}\n".encode())
             self.rest = self.rest[found.end() :]
         self.end = start + len(piece)
-        self.open = loss_start is None
+        self.mask = (None, None)
         if loss_start is not None:
             trained = unescape(piece[loss_start - start : loss_end - start])
             self.loss_chars += len(trained)
             self.loss.update(trained.encode())
-            self.formatted += self.end
 
     def state(self) -> tuple:
         return self.turns.state(), self.loss.state(), self.n_turns, self.loss_chars, self.formatted, self.end
@@ -149,7 +153,7 @@ class _Reader:
     def row(self) -> tuple:
         if self.rest:
             raise ValueError(f"formatted text ends within a turn: {self.rest[:80]!r}")
-        return self.n_turns, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.formatted + self.end * self.open
+        return self.n_turns, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.formatted
 
 
 _READ = "conv_id long, turns binary, loss binary, n_turns long, loss_chars long, formatted long, end long, open boolean, turns_sha256 string, loss_sha256 string, formatted_chars long"
@@ -165,14 +169,17 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def close() -> None:
         if reader is not None:
             n, turns, chars, loss, formatted = reader.row()
-            rows.append((conv[0], *reader.state(), reader.open, turns, loss, formatted))
+            rows.append((conv[0], *reader.state(), reader.ended, turns, loss, formatted))
 
     for batch in batches:
         for r in batch.to_pylist():
             if conv != (r["conv_id"],):
                 close()
                 conv, reader = (r["conv_id"],), _Reader(tuple(r["state"].values()) if r["state"] else None)
-            reader.take(r["piece"], r["start"], r["loss_start"], r["loss_end"])
+            if r["piece"] is None:
+                reader.expand(r["chars"], r["loss_start"], r["loss_end"])
+            else:
+                reader.take(r["piece"], r["start"], *reader.mask)
         yield pack()
         rows = []
     close()
@@ -180,11 +187,15 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars) as read from the formatted turns and the mask.
+    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars) as read from the formatted turns and their examples,
+    each of which comes before the piece of its last turn: an example is that and all pieces before it.
 
     formatted_chars are those of all examples' texts. Steps of a conversation follow one another; most have only one."""
-    stepped = formatted.withColumn("step", F.floor(F.col("start") / STEP).cast("int"))
-    steps = 1 + (stepped.agg(F.max("step")).first()[0] or 0)
+    none = F.lit(None).cast("long")
+    turns = formatted.select("conv_id", "place", "piece", "start", none.alias("chars"), none.alias("loss_start"), none.alias("loss_end"))
+    expanded = examples(formatted).withColumn("piece", F.lit(None).cast("string")).select(*turns.columns)
+    stepped = turns.union(expanded).withColumn("step", F.floor(F.col("start") / STEP).cast("int"))
+    steps = 1 + (formatted.agg(F.floor(F.max("start") / STEP).cast("int").alias("step")).first()[0] or 0)
     last = formatted.groupBy("conv_id").agg(F.floor(F.max("start") / STEP).cast("int").alias("last")) if steps > 1 else None
     out, state = [], None
     for k in range(steps):
@@ -193,8 +204,8 @@ def read_back(formatted: DataFrame) -> DataFrame:
             now = now.withColumn("state", F.lit(None).cast("struct<turns:binary,loss:binary,n_turns:bigint,loss_chars:bigint,formatted:bigint,end:bigint>"))
         else:
             now = now.join(small(state), F.col("conv_id").eqNullSafe(F.col("c")))
-        sorted_ = now.repartition("conv_id").sortWithinPartitions("conv_id", "part", "place")
-        read = sorted_.select("conv_id", "piece", "start", "loss_start", "loss_end", "state").mapInArrow(_read, _READ)
+        sorted_ = now.repartition("conv_id").sortWithinPartitions("conv_id", "place", F.col("piece").isNotNull())
+        read = sorted_.select("conv_id", "piece", "start", "chars", "loss_start", "loss_end", "state").mapInArrow(_read, _READ)
         if steps > 1:
             ends = last.select(F.col("conv_id").alias("e"), "last")
             read = stored(read.join(ends, F.col("conv_id").eqNullSafe(F.col("e"))).withColumn("final", F.col("last") == k))

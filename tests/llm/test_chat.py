@@ -110,3 +110,13 @@ def test_cut_text_is_an_error():
     reader.take("<|im_start|>user\nhello<|im_end|>", 0, None, None)
     with pytest.raises(ValueError, match="within a turn"):
         reader.row()
+
+
+def test_the_digest_reads_examples(spark, monkeypatch):
+    """Without the expansion there is nothing under a mask and no formatted text of examples."""
+    rows = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b<|c"), (2, 0, "user", "d")], "conv_id long, turn long, role string, text string")
+    whole = {r["conv_id"]: (r["n_turns"], r["loss_chars"], r["formatted_chars"]) for r in chat.digest(rows).collect()}
+    assert whole[1] == (2, 4, sum(len("".join(marked(*t))) for t in (("user", "a"), ("assistant", "b<|c")))) and whole[2][1] == 0 < whole[2][2]
+    expand = chat.examples
+    monkeypatch.setattr(chat, "examples", lambda formatted: expand(formatted).limit(0))
+    assert {(r["n_turns"], r["loss_chars"], r["formatted_chars"]) for r in chat.digest(rows).collect()} == {(2, 0, 0), (1, 0, 0)}
