@@ -9,8 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: White space as Python's str.split() knows it: 29 code points. Fixed value.
-WHITESPACE = r"[\s\x0b\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: White space as Python's str.split() knows it: 29 code points. Fixed value; most characters are told by the first class alone.
+WHITESPACE = r"[[^!-~]&&[\s\x0b\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]]"
 #: Texts of these characters only are in every Unicode normal form already.
 _STABLE = r"^[\x00-\x7FÀ-ÖØ-öø-ÿ]*$"
 _HIRAGANA = "".join(map(chr, range(0x3041, 0x3097)))
@@ -70,14 +70,50 @@ def reading(tokens: Column) -> Column:
 NORMALIZERS: dict[str, Callable[..., Column]] = {"cer_strict": normalize_strict, "cer_norm": normalize_norm}
 
 
+#: Texts of so many characters an edit, or more, are compared run by run; others a column of the table at a time.
+_APART = 32
+
+
+def _alike(a: str, b: str, i: int, j: int) -> int:
+    """How many characters a from i and b from j have alike: in steps that double, and then halve."""
+    begin, step = i, 8
+    while (part := a[i : i + step]) and part == b[j : j + len(part)]:
+        i, j, step = i + len(part), j + len(part), 2 * step
+    while step > 1:
+        step //= 2
+        if (part := a[i : i + step]) and part == b[j : j + len(part)]:
+            i, j = i + len(part), j + len(part)
+    return i - begin
+
+
+def _few_edits(a: str, b: str, most: int) -> int | None:
+    """The edit distance if it is `most` or less: how far each diagonal of the table gets with 0, 1, 2... edits."""
+    n, m = len(a), len(b)
+    last, goal = {0: _alike(a, b, 0, 0)}, m - n
+    for e in range(most + 1):
+        if last.get(goal, -1) >= n:
+            return e
+        left, now = most - e - 1, {}
+        for d in range(max(-e - 1, -n, goal - left), min(e + 1, m, goal + left) + 1):
+            i = min(max(last.get(d, -2) + 1, last.get(d - 1, -2), last.get(d + 1, -2) + 1), n, m - d)
+            if i >= 0 and i + d >= 0:
+                now[d] = i + _alike(a, b, i, i + d) if i < n and i + d < m and a[i] == b[i + d] else i
+        last = now
+    return None
+
+
 def edits(a: str, b: str) -> int:
     """The edit distance of two strings by code points: the difference of their lengths where one is the other with characters left
-    out, else by Myers' bit vectors, a column of the table at a time as the bits of two whole numbers."""
+    out; else, if the edits are few, by the runs between them; else by Myers' bit vectors, a column of the table at a time as the bits
+    of two whole numbers."""
     if len(a) > len(b):
         a, b = b, a
     rest = iter(b)
     if all(c in rest for c in a):
         return len(b) - len(a)
+    most = 8 + len(b) // _APART
+    if len(b) - len(a) <= most and (few := _few_edits(a, b, most)) is not None:
+        return few
     places: dict[str, int] = {}
     for i, c in enumerate(a):
         places[c] = places.get(c, 0) | 1 << i

@@ -29,6 +29,37 @@ def test_normalisers(spark):
     assert values(spark, ["aZ9é"], "string", text.fullwidth_upper) == ["ＡＺ９é"]
 
 
+def test_few_edits_are_counted_by_runs():
+    """The distance by rows of the table, also where it is the most that is looked for."""
+
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, c in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, d in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (c != d))
+        return row[-1]
+
+    r = random.Random(8)
+    for _ in range(400):
+        a = "".join(r.choice("abé🙂") for _ in range(r.choice([0, 1, 3, 20, 60])))
+        b = list(a)
+        for _ in range(r.choice([1, 2, 6, 30])):
+            at = r.randrange(len(b) + 1)
+            b[at : at + r.choice([0, 1])] = r.choice(["", "a", "é"])
+        a, b = sorted((a, "".join(b)), key=len)
+        want = plain(a, b)
+        assert text.edits(a, b) == text.edits(b, a) == want
+        assert [text._few_edits(a, b, most) for most in (want, want + 3)] == [want, want] and (not want or text._few_edits(a, b, want - 1) is None)
+    t = "".join(r.choice("abcdefgh ") for _ in range(1500))
+    assert text.edits(t, t[:7] + t[8:700] + "XY" + t[700:1490].replace("ab", "Ab")) == text.edits(t, t[:7] + t[8:700] + "XY" + t[700:1490].replace("ab", "Zb"))
+
+
+def test_white_space_is_that_of_python(spark):
+    every = [chr(i) for i in range(0x3100) if not 0xD800 <= i < 0xE000]
+    assert [c for c, s in zip(every, values(spark, every, "string", text.strip_whitespace)) if s == ""] == [c for c in every if c.isspace()]
+
+
 def test_edit_counts(spark):
     rows = [("abc", "abc"), ("", "abc"), ("abc", ""), ("kitten", "sitting"), ("東京都", "京都"), ("a🙂b", "ab"), ("あ", "あ" * 999)]
     frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, a string, b string").orderBy("i")
