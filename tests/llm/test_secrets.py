@@ -75,3 +75,34 @@ def test_repeated_rows_and_ties_of_place(spark):
 
 def test_empty_table(spark):
     assert secrets.digest(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_every_labelled_window_of_every_text_is_learnt_from(spark):
+    """More texts than a bounded sample would take, each with findings of its own far from its middle."""
+    r = random.Random(5)
+    token = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n - 1)) + "7"
+    rows = [(i, f"a{token(19)} {'words of prose ' * 300} token=x{i} token={token(12)} b{i}") for i in range(900)]
+    documents = spark.createDataFrame([*rows, (1000, None), (1001, "")], "doc_id long, text string")
+    got = {(bytes(e["x"]), e["y"]): e["n"] for e in secrets.examples(documents.union(documents)).collect()}
+    for _, text in rows:
+        at, good = text.index("token=x"), text.index("token=", text.index("token=x") + 1)
+        for start, end, label in ((at, text.index(" ", at), 0), (good, text.index(" ", good), 1)):
+            for w in secrets.windows(text, start, end):
+                assert got[w.astype(np.uint8).tobytes(), label] % 2 == 0
+
+
+def test_the_network_does_not_depend_on_how_rows_are_read(spark):
+    r = random.Random(6)
+    rows = [(i, " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(40)) + f" secret={i}{'k' * (i % 12)} see") for i in range(300)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string")
+    one, other = secrets.fitted(documents.coalesce(1)), secrets.fitted(documents.repartition(7, "doc_id"))
+    assert all((p == q).all() for p, q in zip(one.parts, other.parts)) and one.scale == other.scale and one.threshold == other.threshold
+
+
+def test_calibration_counts_rows():
+    z, t, n = np.array([-3.0, -1.0, 0.5, 2.0, 4.0]), np.array([0.0, 0.0, 1.0, 1.0, 1.0]), np.array([50, 3, 1, 9, 90])
+    nets = [secrets.train(*secrets.labelled(["a b"], 40)) for _ in range(2)]
+    secrets.calibrate(nets[0], z, t, n)
+    secrets.calibrate(nets[1], np.repeat(z, n), np.repeat(t, n), np.ones(n.sum()))
+    assert np.allclose(nets[0].scale, nets[1].scale) and np.isclose(nets[0].threshold, nets[1].threshold)
+    assert np.isclose(nets[0].threshold, nets[0].chance(np.array([2.0]))[0])
