@@ -20,13 +20,19 @@ def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.withColumns({"id": item_id(F.col("dataset"), F.col("row")), "ordinal": F.col("row")})
 
 
-def results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Result rows of three models; line_no is their order."""
+def results(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
+    """Result rows of three models; line_no is their order.
+
+    dealt: clips are dealt out by id before the models answer. A table may be one file of one row group, which one task reads;
+    that task then hands on each text once and makes no answers. The number is given, as few bytes would else be put into few tasks."""
     models = spark.createDataFrame([("m0",), ("m1",), ("m2",)], "model string")
     text = F.col("reference")
     said = F.when(F.col("model") == "m0", F.lower(text)).when(F.col("model") == "m1", F.replace(text, F.lit("e"), F.lit("")))
     said = said.when(F.col("row") % 7 == 0, F.concat(text, text, text)).otherwise(F.replace(text, F.lit(" "), F.lit("")))
-    rows = clips(spark, sf_dir).crossJoin(F.broadcast(models))  # three fixed rows
+    asked = clips(spark, sf_dir)
+    if dealt:
+        asked = asked.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")
+    rows = asked.crossJoin(F.broadcast(models))  # three fixed rows
     return rows.withColumns(
         {
             "hypothesis": said,
