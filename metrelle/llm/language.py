@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from metrelle.llm.common import LOWER, small_batches, text_slices
 
 DIMENSIONS = 8192
+#: Rows whose vectors are held at once, 64 KB each and some copies of it: of short texts one pass over bytes would hold a thousand.
+SLICE_ROWS = 64
 SAMPLE_ROWS, ROUNDS = 2000, 2
 CENTROIDS = 4
 #: Bytes at which a text is of the next class of length; rows of a class that has a limit of its own, at least.
@@ -111,7 +113,7 @@ def fit(documents: DataFrame, rows: Column, sample_rows: int = SAMPLE_ROWS, cent
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in text_slices(batch.column(1)):
+            for lo, hi, data, offsets in text_slices(batch.column(1), SLICE_ROWS):
                 found = counts(data, offsets)
                 at = [np.flatnonzero(x) for x in found]
                 yield pa.RecordBatch.from_arrays(
@@ -152,7 +154,7 @@ def totals(train: DataFrame, k: int, add: Callable[[np.ndarray, np.ndarray, np.n
         total = np.zeros((k, DIMENSIONS), np.int64)
         for batch in batches:
             langs = np.array(batch.column(0).to_pylist(), object)
-            for lo, hi, data, offsets in text_slices(batch.column(1)):
+            for lo, hi, data, offsets in text_slices(batch.column(1), SLICE_ROWS):
                 add(total, langs[lo:hi], counts(data, offsets))
         for c in range(k):
             at = np.flatnonzero(total[c])
@@ -233,7 +235,7 @@ def predicted(documents: DataFrame, model: Model, *keep: str) -> DataFrame:
         centroids = (m.centroids * 1.0).T
         names = np.array([*m.languages, "und"])
         for batch in batches:
-            for lo, hi, data, offsets in text_slices(batch.column(0)):
+            for lo, hi, data, offsets in text_slices(batch.column(0), SLICE_ROWS):
                 known = _letters(data, offsets)
                 if not len(m.languages):
                     known[:] = False
