@@ -39,8 +39,9 @@ TABLE_SUCCESS = 0.38
 #: Rows that a bucket holds about, bits that one direction tells, and directions at least.
 BUCKET_ROWS, DIRECTION_BITS, LEAST_DIRECTIONS = 24, 1.9, 2
 #: Rows of a bucket's part; entries of all tables in a share; queries that are held against a share together; pairs that are held
-#: before the best are kept; buckets whose parts are told to all tasks, to which the size of a part is fitted.
-BLOCK, SHARE, QUERIES, PAIRS, SPLIT = 2048, 8192, 65_536, 2_000_000, 1_000_000
+#: before the best are kept, in all and for each of the k that a query wants; buckets whose parts are told to all tasks, to which the
+#: size of a part is fitted.
+BLOCK, SHARE, QUERIES, PAIRS, HELD, SPLIT = 2048, 8192, 65_536, 2_000_000, 16, 1_000_000
 SAMPLE_QUERIES, DRAWS = 32, 1000
 #: Queries that are compared with every entry at once; what a rough score may be off.
 REST, MARGIN = 2048, 1e-9
@@ -211,15 +212,20 @@ def _compared(k: int):
             lo, hi = np.searchsorted(where, cells, "left"), np.searchsorted(where, cells, "right")
             own_ids = (np.concatenate([[0], np.cumsum(np.diff(ids[0])[mine])]), np.concatenate([ids[1][ids[0][m] : ids[0][m + 1]] for m in mine]))
             found, held = [], 0
+            bar = np.full(len(own), -np.inf)  # of each query, the score of its k-th id so far: only what reaches it is held
             for a, b, c, d in zip(first, ends, lo, hi):
                 q = who[c:d]
                 q = q[there[q]]
                 if len(q):
-                    found.append((np.repeat(q, b - a), np.tile(np.arange(a, b), len(q)), (asked_unit[q] @ unit[a:b].T).ravel()))
-                    held += len(found[-1][0])
-                if held > PAIRS:
+                    score = asked_unit[q] @ unit[a:b].T
+                    i, j = np.nonzero(score >= bar[q, None] - MARGIN)
+                    found.append((q[i], a + j, score[i, j]))
+                    held += len(i)
+                if held > min(PAIRS, HELD * k * len(own)):
                     q, e, _, score = _best(*map(np.concatenate, zip(*found)), own, own_ids, k)
                     found, held = [(q, e, score)], 0
+                    at_k = np.flatnonzero(np.arange(len(q)) - np.searchsorted(q, q) == k - 1)
+                    bar[q[at_k]] = score[at_k]
             if found:
                 q, e, named, _ = _best(*map(np.concatenate, zip(*found)), own, own_ids, k)
                 score = _cosine(rows[e], asked[q])

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 from metrelle.llm import neighbours
 
 
@@ -116,3 +117,18 @@ def test_share_of_rows_compared_falls_as_vectors_grow():
         assert hit >= 0.9
         shares.append(seen)
     assert shares[1] < 0.6 * shares[0] and not math.isnan(shares[0])
+
+
+def test_only_pairs_that_can_be_among_the_best_are_ranked(monkeypatch):
+    """Every pair of a share was sorted twice, however far below the best; their number grows with the square of the rows."""
+    rng = np.random.default_rng(11)
+    x, asked, cells = rng.normal(size=(4000, 16)), rng.normal(size=(50, 16)), np.arange(4000) // 20
+    left = pa.table({"share": [0] * 4000, "cell": cells, "v": x.tolist(), "ids": [[i] for i in range(4000)]})
+    right = pa.table({"share": [0] * 50, "cells": [list(range(200))] * 50, "query_id": range(10_000, 10_050), "v": asked.tolist()})
+    ranked, best = [], neighbours._best
+    monkeypatch.setattr(neighbours, "_best", lambda q, *rest: ranked.append(len(q)) or best(q, *rest))
+    got = neighbours._compared(5)(left, right).to_pylist()
+    assert sum(ranked) < 50 * 4000 / 4
+    score = (asked / np.linalg.norm(asked, axis=1)[:, None]) @ (x / np.linalg.norm(x, axis=1)[:, None]).T
+    for q in range(50):
+        assert {r["vec_id"] for r in got if r["query_id"] == 10_000 + q} == set(np.argsort(-score[q])[:5].tolist())
